@@ -1,8 +1,8 @@
-"""Token ids by the tokenizers library, with the pieces of every distinct word encoded once.
+"""Token ids by the tokenizers library, with every distinct piece of text encoded once.
 
-The vocabulary's pre-tokenizer never lets a piece cross white space, so a text's ids are the joined ids of its
-words. Words in plain Latin letters are further cut by the pre-tokenizer's own pattern, stated below; all
-others go to the library whole. Strings of special tokens inside a text count as ordinary text.
+The vocabulary's pre-tokenizer cuts lower-cased text by the pattern below and encodes each piece by itself, so a text's ids
+are the joined ids of its pieces. Plain Latin text is cut here by the same pattern; a word with any other character
+goes to the library whole. Strings of special tokens inside a text count as ordinary text.
 """
 
 from __future__ import annotations
@@ -11,15 +11,13 @@ import re
 from itertools import chain
 
 import numpy as np
-import regex
-
-#: Fixed value: the pre-tokenizer's pattern in the vocabulary file.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = re.compile("[!-~\u00c0-\u00ff]+")
-SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: ASCII marks that may end a word.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-SEPARATORS = re.compile(r"[\x1c-\x1f]")
+
+#: Fixed value: the pre-tokenizer's pattern in the vocabulary file, for plain text.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\[-`{-~]+")
+#: White space, printable ASCII and Latin letters of one byte.
+PLAIN = re.compile(r"[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: White space as the library sees it; ``str.split`` also cuts at the characters U+001C to U+001F.
+WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: The end-of-document id.
 END = 1
 
@@ -27,11 +25,11 @@ END = 1
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    Holds at most twice ``limit`` words and as many pieces: beyond ``limit`` a fresh table is begun, which takes
+    Holds at most twice ``limit`` pieces, besides those of one call: beyond ``limit`` a fresh table is begun, which takes
     over what is met again from the one before it.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,15 +43,13 @@ class Encoder:
         self.closes = np.zeros(max(vocab.values()) + 3, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.limit = limit
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # the words before the last fresh start
         self.pieces: dict[str, bytes] = {}
-        self.older_pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the pieces before the last fresh start
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _add_pieces(self, pieces: list) -> None:
+    def _add_plain(self, pieces: list) -> None:
         """Encode pieces in one call: each piece's last id is one that closes a word, and no other is."""
         joined = " ".join(pieces)
         if not joined.isascii():
@@ -61,57 +57,49 @@ class Encoder:
         ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(pieces):
-            for p in pieces:
-                self.pieces[p] = self._whole(p)
+            self.pieces.update((p, self._whole(p)) for p in pieces)
             return
         raw, at = ids.tobytes(), 0
         for p, e in zip(pieces, (ends * 4).tolist()):
             self.pieces[p] = raw[at:e]
             at = e
 
-    def _cut(self, word: str) -> list | None:
-        """The pieces of a word in plain Latin letters, or None."""
-        head = word.rstrip(MARKS)
-        if head.isalpha() and PLAIN.fullmatch(head):
-            return [head.lower()] if len(head) == len(word) else [head.lower(), word[len(head) :]]
-        return PIECE.findall(word.lower()) if PLAIN.fullmatch(word) else None
-
-    def _add(self, words: set) -> None:
-        if len(self.pieces) > self.limit:
-            self.older_pieces, self.pieces = self.pieces, {}
-        plain, cut, known = [], [], self.older
-        for w in words:
-            if w in known:
-                self.words[w] = known[w]
-            elif c := self._cut(w):
-                plain.append(w)
-                cut.append(c)
+    def _add(self, new: set) -> None:
+        older = self.older
+        again = older.keys() & new
+        self.pieces.update((p, older[p]) for p in again)
+        plain = []
+        for p in new - again:
+            if PLAIN.fullmatch(p):
+                plain.append(p)
             else:
-                self.words[w] = self._whole(w)
-        have, had = self.pieces, self.older_pieces
-        new = {p for c in cut for p in c if p not in have}
-        have.update((p, had[p]) for p in new if p in had)
-        new = [p for p in new if p not in had]
-        for i in range(0, len(new), 2000):
-            self._add_pieces(new[i : i + 2000])
-        got = self.pieces.__getitem__
-        for w, c in zip(plain, cut):
-            self.words[w] = got(c[0]) if len(c) == 1 else b"".join(map(got, c))
+                self.pieces[p] = self._whole(p)
+        for i in range(0, len(plain), 2000):
+            self._add_plain(plain[i : i + 2000])
+
+    @staticmethod
+    def _cut(text: str | None) -> list:
+        """Pieces of plain text; elsewhere those of its plain words, and its other words whole."""
+        if not text:
+            return []
+        if PLAIN.fullmatch(text):
+            return PIECE.findall(text.lower())
+        return list(chain.from_iterable(PIECE.findall(w.lower()) if PLAIN.fullmatch(w) else (w,) for w in WORD.findall(text)))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text, without an end id; a null text has none."""
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list) -> list:
-        """``encode`` for several texts at once, which are cut into words together."""
-        cut = [([w for w in SPACE.split(t) if w] if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
-        words = set(chain.from_iterable(cut))
-        if new := words.difference(self.words):
-            if len(self.words) + len(new) > self.limit:
-                self.older, self.words = self.words, {}
-                new = words
+        """``encode`` for several texts, whose new pieces are encoded together."""
+        cut = [self._cut(t) for t in texts]
+        pieces = set(chain.from_iterable(cut))
+        if new := pieces.difference(self.pieces):
+            if len(self.pieces) + len(new) > self.limit:
+                self.older, self.pieces = self.pieces, {}
+                new = pieces
             self._add(new)
-        got = self.words.__getitem__
+        got = self.pieces.__getitem__
         return [b"".join(map(got, c)) for c in cut]
 
 
