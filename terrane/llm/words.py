@@ -63,3 +63,15 @@ def text_chunks(texts: list, most: int = 400_000):
         size += n
     if first < len(texts):
         yield first, len(texts)
+
+
+_kept: dict = {}
+
+
+def kept(key: str, make: Callable):
+    """``make()``, kept between the tasks of a Python worker; the two latest keys stay."""
+    if key not in _kept:
+        while len(_kept) > 1:
+            del _kept[next(iter(_kept))]
+        _kept[key] = make()
+    return _kept[key]
