@@ -32,12 +32,14 @@ BLOCK = 512
 BROADCAST_ROWS = 200_000
 
 
-def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = 40) -> np.ndarray:
-    """Principal directions turned so that ``sign(x @ r)`` loses least; ``x`` is centred."""
-    _, _, vt = np.linalg.svd(x, full_matrices=False)
-    bits = min(bits, len(vt))
-    w = vt[:bits].T
-    r, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
+def learn_rotation(x: np.ndarray, seed: int, rounds: int = 40) -> np.ndarray:
+    """Principal directions turned so that ``sign(x @ r)`` loses least.
+
+    All directions stay and ``x`` is not centred, so angles are kept and near vectors differ in few bits wherever they lie.
+    """
+    _, _, vt = np.linalg.svd(x, full_matrices=len(x) < x.shape[1])
+    w = vt.T
+    r, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(w), len(w))))
     v = x @ w
     for _ in range(rounds):
         u, _, t = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
@@ -49,21 +51,19 @@ class Tables:
     """Rotations and the bits of each table's key, for vectors of one length."""
 
     def __init__(self, sample: np.ndarray, per_label: float, cosine: float = COSINE):
-        self.mean = sample.mean(0)
-        x = sample - self.mean
-        bits = min(64, sample.shape[1], len(sample))
+        bits = sample.shape[1]
         flip = math.acos(cosine) / math.pi
         self.width = int(min(max(round(math.log2(max(per_label, 1) / PER_KEY)), 4), 20, bits))
         self.count = math.ceil(math.log(MISS) / math.log(1 - (1 - flip) ** self.width))
         each = max(1, bits // self.width)
-        self.rotations = [learn_rotation(x, bits, seed) for seed in range(math.ceil(self.count / each))]
+        self.rotations = [learn_rotation(sample, seed) for seed in range(math.ceil(self.count / each))]
         self.each = each
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """Rows of ``count`` keys."""
         out = []
         for r in self.rotations:
-            signs = (unit - self.mean) @ r >= 0
+            signs = unit @ r >= 0
             for k in range(min(self.each, self.count - len(out))):
                 part = signs[:, k * self.width : (k + 1) * self.width]
                 out.append(part @ (1 << np.arange(part.shape[1], dtype=np.int64)))
