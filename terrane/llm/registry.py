@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, hamming, langid, packing, quality, secrets, setsketch, token_files, toxicity
 from .common import held_out, table
+from .sql import ORACLES
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -26,7 +27,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = r"\\### Assistant: </turn> ok"
+    said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digest(chat.format_windows(turns.unionByName(extra)))
@@ -77,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
