@@ -1,8 +1,8 @@
 """Benchmark decontamination with spaced seeds, in DataFrame functions only.
 
 Words are lower-cased and stripped of marks. Each of a few fixed masks covers ``SPAN`` neighbouring words and hashes those
-it marks 1, ignoring the others, so a hit survives changed words. Hits of training text on benchmark items are
-extended without gaps over the item: the best window of the item at that offset must agree in ``SHARE`` of its words.
+it marks 1, ignoring the others, so a hit survives changed words. Around a hit of training text on a benchmark item
+both are compared word by word at that offset: the best window of the item must agree in ``SHARE`` of its words.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ SPAN = 10
 WINDOW = 25
 SHARE = 0.8
 #: Benchmark rows (hash, item, position) that are broadcast at once; a larger benchmark is joined in blocks of items.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -47,13 +47,14 @@ def seeds(df: DataFrame, columns: list[str], h: str) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each (doc_id, item_id) where a document holds a passage of a benchmark item.
 
-    Columns: doc_id, item_id, agreed (words of the best verified window that agree), window (its words), position (the
-    document's word where the first verified window begins). A hit is verified on the window of min(``window``, item)
-    words around it, moved inside item and document. Null and empty texts, and items or overlaps of fewer words than
-    a mask or window spans, match nothing. Rows with equal ids count as one document or item; other columns are ignored.
+    Columns: doc_id, item_id, agreed (words of the best window that agree), window (its words), position (the document's word
+    that meets the item's first, at the smallest offset that is verified; negative if the document begins later). A hit
+    gives an offset of the item in the document; the windows of min(``window``, item) words of the item at that offset
+    are compared. Null and empty texts, and items or overlaps of fewer words than a mask or window spans, match
+    nothing. Rows with equal ids count as one document or item; other columns are ignored.
 
-    Documents are never shuffled: a hit is verified beside the words of its document. The seeds of a benchmark that
-    is too large to broadcast are joined block by block.
+    Documents are never shuffled: a hit leaves with the words beside the item, and hits of one offset are combined before
+    they are. The seeds of a benchmark that is too large to broadcast are joined block by block.
     """
     item = benchmark.select(F.col("item_id").cast("long").alias("item_id"), hashes(F.col("text")).alias("item"))
     index = seeds(item, ["item_id", "item"], "item").select("item_id", "item", F.col("position").alias("item_position"), F.explode("seed").alias("seed"))
@@ -64,17 +65,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     for b in range(blocks):
         part = index if blocks == 1 else index.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         hit = seeds(doc, ["doc_id", "h"], "h").withColumn("seed", F.explode("seed")).join(F.broadcast(part), "seed")
-        size = F.least(F.lit(window), F.size("item"))
+        # no lambda up to the aggregate, so that scan, hashes and join stay in one generated stage and copy no document
         shift = F.col("position") - F.col("item_position")
         low = F.greatest(F.lit(0), -shift)
-        high = F.least(F.size("item"), F.size("h") - shift) - size
-        at = F.greatest(low, F.least(high, F.col("item_position") - F.floor((size - SPAN) / 2).cast("int")))
-        hit = hit.withColumns({"size": size, "shift": shift, "high": high, "low": low, "at": at}).filter("high >= low")
-        same = F.zip_with(F.slice("item", F.col("at") + 1, F.col("size")), F.slice("h", F.col("shift") + F.col("at") + 1, F.col("size")), lambda x, y: (x == y).cast("int"))
-        hit = hit.select("doc_id", "item_id", "size", (F.col("shift") + F.col("at")).alias("position"), F.aggregate(same, F.lit(0), lambda x, y: x + y).alias("agreed"))
-        found.append(hit.filter(F.col("agreed") >= F.col("size") * share))
+        high = F.least(F.size("item"), F.size("h") - shift)
+        found.append(hit.select("doc_id", "item_id", shift.alias("shift"), "item", F.slice("h", shift + low + 1, high - low).alias("beside")))
     every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("doc_id", "item_id").agg(F.max("agreed").cast("long").alias("agreed"), F.max("size").cast("long").alias("window"), F.min("position").cast("long").alias("position"))
+    offset = every.groupBy("doc_id", "item_id", "shift").agg(F.first("item").alias("item"), F.first("beside").alias("beside"))
+    size = F.least(F.lit(window), F.size("item"))
+    low = F.greatest(F.lit(0), -F.col("shift"))
+    offset = offset.withColumn("size", size).filter("size(beside) >= size")
+    offset = offset.withColumn("same", F.zip_with(F.slice("item", low + 1, F.size("beside")), "beside", lambda x, y: (x == y).cast("int")))
+    sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("size") + 1), lambda i: F.aggregate(F.slice("same", i, F.col("size")), F.lit(0), lambda x, y: x + y))
+    offset = offset.select("doc_id", "item_id", "shift", "size", F.array_max(sums).alias("agreed")).filter(F.col("agreed") >= F.col("size") * share)
+    return offset.groupBy("doc_id", "item_id").agg(F.max("agreed").cast("long").alias("agreed"), F.max("size").cast("long").alias("window"), F.min("shift").cast("long").alias("position"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

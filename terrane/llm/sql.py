@@ -100,14 +100,11 @@ dp AS (SELECT doc_id, h, unnest(range(0, len(h) - {decontaminate.SPAN - 1})) AS
 qp AS (SELECT item_id, item, unnest(range(0, len(item) - {decontaminate.SPAN - 1})) AS p FROM q),
 ds AS ({' UNION ALL '.join(f"SELECT doc_id, p, {k} AS k, {_mask(k, 'h')} AS seed FROM dp" for k in range(len(decontaminate.MASKS)))}),
 qs AS ({' UNION ALL '.join(f"SELECT item_id, p, {k} AS k, {_mask(k, 'item')} AS seed FROM qp" for k in range(len(decontaminate.MASKS)))}),
-hit AS (SELECT DISTINCT doc_id, item_id, ds.p AS dp, qs.p AS qp FROM ds JOIN qs USING (k, seed)),
-win AS (SELECT hit.*, h, item, least({decontaminate.WINDOW}, len(item)) AS size, dp - qp AS shift FROM hit JOIN d USING (doc_id) JOIN q USING (item_id)),
-placed AS (SELECT *, greatest(0, -shift) AS low, least(len(item), len(h) - shift) - size AS high FROM win),
-verified AS (
-  SELECT doc_id, item_id, size, shift + a AS position, list_sum(list_transform(range(1, size + 1), lambda x: (item[a + x] = h[shift + a + x])::INT)) AS agreed
-  FROM (SELECT *, greatest(low, least(high, qp - (size - {decontaminate.SPAN}) // 2)) AS a FROM placed WHERE high >= low)
-)
-SELECT doc_id, item_id, max(agreed)::BIGINT AS agreed, max(size)::BIGINT AS "window", min(position)::BIGINT AS position
+hit AS (SELECT DISTINCT doc_id, item_id, ds.p - qs.p AS shift FROM ds JOIN qs USING (k, seed)),
+win AS (SELECT hit.*, h, item, least({decontaminate.WINDOW}, len(item)) AS size, greatest(0, -shift) AS low, least(len(item), len(h) - shift) AS high FROM hit JOIN d USING (doc_id) JOIN q USING (item_id)),
+starts AS (SELECT *, unnest(range(low, high - size + 1)) AS a FROM win WHERE high - low >= size),
+verified AS (SELECT doc_id, item_id, size, shift, list_sum(list_transform(range(1, size + 1), lambda x: (item[a + x] = h[shift + a + x])::INT)) AS agreed FROM starts)
+SELECT doc_id, item_id, max(agreed)::BIGINT AS agreed, max(size)::BIGINT AS "window", min(shift)::BIGINT AS position
 FROM verified WHERE agreed >= size * {decontaminate.SHARE} GROUP BY doc_id, item_id
 """
 
