@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: GRS 80, zone of the Swedish national grid.
 SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257222101
@@ -40,13 +41,13 @@ def locality_key(locality_id: Column, locality: Column, lat: Column, lon: Column
     return F.coalesce(F.nullif(locality_id, F.lit("")), F.nullif(locality, F.lit("")), F.format_string("cell_%.3f_%.3f", lat, lon))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def locality_key_exact(lat: pd.Series, lon: pd.Series) -> pd.Series:
     """The coordinate key rounded on the exact binary value."""
     return pd.Series([None if pd.isna(a) or pd.isna(b) else f"cell_{a:.3f}_{b:.3f}" for a, b in zip(lat, lon)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(c: pd.Series) -> pd.Series:
     import unicodedata
 
@@ -139,7 +140,7 @@ def volcano(q: Column) -> Column:
     return -F.log10(F.least(F.greatest(q, F.lit(1e-300)), F.lit(1.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """Two-sided tail of the normal distribution."""
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if pd.notna(x) else None).astype("float64")

@@ -25,7 +25,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with the package present on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
