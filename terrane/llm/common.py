@@ -55,3 +55,9 @@ def fraction_of(*cols: str, salt: int) -> Column:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only when the counted rows are within ``limit``; otherwise Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def without(docs: DataFrame, gone: DataFrame, limit: int = 2_000_000) -> DataFrame:
+    """``docs`` whose doc_id is not in ``gone``; null ids stay. Texts are shuffled only if the ids are too many to broadcast."""
+    ids = materialise(gone.select(F.col("doc_id").cast("long").alias("__gone")).filter("__gone IS NOT NULL").distinct(), "gone")
+    return docs.join(broadcast_if_small(ids, ids.count(), limit), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")

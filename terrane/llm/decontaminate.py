@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, without
 
 #: Fixed masks over ten words: six words count.
 MASKS = ("1101100101", "1010011011", "1110010011")
@@ -83,5 +83,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
 def remove(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without the documents that leak an item; all columns stay, and rows with a null doc_id are kept."""
-    bad = leaks(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")
+    return without(docs, leaks(docs, benchmark, **how))

@@ -158,6 +158,39 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, sample:
     return Model.fit(x * SCALE, np.array([seen.index(r["lang"]) for r in rows]), seen)
 
 
+def _scorer(model: Model | None):
+    """A function from texts to (languages, scores, ambiguity flags), with its words kept between tasks."""
+    width = 0 if model is None else model.code.shape[1]
+    key = uuid.uuid4().hex
+
+    def compute(words):
+        buckets, owners = grams(words)
+        out = np.empty((len(words), width + 1), np.float32)
+        for k in range(width):
+            out[:, k] = np.bincount(owners, model.weights[buckets, k], len(words))
+        out[:, width] = np.bincount(owners, minlength=len(words))
+        return out
+
+    def score(texts):
+        words = kept(key, lambda: WordTable(compute, width + 1))
+        lang, scores, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for a, b in text_chunks(texts) if model is not None else ():
+            cut = [_words(t) for t in texts[a:b]]
+            sizes = np.array([len(c) for c in cut])
+            at = words.lookup([w for c in cut for w in c])
+            total = np.concatenate((np.zeros((1, width + 1)), np.cumsum(words.rows[at], axis=0, dtype=np.float64)))
+            ends = np.cumsum(sizes)
+            sums = total[ends] - total[ends - sizes]
+            best, share, near = model.decode(sums[:, :width], sums[:, width])
+            known = sums[:, width] > 0.5
+            for i in np.flatnonzero(known):
+                lang[a + i] = model.languages[best[i]]
+            scores[a:b], unsure[a:b] = np.where(known, share, 0), near & known
+        return lang, scores, unsure
+
+    return score
+
+
 def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with lang_pred, score and ambiguous; ``keep`` names the columns to carry (doc_id if not given).
 
@@ -170,36 +203,23 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
         raise ValueError(f"columns {sorted(taken)} would clash")
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1])
-    width = 0 if model is None else model.code.shape[1]
+    score = _scorer(model)
 
-    def compute(words):
-        buckets, owners = grams(words)
-        out = np.empty((len(words), width + 1), np.float32)
-        for k in range(width):
-            out[:, k] = np.bincount(owners, model.weights[buckets, k], len(words))
-        out[:, width] = np.bincount(owners, minlength=len(words))
-        return out
+    def run(batches):
+        for batch in batches:
+            lang, scores, unsure = score(batch.column(batch.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(scores), pa.array(unsure)], [*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"])
+
+    return map_arrow(source, run, f"{schema}, lang_pred string, score double, ambiguous boolean")
 
-    key = uuid.uuid4().hex
+
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """``docs`` without those whose language is ``und``, or ambiguous with a score under ``least``; all columns stay."""
+    at, score = docs.columns.index("text"), _scorer(model)
 
     def run(batches):
-        words = kept(key, lambda: WordTable(compute, width + 1))
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            lang, score, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            for a, b in text_chunks(texts) if model is not None else ():
-                cut = [_words(t) for t in texts[a:b]]
-                sizes = np.array([len(c) for c in cut])
-                at = words.lookup([w for c in cut for w in c])
-                rows = words.rows[at]
-                total = np.concatenate((np.zeros((1, width + 1)), np.cumsum(rows, axis=0, dtype=np.float64)))
-                ends = np.cumsum(sizes)
-                sums = total[ends] - total[ends - sizes]
-                best, share, near = model.decode(sums[:, :width], sums[:, width])
-                known = sums[:, width] > 0.5
-                for i in np.flatnonzero(known):
-                    lang[a + i] = model.languages[best[i]]
-                score[a:b], unsure[a:b] = np.where(known, share, 0), near & known
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], [*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"])
+            lang, scores, unsure = score(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x != "und" and not (u and s < least) for x, s, u in zip(lang, scores, unsure)], pa.bool_()))
 
-    return map_arrow(source, run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return map_arrow(docs, run, docs.schema)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import broadcast_if_small, materialise
 
 #: The base patterns, by kind.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -114,18 +114,22 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "source", max
     )
 
 
-def redact(docs: DataFrame, owner: str = "source", repository: str = "source", mask: str = "[SECRET]", max_owners: int = MAX_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repository: str = "source", mask: str = "[SECRET]", max_owners: int = MAX_OWNERS, broadcast_rows: int = 500_000) -> DataFrame:
     """``docs`` with the owned (live-looking) matches replaced by ``mask``; copied examples and other columns stay.
 
-    Overlapping matches are replaced together. All rows stay; columns must not be called __found or __row.
+    Overlapping matches are replaced together. All rows stay; columns must not be called __cuts or __key. Rows are told
+    apart by a hash of id and text, so equal rows are treated alike and texts are never shuffled while the texts with
+    owned matches are few enough to broadcast their offsets.
     """
-    tagged = docs.select("*", candidates(F.col("text")).alias("__found"), F.monotonically_increasing_id().alias("__row"))
-    tagged = materialise(tagged, "secrets-redact")
-    each = tagged.filter(F.size("__found") > 0).select("__row", F.col(f"`{owner}`").cast("string").alias("owner"), F.col(f"`{repository}`").cast("string").alias("repository"), F.explode("__found").alias("f"))
-    each = each.select("__row", "owner", "repository", "f.start", "f.end", F.xxhash64(value_of(F.col("f"))).alias("value_hash"))
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    found = docs.select(key.alias("__key"), F.col(f"`{owner}`").cast("string").alias("owner"), F.col(f"`{repository}`").cast("string").alias("repository"), candidates(F.col("text")).alias("found"))
+    found = materialise(found.filter(F.size("found") > 0), "secrets-redact")
+    each = found.select("__key", "owner", "repository", F.explode("found").alias("f"))
+    each = each.select("__key", "owner", "repository", "f.start", "f.end", F.xxhash64(value_of(F.col("f"))).alias("value_hash"))
     counts = ownership(each).filter((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_owners)).select("value_hash")
-    cuts = each.join(counts, "value_hash").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
-    out = tagged.join(cuts, "__row", "left")
+    cuts = each.join(counts, "value_hash").groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
+    cuts = materialise(cuts, "secrets-cuts")
+    out = docs.withColumn("__key", key).join(broadcast_if_small(cuts, cuts.count(), broadcast_rows), "__key", "left")
     text = F.col("text")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

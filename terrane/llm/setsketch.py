@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import broadcast_if_small, discard, materialise
+from .common import broadcast_if_small, discard, materialise, without
 from .graph import components
 from .words import kept, text_chunks
 
@@ -180,10 +180,10 @@ def _blocks(pdf, percent: int):
     low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
     a, b = pdf[pdf["block"] == low], pdf[pdf["block"] == high]
     ka, kb = (np.frombuffer(b"".join(x["sketch"]), "<u2").reshape(-1, REGISTERS) for x in (a, b))
-    na, nb, ia, ib, ca, cb = (x[c].to_numpy() for c in ("n", "rep", "component") for x in (a, b))
+    na, nb, ia, ib, ca, cb, sa, sb = (x[c].to_numpy() for c in ("n", "rep", "component", "shared") for x in (a, b))
     found = []
     for i in range(len(a)):
-        other = (cb != ca[i]) & ((ib > ia[i]) if low == high else True)
+        other = (cb != ca[i]) & ((100 + percent) * np.minimum(sa[i], sb) >= percent * (na[i] + nb)) & ((ib > ia[i]) if low == high else True)
         j = np.flatnonzero(other)
         if len(j):
             ok = j[admissible(np.broadcast_to(ka[i], (len(j), REGISTERS)), kb[j], np.full(len(j), na[i]), nb[j], percent)]
@@ -192,6 +192,12 @@ def _blocks(pdf, percent: int):
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def mixed(named: DataFrame) -> DataFrame:
+    """Rows (bucket, component, ...) of the buckets whose members are in different components."""
+    low_high = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return named.join(low_high.filter("low <> high").select("bucket"), "bucket")
+
+
 class Linker:
     """Holds the tables of one run."""
 
@@ -239,6 +245,24 @@ class Linker:
             every = every.union(e)
         return components(every)
 
+    def prune(self, named: DataFrame) -> DataFrame:
+        """Rows of mixed buckets whose class may still link with another of its bucket, with ``shared``.
+
+        A shingle that no other class of these buckets holds is common to no pair, so a class shares ``shared`` shingles
+        at most: its size less its own ones. What cannot reach the percentage with the smallest member goes.
+        """
+        ids = materialise(named.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")
+        texts = self.docs.join(broadcast_if_small(ids, ids.count(), BROADCAST_ROWS), "doc_id", "left_semi")
+        sets = materialise(map_arrow(texts, _sets, "id long, shingles array<bigint>").filter("size(shingles) > 0").withColumn("row", F.monotonically_increasing_id()), "mixed-sets")
+        single = sets.select("row", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("k"), F.min("row").alias("row")).filter("k = 1")
+        own = sets.select("row", "id").join(single.groupBy("row").agg(F.count("*").alias("own")), "row", "left").groupBy("id").agg(F.min(F.coalesce("own", F.lit(0))).alias("own"))
+        out = named.join(own, named["rep"] == own["id"], "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("id", "own")
+        least = out.groupBy("bucket").agg(F.min("n").alias("least"))
+        out = materialise(out.join(least, "bucket").filter(f"{100 + self.percent} * shared >= {self.percent} * (n + least)").drop("least"), "shared-buckets")
+        discard(sets)
+        discard(ids)
+        return mixed(out)
+
     def run(self) -> DataFrame:
         pivots = self.members.filter("rep <> pivot")
         # each class against the first of its pivots
@@ -251,22 +275,26 @@ class Linker:
         # what is left: pairs of a bucket in different components
         later = materialise(self.labels(), "components")
         discard(now)
-        named = self.members.join(later.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high AND bucket IS NOT NULL").select("bucket")
-        named = materialise(named.filter("size > 2").join(mixed, "bucket"), "mixed-buckets")
+        named = self.members.filter("size > 2").join(later.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        named = materialise(mixed(named), "mixed-buckets")
         discard(later)
+        if named.isEmpty():
+            return self.labels()
+        pruned = materialise(self.prune(named), "pruned-buckets")
+        discard(named)
+        named = pruned
         if named.isEmpty():
             return self.labels()
         small = named.filter(F.col("size") <= SMALL_BUCKET)
-        x, y = small.select("bucket", "pivot", F.col("rep").alias("a"), F.col("component").alias("c1"), F.col("n").alias("n1")), small.select("bucket", F.col("rep").alias("b"), F.col("component").alias("c2"), F.col("n").alias("n2"))
-        near = x.join(y, "bucket").filter(f"a < b AND c1 <> c2 AND a <> pivot AND 100 * least(n1, n2) >= {self.percent} * greatest(n1, n2)").select("a", "b")
+        x, y = small.select("bucket", "pivot", F.col("rep").alias("a"), F.col("component").alias("c1"), F.col("n").alias("n1"), F.col("shared").alias("s1")), small.select("bucket", F.col("rep").alias("b"), F.col("component").alias("c2"), F.col("n").alias("n2"), F.col("shared").alias("s2"))
+        near = x.join(y, "bucket").filter(f"a < b AND c1 <> c2 AND a <> pivot AND {100 + self.percent} * least(n1, n2, s1, s2) >= {self.percent} * (n1 + n2)").select("a", "b")
         found = self.admit(near.distinct())
         large = named.filter(F.col("size") > SMALL_BUCKET)
         if not large.isEmpty():
             n = F.ceil(F.col("size") / BLOCK).cast("int")
             large = large.withColumn("n_blocks", n).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
             large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-            large = large.select("bucket", "low", "high", "block", "rep", "component").join(self.classes.select("rep", "n", "sketch"), "rep")
+            large = large.select("bucket", "low", "high", "block", "rep", "component", "shared").join(self.classes.select("rep", "n", "sketch"), "rep")
             percent = self.percent
             found = found.union(large.groupBy("bucket", "low", "high").applyInPandas(lambda pdf: _blocks(pdf, percent), "a long, b long"))
         self.confirm(found.distinct())
@@ -291,5 +319,4 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each component; all columns stay, and so do null ids."""
-    gone = near_duplicates(docs, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    return without(docs, near_duplicates(docs, percent).filter("NOT kept"))
