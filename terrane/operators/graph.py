@@ -63,7 +63,7 @@ def two_hop(edges: DataFrame, alpha: float = 0.02) -> DataFrame:
     return symmetric(edges.select("src", "dst", "w").union(paths).groupBy("src", "dst").agg(F.sum("w").alias("w")), "max").filter("w <> 0")
 
 
-def similarity(edges: DataFrame, mode: str = "adaptive", beta: float = 1.0, alpha: float = 0.02, how: str = "mean") -> DataFrame:
+def similarity(edges: DataFrame, mode: str = "adaptive", beta: float = 1.0, alpha: float = 0.02, how: str = "max") -> DataFrame:
     """Neighbour distances (src, dst, d) to similarities (src, dst, w).
 
     ``adaptive`` scales by the medians of both ends' distances; a median of 0 is replaced by the median of all.

@@ -113,7 +113,7 @@ SELECT bands.locality_id, latband, m.n, m.e FROM bands LEFT JOIN (SELECT localit
     "pair_distances": f"WITH {COMM} SELECT a.cell_id AS i, b.cell_id AS j, round(sqrt(greatest(0, 2 - 2 * sum(a.value * b.value))), 6) AS d FROM f a JOIN f b ON a.species_id = b.species_id AND a.cell_id < b.cell_id GROUP BY ALL",
     "knn_graph": f"WITH {KNN} SELECT * FROM knn",
     "similarity_adaptive": f"""WITH {KNN}, g AS (SELECT median(d) AS g FROM knn), s AS (SELECT src, CASE WHEN median(d) > 0 THEN median(d) ELSE any_value(g) END AS s FROM knn, g GROUP BY src),
-raw_w AS (SELECT k.src, k.dst, exp(-d * d / (2 * a.s * b.s)) + {expr.FLOOR} AS w FROM knn k JOIN s a ON a.src = k.src JOIN s b ON b.src = k.dst), sim AS {_symmetric('raw_w', 'mean')},
+raw_w AS (SELECT k.src, k.dst, exp(-d * d / (2 * a.s * b.s)) + {expr.FLOOR} AS w FROM knn k JOIN s a ON a.src = k.src JOIN s b ON b.src = k.dst), sim AS {_symmetric('raw_w', 'max')},
 hop AS (SELECT a.src, b.dst, 0.02 * sum(a.w * b.w) AS w FROM sim a JOIN sim b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY ALL), both_ AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM sim UNION ALL SELECT * FROM hop) GROUP BY ALL)
 SELECT src, dst, round(w, 6) AS w FROM {_symmetric('both_', 'max')}""",
     "similarity_reciprocal": f"WITH {KNN}, raw_w AS (SELECT src, dst, 1 / (1 + d) + {expr.FLOOR} AS w FROM knn) SELECT src, dst, round(w, 6) AS w FROM {_symmetric('raw_w', 'max')}",

@@ -245,7 +245,7 @@ def similarity_exp(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edge_topk(spark: SparkSession, sf: str) -> DataFrame:
-    edges = graph.similarity(_edges(spark, sf), "reciprocal", alpha=0.0)
+    edges = graph.similarity(_edges(spark, sf), "reciprocal", alpha=0.0, how="mean")
     return _rounded(graph.strongest_edges(edges.withColumn("w", F.round("w", 9)), 500, 0.1), "w")
 
 
@@ -266,7 +266,7 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cluster_links(spark: SparkSession, sf: str) -> DataFrame:
-    edges = graph.similarity(_edges(spark, sf), "reciprocal", alpha=0.0)
+    edges = graph.similarity(_edges(spark, sf), "reciprocal", alpha=0.0, how="mean")
     return _rounded(graph.cluster_links(edges, _labels(spark, sf)), "sum_w")
 
 
@@ -275,12 +275,12 @@ def greedy_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def small_merge(spark: SparkSession, sf: str) -> DataFrame:
-    edges = graph.similarity(_edges(spark, sf), "reciprocal", alpha=0.0)
+    edges = graph.similarity(_edges(spark, sf), "reciprocal", alpha=0.0, how="mean")
     return graph.merge_small(edges, _labels(spark, sf), 50)
 
 
 def modularity(spark: SparkSession, sf: str) -> DataFrame:
-    edges = graph.similarity(_edges(spark, sf), "reciprocal", alpha=0.0)
+    edges = graph.similarity(_edges(spark, sf), "reciprocal", alpha=0.0, how="mean")
     return _rounded(graph.modularity(edges, _labels(spark, sf)), "quality")
 
 
@@ -294,7 +294,7 @@ def label_compaction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def layout(spark: SparkSession, sf: str) -> DataFrame:
-    edges = graph.similarity(_edges(spark, sf), "reciprocal", alpha=0.0)
+    edges = graph.similarity(_edges(spark, sf), "reciprocal", alpha=0.0, how="mean")
     return graph.layout(graph.strongest_edges(edges, 2000), rounds=50)
 
 
