@@ -61,3 +61,15 @@ def without(docs: DataFrame, gone: DataFrame, limit: int = 2_000_000) -> DataFra
     """``docs`` whose doc_id is not in ``gone``; null ids stay. Texts are shuffled only if the ids are too many to broadcast."""
     ids = materialise(gone.select(F.col("doc_id").cast("long").alias("__gone")).filter("__gone IS NOT NULL").distinct(), "gone")
     return docs.join(broadcast_if_small(ids, ids.count(), limit), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+
+
+def sample_labels(labels: DataFrame, per_label: int, salt: int) -> tuple[DataFrame, dict]:
+    """About ``per_label`` rows (doc_id, label) of each label 0 and 1, by a hash of doc_id, and the share of each label taken.
+
+    The sample's size is bounded by ``per_label``, not by the data, so it may be broadcast.
+    """
+    labels = labels.select("doc_id", F.col("label").cast("int").alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL")
+    found = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = {k: min(1.0, per_label / n) for k, n in found.items()}
+    chosen = labels.filter(fraction_of("doc_id", salt=salt) < F.when(F.col("label") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    return chosen, share

@@ -57,11 +57,11 @@ def directions(seed: int = 17, dimensions: int = DIMENSIONS) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((1 << 16, dimensions)).astype(np.float32)
 
 
-def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, broadcast_rows: int = BROADCAST_ROWS, with_ids: bool = True) -> DataFrame:
     """Pack (doc_id, text) into sequences; one row for each piece of a document.
 
     Columns: doc_id, start (ids of the document before the piece), length, ids_crc32, doc_tokens, sequence_id,
-    offset, ids (the piece's ids). Null texts are empty and give their end id alone; every row counts, repeated ids
+    offset, and ids (the piece's ids) unless they are not asked for. Null texts are empty and give their end id alone; every row counts, repeated ids
     and texts included; other columns are ignored; an empty table gives no rows.
 
     The ids are written once and never sorted: only (row, key, size) is range-sorted, and each row's start comes
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, broadcast_rows:
 
     def cut(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)}
             for doc_id, size, at, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 raw, start = np.frombuffer(data, "<u2").astype("<u4").tobytes(), 0
                 while start < size:
@@ -134,4 +134,5 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, broadcast_rows:
                     start += n
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()})
 
-    return map_arrow(joined, cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return map_arrow(joined, cut, f"{schema}, ids binary" if with_ids else schema)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import fraction_of
+from .common import sample_labels
 from .crf import Adam, fit_logistic, gradients, marginals
 from .words import text_chunks
 
@@ -114,11 +114,11 @@ class Model:
 
 def fit(x: np.ndarray, sizes: np.ndarray, lines: np.ndarray, good: np.ndarray, weight: np.ndarray, steps: int = 150) -> Model:
     """Fit to the lines of documents that are good (1) or bad (0); ``weight``: documents that each stands for."""
+    if len(np.unique(good)) < 2:
+        return Model(np.zeros(3 * x.shape[1]), np.zeros((2, 2)), 0.0, np.array([0, 0, 0, 0, 20.0 if len(good) and good[0] else -20.0]))
     starts = np.cumsum(lines) - lines
     bad = np.repeat(1 - good, lines)
     x3 = with_neighbours(x, starts)
-    if len(np.unique(good)) < 2:
-        return Model(np.zeros(x3.shape[1]), np.zeros((2, 2)), 0.0, np.array([0, 0, 0, 0, 20.0 if len(good) and good[0] else -20.0]))
     y, w = bad.astype(np.int64), None
     for _ in range(3):
         w = fit_logistic(x, y, l2=1e-4)
@@ -135,15 +135,13 @@ def fit(x: np.ndarray, sizes: np.ndarray, lines: np.ndarray, good: np.ndarray, w
     return Model(params["w"], params["trans"], float(params["init"][0]), document)
 
 
-def train(labelled: DataFrame, per_label: int = SAMPLE_PER_LABEL, salt: int = 31) -> Model:
-    """Fit on rows (doc_id, text, label), 1 good and 0 bad; others are ignored, null texts are empty.
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, salt: int = 31) -> Model:
+    """Fit on documents (doc_id, text) that have a label in ``labels`` (doc_id, label), 1 good and 0 bad; null texts are empty.
 
     About ``per_label`` documents of each label, chosen by a hash of doc_id, come to the driver as line features.
     """
-    labelled = labelled.filter("label IN (0, 1)")
-    found = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = {k: min(1.0, per_label / n) for k, n in found.items()}
-    chosen = labelled.filter(fraction_of("doc_id", salt=salt) < F.when(F.col("label") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    chosen, share = sample_labels(labels, per_label, salt)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def features(batches):
         for batch in batches:

@@ -13,11 +13,10 @@ from .sql import ORACLES
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """(doc_id, text, label) of the rows that may be learned from."""
+def _learnable(spark: SparkSession, sf_dir: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Documents and labels (doc_id, label) that may be learned from."""
     docs = table(spark, sf_dir, "documents").filter(~held_out()).select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", F.col(label).alias("label")).filter("label IS NOT NULL")
-    return docs.join(labels, "doc_id")
+    return docs, table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", F.col(label).alias("label"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def op3_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.train(_labelled(spark, sf_dir, "toxic"))
+    model = toxicity.train(*_learnable(spark, sf_dir, "toxic"))
     out = toxicity.predict(table(spark, sf_dir, "documents"), model)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
@@ -49,7 +48,7 @@ def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
 
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +60,7 @@ def op8_itq_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality.train(_labelled(spark, sf_dir, "quality"))
+    model = quality.train(*_learnable(spark, sf_dir, "quality"))
     out = quality.predict(table(spark, sf_dir, "documents"), model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "lines", "bad_lines")
 

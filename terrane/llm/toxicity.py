@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import fraction_of
+from .common import sample_labels
 from .crf import Adam, fit_logistic, gradients, marginals
 from .words import WordTable, kept, text_chunks
 
 #: Bound of the training sample: expected documents of each label.
-SAMPLE_PER_LABEL = 1500
+SAMPLE_PER_LABEL = 1000
 #: A feature joins the vocabulary when this many sampled documents hold it.
 VOCABULARY_DOCUMENTS = 4
 #: A feature is toxic when its standardised log odds reach this, and the odds themselves the second figure.
@@ -135,15 +135,13 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, step
     return Model(vocab[known], params["w"][1:], float(params["bias"][0]), params["trans"], float(params["init"][0]), document)
 
 
-def train(labelled: DataFrame, per_label: int = SAMPLE_PER_LABEL, salt: int = 23) -> Model:
-    """Fit on rows (doc_id, text, label) with label 0 or 1; others are ignored, null texts are empty.
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, salt: int = 23) -> Model:
+    """Fit on documents (doc_id, text) that have a label of 0 or 1 in ``labels`` (doc_id, label); null texts are empty.
 
     About ``per_label`` documents of each label, chosen by a hash of doc_id, come to the driver as word features.
     """
-    labelled = labelled.filter("label IN (0, 1)")
-    found = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = {k: min(1.0, per_label / n) for k, n in found.items()}
-    chosen = labelled.filter(fraction_of("doc_id", salt=salt) < F.when(F.col("label") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    chosen, share = sample_labels(labels, per_label, salt)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def features(batches):
         for batch in batches:
