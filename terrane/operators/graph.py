@@ -183,7 +183,7 @@ def communities(edges: DataFrame, resolutions: list[float], seed: int = 123, ref
         label = louvain(len(nodes), at[:half][order], at[half:][order], pdf["w"].to_numpy()[order], float(pdf["resolution"].iloc[0]), seed, refine)
         return pd.DataFrame({"run": pdf["run"].iloc[0], "resolution": pdf["resolution"].iloc[0], "node": nodes, "label": label})
 
-    return edges.crossJoin(F.broadcast(runs)).groupBy("run").applyInPandas(solve, "run int, resolution double, node long, label long")
+    return edges.crossJoin(F.broadcast(runs)).groupBy("run").applyInPandas(solve, f"run int, resolution double, node {dict(edges.dtypes)['src']}, label long")
 
 
 def pick_run(runs: DataFrame, target: int) -> DataFrame:
@@ -300,4 +300,4 @@ def layout(edges: DataFrame, rounds: int = 500, seed: int = 123) -> DataFrame:
         pos = (pos - pos.min(0)) / span
         return pd.DataFrame({"node": nodes, "x": pos[:, 0], "y": pos[:, 1]})
 
-    return edges.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(solve, "node long, x double, y double")
+    return edges.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(solve, f"node {dict(edges.dtypes)['src']}, x double, y double")

@@ -11,10 +11,10 @@ def latitude_bands(df: DataFrame, by: str, lat: str, n: int = 10) -> DataFrame:
 
     Equal edges are one edge; a group of one value is band 0; missing latitudes have no band.
     """
-    edges = df.groupBy(by).agg(F.percentile(lat, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("__edges")).withColumn("__edges", F.array_distinct("__edges"))
+    edges = df.groupBy(by).agg(F.percentile(lat, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("__edges")).select(F.col(by).alias("__by"), F.array_distinct("__edges").alias("__edges"))
     below = F.size(F.filter("__edges", lambda e: e < F.col(lat)))
     band = F.when(F.col(lat).isNotNull(), F.greatest(below - 1, F.lit(0)))
-    out = df.join(edges, df[by].eqNullSafe(edges[by])).drop(edges[by])
+    out = df.join(edges, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
     return out.withColumn("band", band).withColumn("latband", F.concat(F.lit("LAT"), (F.col("band") + 1).cast("string"))).drop("__edges")
 
 
@@ -44,8 +44,8 @@ def draw(df: DataFrame, by: list[str], n: int | Column, seed: int, key: list[str
 def stratified_sample(df: DataFrame, by: str, band: str, per_band: Column | int, seed: int, key: list[str], strict_equal: bool = True, cap: int | None = None) -> DataFrame:
     """A sample of every band of every group; ``strict_equal`` lowers all bands' shares to the smallest band."""
     sizes = df.filter(F.col(band).isNotNull()).groupBy(by, band).agg(F.count("*").alias("__size"))
-    least = sizes.groupBy(by).agg(F.min("__size").alias("__least"))
-    out = df.filter(F.col(band).isNotNull()).join(least, df[by].eqNullSafe(least[by])).drop(least[by])
+    least = sizes.groupBy(F.col(by).alias("__by")).agg(F.min("__size").alias("__least"))
+    out = df.filter(F.col(band).isNotNull()).join(least, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
     share = F.lit(per_band) if isinstance(per_band, int) else per_band
     out = draw(out, [by, band], F.least(share, F.col("__least")) if strict_equal else share, seed, key).drop("__least")
     return draw(out, [by], cap, seed + 1, key) if cap else out

@@ -34,8 +34,8 @@ def target_totals(focal: DataFrame, counts: DataFrame, red: DataFrame) -> DataFr
     """(sci, n_focal, n_kept, n_red); focal rows count before any box; a missing name is a group."""
     rows = focal.groupBy("sci").agg(F.count("*").alias("n_focal"))
     marked = counts.join(F.broadcast(red.toDF("tid").distinct().withColumn("red", F.lit(1))), "tid", "left")
-    kept = marked.groupBy("sci").agg(F.count("*").alias("n_kept"), F.count("red").alias("n_red"))
-    out = rows.join(kept, rows["sci"].eqNullSafe(kept["sci"]), "left").drop(kept["sci"])
+    kept = marked.groupBy(F.col("sci").alias("__sci")).agg(F.count("*").alias("n_kept"), F.count("red").alias("n_red"))
+    out = rows.join(kept, F.col("sci").eqNullSafe(F.col("__sci")), "left")
     return out.select("sci", "n_focal", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.coalesce("n_red", F.lit(0)).alias("n_red"))
 
 
