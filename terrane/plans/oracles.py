@@ -159,4 +159,16 @@ n AS (SELECT cluster, count(*) AS n_cells FROM labels GROUP BY 1)
 SELECT cluster, count(*) AS n_pairs_used, any_value(n_cells) AS n_cells, round(avg(sor), 6) AS beta_sor_mean, round(stddev_samp(sor), 6) AS beta_sor_sd, round(avg(sim), 6) AS beta_turnover_mean, round(stddev_samp(sim), 6) AS beta_turnover_sd, round(avg(sor - sim), 6) AS beta_nestedness_mean, round(stddev_samp(sor - sim), 6) AS beta_nestedness_sd FROM s JOIN n USING (cluster) GROUP BY cluster""",
     "minmax": "WITH m AS (SELECT c_custkey, c_acctbal AS x, min(c_acctbal) OVER (PARTITION BY c_mktsegment) AS lo, max(c_acctbal) OVER (PARTITION BY c_mktsegment) AS hi FROM customer) SELECT c_custkey, round(CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE 0.5 END, 6) AS scaled FROM m",
     "quantile_clamp": "WITH q AS (SELECT quantile_cont(c_acctbal, 0.005) AS lo, quantile_cont(c_acctbal, 0.995) AS hi FROM customer) SELECT c_custkey, round(greatest(lo, least(hi, c_acctbal)), 6) AS clamped FROM customer, q",
+    "map_cells": f"WITH {LOC}, {CELLS}, r AS (SELECT cell_id, gx, gy, min(cluster) AS cluster FROM cells GROUP BY ALL) SELECT cell_id, cluster, (gx * 10000)::DOUBLE AS x0, (gy * 10000)::DOUBLE AS y0, 10000::DOUBLE AS width, 10000::DOUBLE AS height, ((dense_rank() OVER (ORDER BY cluster) - 1) % 20)::INT AS colour_idx FROM r",
+    "map_extent": f"""WITH {LOC}, {CELLS}, e AS (SELECT min(gx) * 10000 AS xl, (max(gx) + 1) * 10000 AS xh, min(gy) * 10000 AS yl, (max(gy) + 1) * 10000 AS yh FROM cells)
+SELECT xl::DOUBLE AS x_low, xh::DOUBLE AS x_high, yl::DOUBLE AS y_low, yh::DOUBLE AS y_high, array_to_string(list_transform(range(ceil(xl / 100000)::BIGINT, floor(xh / 100000)::BIGINT + 1), lambda i: i * 100000), ' ') AS x_ticks, array_to_string(list_transform(range(ceil(yl / 100000)::BIGINT, floor(yh / 100000)::BIGINT + 1), lambda i: i * 100000), ' ') AS y_ticks FROM e""",
+    "strip_values": f"""WITH {SUMMARY}, top AS (SELECT cluster, species_id FROM m WHERE delta > 0.00001 AND prevalence >= 0.05 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(delta, 9) DESC, species_id) <= 3)
+SELECT top.cluster, top.species_id, l.cell_id, l.cluster = top.cluster AS inside, round(coalesce(f.value, 0), 6) AS value FROM labels l CROSS JOIN top LEFT JOIN f ON f.cell_id = l.cell_id AND f.species_id = top.species_id""",
+    "lcbd_boxes": f"""WITH {COMM}, n AS (SELECT count(DISTINCT cell_id) AS n FROM f), mu AS (SELECT species_id, sum(value) / any_value(n) AS m FROM f, n GROUP BY 1),
+ss AS (SELECT c.cell_id, sum((coalesce(value, 0) - m) * (coalesce(value, 0) - m)) AS ss FROM (SELECT DISTINCT cell_id FROM f) c CROSS JOIN mu LEFT JOIN f ON f.cell_id = c.cell_id AND f.species_id = mu.species_id GROUP BY 1),
+l AS (SELECT cluster, ss / (SELECT sum(ss) FROM ss) AS x FROM ss JOIN labels USING (cell_id)),
+q AS (SELECT cluster, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.75) AS q3 FROM l GROUP BY 1)
+SELECT l.cluster, round(q1, 9) AS q1, round(med, 9) AS "median", round(q3, 9) AS q3, round(min(x), 9) AS low, round(max(x), 9) AS high FROM l JOIN q ON q.cluster = l.cluster WHERE x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) GROUP BY l.cluster, q1, med, q3""",
 }
+ORACLES["radar"] = f"""WITH s AS ({ORACLES['sorensen']}), t AS (SELECT cluster, unnest(['n_cells', 'beta_sor_mean', 'beta_turnover_mean']) AS metric, unnest([n_cells::DOUBLE, beta_sor_mean, beta_turnover_mean]) AS x FROM s)
+SELECT cluster, metric, round(CASE WHEN max(x) OVER w > min(x) OVER w THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) ELSE 0.5 END, 6) AS scaled FROM t WINDOW w AS (PARTITION BY metric)"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..operators import community, graph, sampling, spatial, stats
+from ..operators import community, drawing, graph, sampling, spatial, stats
 from ..sources import writers
 from . import bridge
 
@@ -399,10 +399,39 @@ def quantile_clamp(spark: SparkSession, sf: str) -> DataFrame:
     return c.crossJoin(F.broadcast(cut)).select("c_custkey", r6(F.greatest(F.element_at("q", 1), F.least(F.element_at("q", 2), F.col("c_acctbal"))), "clamped"))
 
 
+# tables to draw
+
+
+def map_cells(spark: SparkSession, sf: str) -> DataFrame:
+    placed = spatial.with_cells(bridge.localities(spark, sf), "e", "n", CELL)
+    regions = placed.groupBy("cell_id", "gx", "gy").agg(F.min("cluster").alias("cluster"))
+    return drawing.map_cells(regions, "cluster", CELL)
+
+
+def map_extent(spark: SparkSession, sf: str) -> DataFrame:
+    out = drawing.map_extent(community.cell_index(bridge.localities(spark, sf), CELL), CELL)
+    return out.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ") for c in ("x_ticks", "y_ticks")})
+
+
+def strip_values(spark: SparkSession, sf: str) -> DataFrame:
+    f, labels = _comm(spark, sf)
+    return _rounded(drawing.strips(f, labels, marker_topn(spark, sf), 3).drop("jitter"), "value")
+
+
+def lcbd_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    f, labels = _comm(spark, sf)
+    out = drawing.boxes(stats.lcbd(f).join(labels, "cell_id"), "cluster", "lcbd")
+    return out.select("cluster", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
+
+
+def radar(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(drawing.radar(sorensen(spark, sf).select("cluster", "n_cells", "beta_sor_mean", "beta_turnover_mean"), "cluster"), "scaled")
+
+
 QUERIES = (
     hellinger_cells, cell_counts, cell_centroids, cell_order, cell_rects, missing_coordinates, vocab_index, species_index, explode_ids, exclude_ids, focal_filter, associate_filter, taxon_regex, numeric_coerce, locality_key,
     names_cleaned, box_filter, dedup_first, locality_median, project_sweref, unproject_sweref, radius_join, radius_counts, assoc_threshold, target_totals, all_observations, site_species_sets, red_per_locality, red_lists,
     latbands, site_quota, strict_equal_counts, stratified_sample, weighted_draw, pair_distances, knn_graph, similarity_adaptive, similarity_reciprocal, similarity_exp, edge_topk, cluster_centroids, closest_pair, cluster_links,
     greedy_merge, small_merge, modularity, community_labels, label_compaction, layout, marker_means, marker_cohen_d, marker_mwu, bh_fdr, marker_topn, marker_scan, volcano, dispersion, separation, silhouette, permanova_f,
-    permanova_p, lcbd, lcbd_summary, indval_summary, sorensen, minmax, quantile_clamp,
+    permanova_p, lcbd, lcbd_summary, indval_summary, sorensen, minmax, quantile_clamp, map_cells, map_extent, strip_values, lcbd_boxes, radar,
 )
