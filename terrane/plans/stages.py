@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import community, drawing, graph, sampling, spatial, stats
+from ..scratch import materialise
 from ..sources import writers
 from . import config
 
@@ -66,14 +67,13 @@ def features(presence: DataFrame, localities: DataFrame, c: config.Features = co
 
 def cell_neighbours(cell_features: DataFrame, c: config.Features = config.Features()) -> DataFrame:
     """(src, dst, d): exact nearest cells by composition; cells that share no species are the square root of 2 apart."""
-    cell_features = cell_features.persist()
     ids = cell_features.select("cell_id").distinct()
-    dots = community.pair_dots(cell_features).persist()
+    dots = materialise(community.pair_dots(cell_features), "dots")
     near = dots.select(F.col("i").alias("src"), F.col("j").alias("dst"), "dot").union(dots.select("j", "i", "dot"))
     found = near.select("src", "dst", F.round(community.unit_distance(F.col("dot")), 9).alias("d"))
     if c.include_self:
         found = found.union(ids.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(0.0).alias("d")))
-    found = found.persist()
+    found = materialise(found, "near-cells")
     # cells with too few neighbours are filled up with the first cells that they share nothing with
     few = ids.withColumnRenamed("cell_id", "src").join(found.groupBy("src").agg(F.count("*").alias("k")), "src", "left").filter(F.coalesce("k", F.lit(0)) < c.neighbours).select("src")
     first = ids.orderBy("cell_id").limit(4 * c.neighbours).withColumnRenamed("cell_id", "dst")
@@ -84,9 +84,9 @@ def cell_neighbours(cell_features: DataFrame, c: config.Features = config.Featur
 
 def clusters(knn: DataFrame, vectors: DataFrame | None = None, c: config.Clusters = config.Clusters()) -> dict[str, DataFrame]:
     """Stage 4: similarity graph, sweep, the best run, small clusters merged, then down to the target by centroids."""
-    knn = knn.persist()
-    sim = graph.similarity(knn, c.kernel, c.beta, c.two_hop, c.symmetry).persist()
-    runs = graph.communities(sim, list(c.resolutions), c.seed).persist()
+    # tables cut the lineage: the graph is read many times
+    sim = materialise(graph.similarity(materialise(knn, "knn"), c.kernel, c.beta, c.two_hop, c.symmetry), "similarity")
+    runs = materialise(graph.communities(sim, list(c.resolutions), c.seed), "runs")
     scored = []
     for run, gamma in enumerate(c.resolutions):
         own = runs.filter(F.col("run") == run).select("node", "label")
@@ -115,7 +115,7 @@ def markers(cell_features: DataFrame, labels: DataFrame, c: config.Markers = con
 def evaluation(vectors: DataFrame, c: config.Evaluation = config.Evaluation()) -> dict[str, DataFrame]:
     """Stage 7: separation, silhouettes and the permutation test of labelled vectors (id, cluster, v)."""
     vectors = vectors.filter("cluster >= 0")
-    sums = stats.label_sums(vectors).persist()
+    sums = materialise(stats.label_sums(vectors), "label-sums")
     s = stats.silhouettes(sums)
     return {"separation": stats.separation(sums), "silhouettes": s, "silhouette_summary": stats.silhouette_summary(s), "permanova": stats.permanova(vectors), "permanova_test": stats.permanova_test(vectors, c.permutations)}
 
