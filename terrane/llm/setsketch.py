@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..shipping import map_arrow
 from .common import broadcast_if_small, discard, materialise, without
 from .graph import components
+from .grouped import runs
 from .words import kept, text_chunks
 
 WORDS = 5
@@ -48,7 +49,7 @@ ODD = (_draw.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uin
 class WordHashes:
     """64-bit hashes of words as bytes; about twice ``limit`` are held."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         self.limit, self.now, self.older = limit, {}, {}
 
     def lookup(self, words: list) -> np.ndarray:
@@ -117,12 +118,17 @@ def admissible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, per
     The likelihood of how many registers are greater, smaller and equal is compared between similarities from
     ``percent`` on and those below. Sizes alone rule out pairs that cannot link.
     """
-    na, nb = na.astype(np.float64), nb.astype(np.float64)
+    least, m = percent / 100, a.shape[1]
+    # far fewer equal registers than any admissible pair has: seven deviations
+    near = np.flatnonzero((a == b).sum(1) >= m * least - 7 * np.sqrt(m * least * (1 - least)))
+    out = np.zeros(len(a), bool)
+    if not len(near):
+        return out
+    a, b, na, nb = a[near], b[near], na[near].astype(np.float64), nb[near].astype(np.float64)
     more, less = (a > b).sum(1), (a < b).sum(1)
-    same = a.shape[1] - more - less
+    same = m - more - less
     u, v = na / (na + nb), nb / (na + nb)
     top = np.minimum(u / v, v / u)
-    least = percent / 100
 
     def p(x):
         return -np.log(1 - np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / np.log(BASE)
@@ -137,7 +143,8 @@ def admissible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, per
 
     possible = top >= least - 1e-9
     high = best(np.full(len(a), least), np.maximum(top, least))
-    return possible & (high + LIKELIHOOD >= best(np.zeros(len(a)), np.full(len(a), least)))
+    out[near] = possible & (high + LIKELIHOOD >= best(np.zeros(len(a)), np.full(len(a), least)))
+    return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -173,23 +180,22 @@ def _thin(batches, percent: int):
             yield batch.select([0, 1]).filter(pa.array(keep))
 
 
-def _blocks(pdf, percent: int):
-    """Admissible pairs of different components between two blocks of a bucket, or inside one."""
-    import pandas as pd
-
-    low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
-    a, b = pdf[pdf["block"] == low], pdf[pdf["block"] == high]
-    ka, kb = (np.frombuffer(b"".join(x["sketch"]), "<u2").reshape(-1, REGISTERS) for x in (a, b))
-    na, nb, ia, ib, ca, cb, sa, sb = (x[c].to_numpy() for c in ("n", "rep", "component", "shared") for x in (a, b))
-    found = []
-    for i in range(len(a)):
-        other = (cb != ca[i]) & ((100 + percent) * np.minimum(sa[i], sb) >= percent * (na[i] + nb)) & ((ib > ia[i]) if low == high else True)
-        j = np.flatnonzero(other)
-        if len(j):
-            ok = j[admissible(np.broadcast_to(ka[i], (len(j), REGISTERS)), kb[j], np.full(len(j), na[i]), nb[j], percent)]
-            found.append(np.stack((np.full(len(ok), ia[i]), ib[ok]), 1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+def _blocks(batches, percent: int):
+    """For each run of two blocks of a bucket, or of one: admissible pairs of different components."""
+    for run in runs(batches, ["bucket", "low", "high"]):
+        low, high = run.column(1)[0].as_py(), run.column(2)[0].as_py()
+        block, rep, component, shared, n = (run.column(c).to_numpy() for c in range(3, 8))
+        sketch = _matrix(run.column(8))
+        first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        found = []
+        for i in first:
+            other = (component[second] != component[i]) & ((100 + percent) * np.minimum(shared[i], shared[second]) >= percent * (n[i] + n[second]))
+            j = second[other & (rep[second] > rep[i])] if low == high else second[other]
+            if len(j):
+                ok = j[admissible(np.broadcast_to(sketch[i], (len(j), REGISTERS)), sketch[j], np.full(len(j), n[i]), n[j], percent)]
+                found.append((np.full(len(ok), rep[i]), rep[ok]))
+        if found:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate([f[0] for f in found])), "b": pa.array(np.concatenate([f[1] for f in found]))})
 
 
 def mixed(named: DataFrame) -> DataFrame:
@@ -294,9 +300,10 @@ class Linker:
             n = F.ceil(F.col("size") / BLOCK).cast("int")
             large = large.withColumn("n_blocks", n).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
             large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-            large = large.select("bucket", "low", "high", "block", "rep", "component", "shared").join(self.classes.select("rep", "n", "sketch"), "rep")
-            percent = self.percent
-            found = found.union(large.groupBy("bucket", "low", "high").applyInPandas(lambda pdf: _blocks(pdf, percent), "a long, b long"))
+            large = large.select("bucket", "low", "high", "block", "rep", "component", "shared").join(self.classes.select("rep", "n", "sketch"), "rep").select("bucket", "low", "high", "block", "rep", "component", "shared", "n", "sketch")
+            keys = ["bucket", "low", "high"]
+            large = large.repartition(int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+            found = found.union(map_arrow(large, partial(_blocks, percent=self.percent), "a long, b long"))
         self.confirm(found.distinct())
         discard(named)
         return self.labels()
