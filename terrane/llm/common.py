@@ -1,41 +1,14 @@
-"""Shared helpers: scratch tables, table access, folds and grouped batches."""
+"""Shared helpers: table access, folds, samples and size-checked joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, materialise, scratch_dir
+
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="terrane-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table read back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``materialise`` that nothing lazy depends on any more."""
-    path, spark = df._scratch_path, df.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+__all__ = ["broadcast_if_small", "discard", "fraction_of", "held_out", "materialise", "sample_labels", "scratch_dir", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
