@@ -24,7 +24,7 @@ LENGTH = 2048
 DIMENSIONS = 3
 GRID_BITS = 16
 #: Rows of (row, start) that may be broadcast, 16 bytes each; beyond that the join shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def hilbert_keys(grid: np.ndarray, bits: int = GRID_BITS) -> np.ndarray:
@@ -72,7 +72,9 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, broadcast_rows:
 
     def encode(batches):
         tokens, part, row = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        table, end = directions(), np.array([END], "<u4").tobytes()
+        # a column for each coordinate, in the order of ids instead of hashes
+        hashed = (np.arange(1 << 16, dtype=np.uint32) * np.uint32(2654435761)) >> np.uint32(16)
+        columns, end = list(np.ascontiguousarray(directions()[hashed].T)), np.array([END], "<u4").tobytes()
         if len(tokens.closes) > 1 << 16:
             raise ValueError("ids are held as unsigned 16-bit numbers")
         for batch in batches:
@@ -81,9 +83,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, broadcast_rows:
                 raw = [x + end for x in tokens.encode_many(texts[a:b])]
                 sizes = np.array([len(x) // 4 for x in raw], np.int64)
                 ids = np.frombuffer(b"".join(raw), "<u4")
-                hashed = (ids * np.uint32(2654435761)) >> np.uint32(16)
                 first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                vectors = np.add.reduceat(table[hashed], first, axis=0) / np.sqrt(sizes)[:, None]
+                vectors = np.stack([np.add.reduceat(c[ids], first) for c in columns], 1) / np.sqrt(sizes)[:, None]
                 grid = ((np.tanh(vectors / 2) + 1) / 2 * ((1 << GRID_BITS) - 1)).astype(np.uint64)
                 short = ids.astype("<u2")
                 at = (np.concatenate((first, [len(ids)])) * 2).tolist()
@@ -97,7 +98,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, broadcast_rows:
                 })
                 row += len(raw)
 
-    tokens = materialise(map_arrow(source, encode, "row long, doc_id long, doc_tokens long, key long, data binary"), "pack-ids", "zstd")
+    tokens = materialise(map_arrow(source, encode, "row long, doc_id long, doc_tokens long, key long, data binary"), "pack-ids")
 
     def place(batches):
         part, at = TaskContext.get().partitionId(), 0
