@@ -28,13 +28,14 @@ from .words import kept, text_chunks
 
 WORDS = 5
 BANDS, ROWS = 32, 5
-REGISTERS = BANDS * ROWS
+#: The first BANDS * ROWS make the bands; all serve the likelihood.
+REGISTERS = 256
 #: SetSketch parameters: base, rate of the exponential hash, largest exponent.
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: A candidate goes when its registers are exp(LIKELIHOOD) times likelier under some lower similarity than under any admissible one.
-LIKELIHOOD = 14.0
+LIKELIHOOD = 12.0
 #: Buckets of more members are compared in blocks of this many.
 BLOCK = 256
 SMALL_BUCKET = 64
@@ -185,12 +186,15 @@ def _blocks(batches, percent: int):
     for run in runs(batches, ["bucket", "low", "high"]):
         low, high = run.column(1)[0].as_py(), run.column(2)[0].as_py()
         block, rep, component, shared, n = (run.column(c).to_numpy() for c in range(3, 8))
-        sketch = _matrix(run.column(8))
+        sketch, band = _matrix(run.column(8)), run.column(9)[0].as_py()
+        bands = sketch[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
         first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
         found = []
         for i in first:
             other = (component[second] != component[i]) & ((100 + percent) * np.minimum(shared[i], shared[second]) >= percent * (n[i] + n[second]))
             j = second[other & (rep[second] > rep[i])] if low == high else second[other]
+            # a pair comes from the first band that it shares, and from no other
+            j = j[(bands[j] == bands[i]).all(2).argmax(1) == band]
             if len(j):
                 ok = j[admissible(np.broadcast_to(sketch[i], (len(j), REGISTERS)), sketch[j], np.full(len(j), n[i]), n[j], percent)]
                 found.append((np.full(len(ok), rep[i]), rep[ok]))
@@ -214,8 +218,8 @@ class Linker:
         classes = self.base.filter("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
         self.classes = materialise(classes, "sketch-classes")
         size = 2 * ROWS
-        bucket = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", size * i + 1, size)) for i in range(BANDS)]))
-        spread = self.classes.select("rep", "n", bucket.alias("bucket"))
+        bucket = F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", size * i + 1, size)) for i in range(BANDS)]))
+        spread = self.classes.select("rep", "n", bucket.alias("band", "bucket"))
         pivots = spread.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
         self.members = materialise(spread.join(pivots, "bucket"), "sketch-buckets")
         self.edges: list[DataFrame] = []
@@ -229,7 +233,7 @@ class Linker:
     def confirm(self, pairs: DataFrame) -> None:
         """Keep the pairs (a, b) that link by their full sets as edges."""
         pairs = materialise(pairs, "pairs")
-        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+        ids = materialise(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct(), "pair-ids")
         count = ids.count()
         if count:
             texts = self.docs.join(broadcast_if_small(ids, count, BROADCAST_ROWS), "doc_id", "left_semi")
@@ -300,7 +304,7 @@ class Linker:
             n = F.ceil(F.col("size") / BLOCK).cast("int")
             large = large.withColumn("n_blocks", n).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
             large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-            large = large.select("bucket", "low", "high", "block", "rep", "component", "shared").join(self.classes.select("rep", "n", "sketch"), "rep").select("bucket", "low", "high", "block", "rep", "component", "shared", "n", "sketch")
+            large = large.select("bucket", "low", "high", "block", "rep", "component", "shared", "band").join(self.classes.select("rep", "n", "sketch"), "rep").select("bucket", "low", "high", "block", "rep", "component", "shared", "n", "sketch", "band")
             keys = ["bucket", "low", "high"]
             large = large.repartition(int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
             found = found.union(map_arrow(large, partial(_blocks, percent=self.percent), "a long, b long"))
