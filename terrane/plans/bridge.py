@@ -48,9 +48,9 @@ def red(spark: SparkSession) -> DataFrame:
 
 
 def community(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cell_id, species_id, count): brands and types of a seventh of the parts in coarse cells."""
+    """(cell_id, species_id, count): brands and types of all ordered parts in coarse cells."""
     li, o, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
-    joined = li.filter(F.col("l_partkey") % 7 == 0).join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"])
+    joined = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"])
     cell = F.floor((F.col("o_custkey") * 7919) % 97 / 8) * 1000 + F.floor((F.col("o_custkey") * 104729) % 89 / 8)
     return joined.select(cell.cast("long").alias("cell_id"), F.concat_ws("-", "p_brand", "p_type").alias("species_id")).groupBy("cell_id", "species_id").agg(F.count("*").alias("count"))
 
