@@ -29,9 +29,9 @@ def localities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sci, fid, e, n): every tenth customer on a 10 m lattice."""
+    """(sci, fid, e, n): customers on a 10 m lattice."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").filter(k % 10 == 0).select(F.col("c_mktsegment").alias("sci"), k.alias("fid"), (500000 + (k * 7919) % 400 * 10).cast("double").alias("e"), (6500000 + (k * 104729) % 400 * 10).cast("double").alias("n"))
+    return table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("sci"), k.alias("fid"), (500000 + (k * 7919) % 400 * 10).cast("double").alias("e"), (6500000 + (k * 104729) % 400 * 10).cast("double").alias("n"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from terrane.plans import bridge, registry
 from .test_oracle import SF, _rows, duck  # noqa: F401
 
 SEVENTH = " WHERE l_partkey % 7 = 0"
+TENTH = " WHERE c_custkey % 10 = 0"
 
 
 def _same(spark, duck, name, cut):  # noqa: F811
@@ -26,3 +27,12 @@ def test_community_counts_every_line(spark):
 @pytest.mark.parametrize("name", "pair_distances cluster_centroids marker_means marker_cohen_d marker_mwu bh_fdr marker_topn volcano dispersion lcbd lcbd_summary indval_summary sorensen strip_values lcbd_boxes radar".split())
 def test_community_queries_cover_lineitem(spark, duck, name):  # noqa: F811
     _same(spark, duck, name, SEVENTH)
+
+
+def test_every_customer_is_a_site(spark):
+    assert bridge.sites(spark, SF).count() == bridge.table(spark, SF, "customer").count()
+
+
+@pytest.mark.parametrize("name", "radius_join radius_counts assoc_threshold target_totals all_observations site_species_sets red_per_locality red_lists".split())
+def test_distance_queries_cover_customers(spark, duck, name):  # noqa: F811
+    _same(spark, duck, name, TENTH)
