@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import normal_interval, normal_tail, sorensen
+from ..scratch import materialise
 from ..shipping import ship
 
 
@@ -210,31 +211,69 @@ def permanova(vectors: DataFrame) -> DataFrame:
     return out.select(F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "sst", "ssw", "f", ((F.col("sst") - F.col("ssw")) / F.col("sst")).alias("r2"))
 
 
-def permanova_test(vectors: DataFrame, permutations: int = 999, seed: int = 123, most_rows: int = 20_000) -> DataFrame:
-    """(permutations, f, p): labels are shuffled in parallel, one task for each few permutations.
+def _block_counts(rng_of, counts: np.ndarray, sizes: np.ndarray, block: int) -> np.ndarray:
+    """How many of each label a random permutation puts into ``block``: blocks are halved down to it, and each half draws its
+    labels without replacement. ``rng_of(low, high)`` gives the generator of a run of blocks, so all blocks draw alike."""
+    low, high = 0, len(sizes)
+    while high - low > 1:
+        mid = (low + high) // 2
+        left = rng_of(low, high).multivariate_hypergeometric(counts, int(sizes[low:mid].sum()), method="marginals")
+        counts, low, high = (left, low, mid) if block < mid else (counts - left, mid, high)
+    return counts
 
-    The rows go to every task, so there may be ``most_rows`` at most.
+
+def permanova_test(vectors: DataFrame, permutations: int = 999, seed: int = 123, block: int = 8192) -> DataFrame:
+    """(permutations, f, p): the share of label permutations, with the observed one, whose pseudo-F is at least as large.
+
+    Rows are dealt to blocks of about ``block`` by their ids. A permutation gives each block its numbers of each label (a
+    hypergeometric draw that all blocks share by its key) and shuffles within blocks, so all permutations are equally likely
+    and no task sees all rows. Only sums by group leave a block; they are added up for each permutation, and the total sum of
+    squares does not change. The driver holds one number for each block and label. numpy draws from fewer than 1e9 rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("id", "cluster", "v").orderBy("id").limit(most_rows + 1).collect()
-    if len(rows) > most_rows:
-        raise ValueError(f"more than {most_rows} rows")
-    x, c = np.array([r["v"] for r in rows], np.float64), np.unique([r["cluster"] for r in rows], return_inverse=True)[1]
-    shared = spark.sparkContext.broadcast((x - x.mean(0), c))
-
-    def pseudo_f(x, c):
-        k, n = c.max() + 1, len(c)
-        sums = np.zeros((k, x.shape[1]))
-        np.add.at(sums, c, x)
-        sst = (x * x).sum()
-        ssw = sst - ((sums**2).sum(1) / np.bincount(c)).sum()
-        return ((sst - ssw) / (k - 1)) / (ssw / (n - k))
-
-    def run(batches):
-        x, c = shared.value
-        for pdf in batches:
-            yield pd.DataFrame({"f": [pseudo_f(x, np.random.default_rng((seed, int(i))).permutation(c)) for i in pdf["id"]]})
-
-    f = float(pseudo_f(*shared.value))
-    runs = spark.range(permutations).repartition(max(1, min(64, permutations // 16))).mapInPandas(run, "f double")
-    return runs.agg(F.count("*").alias("permutations"), ((F.sum((F.col("f") >= f - 1e-12).cast("int")) + 1) / (F.count("*") + 1)).alias("p")).withColumn("f", F.lit(f))
+    ship(spark)
+    count = vectors.count()
+    blocks = max(1, -(-count // block))
+    rows = vectors.select("id", "cluster", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    sizes = np.zeros(blocks, np.int64)
+    for r in rows.groupBy("block").count().collect():
+        sizes[r["block"]] = r["count"]
+    labels = {r["cluster"]: r["count"] for r in rows.groupBy("cluster").count().collect()}
+    names, m = sorted(labels), np.array([labels[c] for c in sorted(labels)], np.int64)
+    centre = vectors.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("x")).orderBy("d").collect()
+    centre, k = np.array([r["x"] for r in centre]), len(m)
+    # vectors are copied to chunks of permutations: for work in parallel, and so that few sums leave a block at once
+    chunks = min(permutations + 1, max(-(-2 * spark.sparkContext.defaultParallelism // blocks), -(-(permutations + 1) * k * max(1, len(centre)) // 8_000_000)))
+
+    def sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        b, chunk = key
+        pdf = pdf.sort_values("id", kind="stable")
+        x = np.stack(pdf["v"].to_numpy()).astype(np.float64) - centre
+        squares, out = float((x * x).sum()), []
+        for i in range(chunk, permutations + 1, chunks):
+            total = np.zeros((k, x.shape[1]))
+            if i == 0:  # as observed
+                np.add.at(total, np.searchsorted(names, pdf["cluster"].to_numpy()), x)
+            else:
+                held = _block_counts(lambda low, high: np.random.default_rng((seed, i, low, high)), m, sizes, b)  # noqa: B023
+                start, some = np.concatenate(([0], np.cumsum(held)[:-1])), held > 0
+                total[some] = np.add.reduceat(x[np.random.default_rng((seed, i, b)).permutation(len(x))], start[some])
+            out.append((i, b, squares, total.ravel()))
+        return pd.DataFrame(out, columns=["i", "block", "squares", "total"])
+
+    def pseudo_f(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        total = np.sum(np.stack(pdf["total"].to_numpy()), axis=0).reshape(k, -1)
+        squares, whole = pdf["squares"].sum(), total.sum(0)
+        sst, ssw = squares - (whole**2).sum() / m.sum(), squares - ((total**2).sum(1) / m).sum()
+        ssw = ssw if ssw > 1e-12 * squares else 0.0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return pd.DataFrame({"i": [pdf["i"].iloc[0]], "f": [np.float64((sst - ssw) / np.float64(k - 1)) / (np.float64(ssw) / (m.sum() - k))]})
+
+    dealt = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    parts = dealt.groupBy("block", "chunk").applyInPandas(sums, "i int, block int, squares double, total array<double>")
+    # the table cuts the lineage: the observed value and the others are read apart
+    runs = materialise(parts.groupBy("i").applyInPandas(pseudo_f, "i int, f double"), "permutations")
+    observed = runs.filter("i = 0").select(F.col("f").alias("__f"))
+    tested = runs.filter("i > 0").crossJoin(F.broadcast(observed))
+    return tested.agg(F.count("*").alias("permutations"), ((F.sum((F.col("f") >= F.col("__f") * (1 - 1e-12)).cast("int")) + 1) / (F.count("*") + 1)).alias("p"), F.first("__f").alias("f"))

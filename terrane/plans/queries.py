@@ -363,7 +363,7 @@ def permanova_f(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def permanova_p(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.permanova_test(bridge.vectors(spark, sf), 199)
+    return stats.permanova_test(bridge.vectors(spark, sf), 999)
 
 
 def lcbd(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,7 +1,11 @@
 """Queries cover their whole tables: against the SQL without its modulo filters, and by counts."""
 
+import itertools
+
+import numpy as np
 import pytest
 
+from terrane.operators import stats
 from terrane.plans import bridge, registry
 
 from .test_oracle import SF, _rows, duck  # noqa: F401
@@ -36,3 +40,38 @@ def test_every_customer_is_a_site(spark):
 @pytest.mark.parametrize("name", "radius_join radius_counts assoc_threshold target_totals all_observations site_species_sets red_per_locality red_lists".split())
 def test_distance_queries_cover_customers(spark, duck, name):  # noqa: F811
     _same(spark, duck, name, TENTH)
+
+
+def test_permutations_have_no_most_rows(spark):
+    rng = np.random.default_rng(6)
+    x, c = rng.normal(size=(21_000, 2)), rng.integers(0, 3, 21_000)
+    v = spark.createDataFrame([(i, int(c[i]), x[i].tolist()) for i in range(len(x))], "id long, cluster long, v array<double>")
+    t, p = stats.permanova_test(v, 199).first(), stats.permanova(v).first()
+    x = x - x.mean(0)
+    between = [sum((x[o == g].sum(0) ** 2).sum() / (o == g).sum() for g in range(3)) for o in [c, *(rng.permutation(c) for _ in range(1999))]]
+    want = np.mean(np.array(between) >= between[0])
+    assert t["permutations"] == 199 and abs(t["f"] - p["f"]) < 1e-9 and abs(t["p"] - want) < 4 * (want * (1 - want) / 199) ** 0.5
+
+
+def test_permutation_p_against_all_permutations(spark):
+    x, c = np.array([[0.0, 1], [1, 0], [2, 5], [9, 1], [3, 3], [4, 9], [7, 7]]), np.array([0, 0, 0, 1, 1, 2, 2])
+    v = spark.createDataFrame([(i, int(c[i]), x[i].tolist()) for i in range(len(x))], "id long, cluster long, v array<double>")
+
+    def ssw(c):
+        return sum(((x[c == g] - x[c == g].mean(0)) ** 2).sum() for g in range(3))
+
+    every = [ssw(np.array(p)) for p in set(itertools.permutations(c.tolist()))]
+    want = np.mean([s <= ssw(c) + 1e-9 for s in every])
+    for block in (100, 2):
+        got = stats.permanova_test(v, 1999, block=block).first()["p"]
+        assert abs(got - want) < 4 * (want * (1 - want) / 1999) ** 0.5 + 1 / 1999
+
+
+def test_block_counts_add_up_to_the_labels():
+    sizes, m = np.array([3, 0, 5, 4, 1]), np.array([6, 5, 2])
+    held = np.array([stats._block_counts(lambda low, high: np.random.default_rng((1, low, high)), m, sizes, b) for b in range(5)])
+    assert (held.sum(0) == m).all() and (held.sum(1) == sizes).all()
+
+
+def test_registered_permutations_are_the_references(spark):
+    assert registry.queries()["permanova_p"](spark, SF).first()["permutations"] == 999
