@@ -275,21 +275,27 @@ def strongest_edges(edges: DataFrame, most: int, least: float = 0.0) -> DataFram
     return half.orderBy(F.desc("w"), "src", "dst").limit(most)
 
 
-def layout(edges: DataFrame, rounds: int = 500, seed: int = 123) -> DataFrame:
-    """(node, x, y) of a weighted force layout, scaled to the unit square. For graphs that are drawn, so one task holds them."""
+def layout(edges: DataFrame, rounds: int = 500, seed: int = 123, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, x, y) of a weighted force layout, scaled to the unit square. For graphs that are drawn, so one task holds them.
+
+    ``nodes`` (column node) adds those without an edge: nothing pulls them, but all others push them. A round compares all nodes.
+    """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, at = np.unique(np.concatenate((pdf["src"], pdf["dst"])), return_inverse=True)
+        joined = pdf["w"].notna().to_numpy()
+        src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
+        nodes, at = np.unique(np.concatenate((src, dst)), return_inverse=True)
         n, half = len(nodes), len(pdf)
-        i, j, w = at[:half], at[half:], pdf["w"].to_numpy()
+        i, j, w = at[:half][joined], at[half:][joined], pdf["w"].to_numpy()[joined]
         pos = np.random.default_rng(seed).random((n, 2))
         k, heat = np.sqrt(1 / max(n, 1)), 0.1
         for step in range(rounds):
             move = np.zeros((n, 2))
             for a in range(0, n, 512):
-                gap = pos[a : a + 512, None, :] - pos[None, :, :]
-                d2 = np.maximum((gap**2).sum(2), 1e-9)
-                move[a : a + 512] += (gap * (k * k / d2)[:, :, None]).sum(1)
+                dx, dy = (pos[a : a + 512, c, None] - pos[None, :, c] for c in (0, 1))
+                push = k * k / np.maximum(dx * dx + dy * dy, 1e-9)
+                move[a : a + 512, 0] += np.einsum("ij,ij->i", dx, push)
+                move[a : a + 512, 1] += np.einsum("ij,ij->i", dy, push)
             gap = pos[i] - pos[j]
             pull = gap * (np.sqrt((gap**2).sum(1)) / k * w)[:, None]
             np.add.at(move, i, -pull)
@@ -300,4 +306,7 @@ def layout(edges: DataFrame, rounds: int = 500, seed: int = 123) -> DataFrame:
         pos = (pos - pos.min(0)) / span
         return pd.DataFrame({"node": nodes, "x": pos[:, 0], "y": pos[:, 1]})
 
+    edges = edges.select("src", "dst", F.col("w").cast("double").alias("w"))
+    if nodes is not None:
+        edges = edges.unionByName(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(None).cast("double").alias("w")))
     return edges.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(solve, f"node {dict(edges.dtypes)['src']}, x double, y double")

@@ -295,7 +295,7 @@ def label_compaction(spark: SparkSession, sf: str) -> DataFrame:
 
 def layout(spark: SparkSession, sf: str) -> DataFrame:
     edges = graph.similarity(_edges(spark, sf), "reciprocal", alpha=0.0, how="mean")
-    return graph.layout(graph.strongest_edges(edges, 2000), rounds=50)
+    return graph.layout(graph.strongest_edges(edges, 100_000), rounds=500, nodes=bridge.vectors(spark, sf).select(F.col("id").alias("node")))
 
 
 # statistics

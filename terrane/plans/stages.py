@@ -133,5 +133,5 @@ def diversity(cell_features: DataFrame, labels: DataFrame, found: DataFrame | No
 def network(sim: DataFrame, labels: DataFrame, most: int = 100_000, rounds: int = 500) -> dict[str, DataFrame]:
     """Stage 9: nodes and edges of the drawn graph; ``labels`` has node and label."""
     edges = graph.strongest_edges(sim, most)
-    nodes = drawing.network_nodes(graph.layout(edges, rounds), labels)
+    nodes = drawing.network_nodes(graph.layout(edges, rounds, nodes=labels.select("node")), labels)
     return {"nodes": nodes, "edges": drawing.network_edges(edges, nodes)}

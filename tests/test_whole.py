@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from terrane.operators import stats
+from terrane.operators import graph, stats
 from terrane.plans import bridge, registry
 
 from .test_oracle import SF, _rows, duck  # noqa: F401
@@ -75,3 +75,19 @@ def test_block_counts_add_up_to_the_labels():
 
 def test_registered_permutations_are_the_references(spark):
     assert registry.queries()["permanova_p"](spark, SF).first()["permutations"] == 999
+
+
+def test_layout_has_nodes_without_edges(spark):
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 0.5)], "src long, dst long, w double")
+    got = {r["node"]: (r["x"], r["y"]) for r in graph.layout(edges, 50, nodes=spark.range(1, 7).toDF("node")).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6] and all(0 <= z <= 1 for p in got.values() for z in p)
+    assert np.hypot(*np.subtract(got[1], got[2])) < min(np.hypot(*np.subtract(got[1], got[k])) for k in (4, 5, 6))
+    assert graph.layout(edges.limit(0), 5, nodes=spark.range(2).toDF("node")).count() == 2
+
+
+def test_registered_layout_draws_the_references_graph(spark, monkeypatch):
+    seen, keep, solve = {}, graph.strongest_edges, graph.layout
+    monkeypatch.setattr(graph, "strongest_edges", lambda e, most: seen.update(most=most) or keep(e, 100))
+    monkeypatch.setattr(graph, "layout", lambda e, rounds, nodes: seen.update(rounds=rounds) or solve(e, 5, nodes=nodes))
+    assert registry.queries()["layout"](spark, SF).count() == bridge.table(spark, SF, "embeddings").count()
+    assert seen == {"most": 100_000, "rounds": 500}
