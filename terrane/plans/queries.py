@@ -208,7 +208,7 @@ def strict_equal_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     banded = sampling.latitude_bands(bridge.localities(spark, sf), "sci", "lat")
-    return sampling.stratified_sample(banded, "sci", "latband", 12, 42, ["key"], strict_equal=False, cap=100).select("sci", "latband", "key")
+    return sampling.stratified_sample(banded, "sci", "latband", 40, 42, ["key"], strict_equal=False, cap=400).select("sci", "latband", "key")
 
 
 def weighted_draw(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,7 +329,7 @@ def marker_topn(spark: SparkSession, sf: str) -> DataFrame:
     f, labels = _comm(spark, sf)
     s = stats.marker_summaries(f, labels).withColumn("delta", F.round("delta", 9)).filter("delta > 0.00001 AND prevalence >= 0.05")
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("delta").desc(), "species_id"))
-    return _rounded(s.withColumn("rank", rank).filter("rank <= 12").select("cluster", "species_id", "rank", "delta"), "delta")
+    return _rounded(s.withColumn("rank", rank).filter("rank <= 40").select("cluster", "species_id", "rank", "delta"), "delta")
 
 
 def marker_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -415,7 +415,7 @@ def map_extent(spark: SparkSession, sf: str) -> DataFrame:
 
 def strip_values(spark: SparkSession, sf: str) -> DataFrame:
     f, labels = _comm(spark, sf)
-    return _rounded(drawing.strips(f, labels, marker_topn(spark, sf), 3).drop("jitter"), "value")
+    return _rounded(drawing.strips(f, labels, marker_topn(spark, sf), 12).drop("jitter"), "value")
 
 
 def lcbd_boxes(spark: SparkSession, sf: str) -> DataFrame:

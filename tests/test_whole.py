@@ -12,12 +12,13 @@ from terrane.plans import bridge, registry
 from .test_oracle import SF, _rows, duck  # noqa: F401
 
 SEVENTH = " WHERE l_partkey % 7 = 0"
+LIMITS = {"marker_topn": ("<= 12", "<= 40"), "strip_values": ("<= 3", "<= 12")}
 TENTH = " WHERE c_custkey % 10 = 0"
 
 
 def _same(spark, duck, name, cut):  # noqa: F811
     got = registry.queries()[name](spark, SF)
-    cursor = duck.execute(registry.oracle_sql()[name].replace(cut, ""))
+    cursor = duck.execute(registry.oracle_sql()[name].replace(cut, "").replace(*LIMITS.get(name, (cut, ""))))
     columns = [c[0] for c in cursor.description]
     have, want = _rows(tuple(r[c] for c in columns) for r in got.collect()), _rows(cursor.fetchall())
     assert len(have) == len(want)
@@ -112,3 +113,9 @@ def test_short_items_are_found_however_their_words_change(spark):
     q = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, q).collect()}
     assert got == want
+
+
+def test_feature_limits_are_the_references(spark):
+    count = lambda name, by: [r["count"] for r in registry.queries()[name](spark, "/root/testdata/sf0.01").groupBy(*by).count().collect()]
+    assert max(count("marker_topn", ["cluster"])) == 40 and {r for r in count("strip_values", ["cluster", "cell_id"])} == {12}
+    assert max(count("stratified_sample", ["sci"])) > 100 and 12 < max(count("stratified_sample", ["sci", "latband"])) <= 40
