@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 import pandas as pd
@@ -146,6 +148,31 @@ def normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if pd.notna(x) else None).astype("float64")
 
 
+@functools.lru_cache(256)
+def _rank_sums(m: int, n: int) -> tuple[list[int], int]:
+    """Ways of every lower value of U (up to half of ``m * n``) for ``m`` of ``m + n`` untied ranks, added up, and all ways."""
+    ways = [1] + [0] * (m * n // 2)
+    for i in range(1, m + 1):
+        for u in range(len(ways) - 1, n + i - 1, -1):
+            ways[u] -= ways[u - n - i]
+        for u in range(i, len(ways)):
+            ways[u] += ways[u - i]
+    return list(itertools.accumulate(ways)), math.comb(m + n, m)
+
+
+@F.pandas_udf(T.DoubleType())
+def exact_rank_tail(n_in: pd.Series, n_out: pd.Series, u: pd.Series) -> pd.Series:
+    """Two-sided exact tail of U of untied values; NULL where ``u`` is."""
+
+    def tail(a, b, u):
+        if pd.isna(u):
+            return None
+        below, every = _rank_sums(int(min(a, b)), int(max(a, b)))
+        return min(1.0, 2 * below[round(min(u, a * b - u))] / every)
+
+    return pd.Series([tail(*r) for r in zip(n_in, n_out, u)], dtype="float64")
+
+
 def _series() -> tuple:
     f = FLATTENING
     n = f / (2 - f)

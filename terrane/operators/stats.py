@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import normal_interval, normal_tail, sorensen
+from ..functions.expr import exact_rank_tail, normal_interval, normal_tail, sorensen
 from ..scratch import materialise
 from ..shipping import ship
 
@@ -43,12 +43,15 @@ def cohen_d(summaries: DataFrame) -> DataFrame:
     return out.withColumn("cohen_d", F.when(enough & (pooled > 1e-15), F.col("delta") / F.sqrt(pooled))).drop("__so", "__qo")
 
 
-def mann_whitney(features: DataFrame, labels: DataFrame, cell: str = "cell_id", digits: int = 9) -> DataFrame:
+def mann_whitney(features: DataFrame, labels: DataFrame, cell: str = "cell_id", digits: int = 9, method: str = "asymptotic") -> DataFrame:
     """(cluster, species_id, n_in, n_out, u, z) of every species against every cluster that holds it.
 
     Zeros tie at the bottom and are counted, not stored. Ties correct the variance, and z has the continuity correction. Values
-    are rounded to ``digits`` so that ties do not hang on the last bits.
+    are rounded to ``digits`` so that ties do not hang on the last bits. ``method`` "auto" adds the two-sided ``p``: exact where
+    either side has at most 8 cells and no values tie, else from z.
     """
+    if method not in ("asymptotic", "auto"):
+        raise ValueError(f"unknown method {method!r}")
     n = labels.agg(F.count("*").alias("n_all"))
     sizes = labels.groupBy("cluster").agg(F.count("*").alias("n_in"))
     x = features.filter("value <> 0").join(labels, cell).withColumn("value", F.round("value", digits))
@@ -66,7 +69,11 @@ def mann_whitney(features: DataFrame, labels: DataFrame, cell: str = "cell_id",
     var = n1 * n2 / 12 * ((m + 1) - t / (m * (m - 1)))
     gap = F.col("u") - n1 * n2 / 2
     r = r.withColumn("z", F.when(var > 0, F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)) / F.sqrt(var)))
-    return r.select("cluster", "species_id", F.col("n_in").cast("long").alias("n_in"), (F.col("n_all") - F.col("n_in")).cast("long").alias("n_out"), "u", "z")
+    r = r.withColumn("n_out", F.col("n_all") - F.col("n_in")).withColumn("exact", (F.least("n_in", "n_out") <= 8) & (t == 0))
+    out = r.select("cluster", "species_id", F.col("n_in").cast("long").alias("n_in"), F.col("n_out").cast("long").alias("n_out"), "u", "z", "exact")
+    if method == "auto":
+        out = out.withColumn("p", F.coalesce(exact_rank_tail("n_in", "n_out", F.when(F.col("exact"), F.col("u"))), normal_tail("z")))
+    return out.drop("exact")
 
 
 def benjamini_hochberg(df: DataFrame, by: str, p: str = "p", total: str | None = None) -> DataFrame:
@@ -85,8 +92,8 @@ def scan_markers(features: DataFrame, labels: DataFrame, q_most: float = 0.05, t
     """
     s = cohen_d(marker_summaries(features, labels, cell))
     tested = s.filter((F.col("prevalence") >= min_prevalence) & (F.col("delta") > 1e-5))
-    tested = tested.join(mann_whitney(features, labels, cell).select("cluster", "species_id", "u", "z"), ["cluster", "species_id"])
-    tested = tested.withColumn("p", F.coalesce(normal_tail("z") / 2, F.lit(1.0)))
+    tested = tested.join(mann_whitney(features, labels, cell, method="auto").select("cluster", "species_id", F.col("p").alias("p2")), ["cluster", "species_id"])
+    tested = tested.withColumn("p", F.coalesce(F.col("p2") / 2, F.lit(1.0)))
     species = features.select("species_id").distinct().agg(F.count("*").alias("n_species"))
     tested = benjamini_hochberg(tested.crossJoin(F.broadcast(species)), "cluster", "p", "n_species").filter((F.col("delta") > min_delta) & (F.col("q") <= q_most))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy("q", F.col("delta").desc(), "species_id"))

@@ -119,3 +119,17 @@ def test_feature_limits_are_the_references(spark):
     count = lambda name, by: [r["count"] for r in registry.queries()[name](spark, "/root/testdata/sf0.01").groupBy(*by).count().collect()]
     assert max(count("marker_topn", ["cluster"])) == 40 and {r for r in count("strip_values", ["cluster", "cell_id"])} == {12}
     assert max(count("stratified_sample", ["sci"])) > 100 and 12 < max(count("stratified_sample", ["sci", "latband"])) <= 40
+
+
+def test_exact_mann_whitney_of_few_cells_without_ties(spark):
+    x, own = np.random.default_rng(3).permutation(12) + 1.0, 4
+    f = spark.createDataFrame([(i, "s", float(v)) for i, v in enumerate(x)], "cell_id long, species_id string, value double")
+    labels = spark.createDataFrame([(i, int(i >= own)) for i in range(12)], "cell_id long, cluster long")
+    every = [sum(x[i] > x[j] for i in some for j in set(range(12)) - set(some)) for some in itertools.combinations(range(12), own)]
+    u = every[0]
+    want = min(1.0, 2 * min(np.mean([v <= u for v in every]), np.mean([v >= u for v in every])))
+    got = stats.mann_whitney(f, labels, method="auto").collect()
+    assert len(got) == 2 and all(abs(r["p"] - want) < 1e-12 for r in got)
+    scanned = stats.scan_markers(f, labels, q_most=1.0).collect()
+    assert len(scanned) == 1 and abs(scanned[0]["p"] - want / 2) < 1e-12
+    assert "p" not in stats.mann_whitney(f, labels).columns
