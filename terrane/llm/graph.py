@@ -32,7 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    out = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct(), "components")
+    discard(now)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -8,10 +8,14 @@ Documents with equal sets are one class before anything is compared. Inside a bu
 one pivot, so a bucket costs as many comparisons as it has members. Only classes that are still in different components
 after two such rounds are compared pair by pair, in blocks where a bucket is large, so no candidate of any band
 goes untested unless its two classes are already connected.
+
+Texts are read as bytes, in slices: nothing is held of a text but the hashes of its words. Full sets are compared by streaming
+those of at most ``GROUP`` documents past the set of the one that they are compared with.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -24,7 +28,7 @@ from ..shipping import map_arrow
 from .common import broadcast_if_small, discard, materialise, without
 from .graph import components
 from .grouped import runs
-from .words import kept, text_chunks
+from .words import release
 
 WORDS = 5
 BANDS, ROWS = 32, 5
@@ -39,30 +43,23 @@ LIKELIHOOD = 12.0
 #: Buckets of more members are compared in blocks of this many.
 BLOCK = 256
 SMALL_BUCKET = 64
-#: Document ids of 8 bytes that may be broadcast to pick the texts of candidates; beyond that the join shuffles.
+#: Documents whose full sets are compared with one set in one task.
+GROUP = 512
+#: Rows of ids (24 bytes at most) that may be broadcast to pick the texts of candidates; beyond that the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of text that are hashed at once, bytes of whole texts whose words are held at once, and bytes of a batch that is given back.
+SLICE, CHUNK, BATCH = 1 << 16, 1 << 20, 1 << 22
 
 _draw = np.random.default_rng(20)
 XOR = _draw.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
 ODD = (_draw.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uint32)
-
-
-class WordHashes:
-    """64-bit hashes of words as bytes; about twice ``limit`` are held."""
-
-    def __init__(self, limit: int = 100_000):
-        self.limit, self.now, self.older = limit, {}, {}
-
-    def lookup(self, words: list) -> np.ndarray:
-        if new := set(words).difference(self.now):
-            if len(self.now) + len(new) > self.limit:
-                self.older, self.now = self.now, {}
-                new = set(words)
-            older, digest = self.older, xxhash.xxh3_64_intdigest
-            again = older.keys() & new
-            self.now.update((w, older[w]) for w in again)
-            self.now.update((w, digest(w)) for w in new - again)
-        return np.fromiter(map(self.now.__getitem__, words), np.uint64, len(words))
+#: A value for each byte, equal for A-Z and a-z; a word's hash is the sum of its bytes' values times powers of STEP.
+VALUE = _draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+VALUE[65:91] = VALUE[97:123]
+SOLID = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+STEP = 0x9E3779B97F4A7C15
+POWER = np.cumprod(np.array([1] + [STEP] * (SLICE - 1), np.uint64))
+INVERSE = np.cumprod(np.array([1] + [pow(STEP, -1, 1 << 64)] * (SLICE - 1), np.uint64))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -79,31 +76,92 @@ def chain(parts: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def shingle_sets(texts: list, table: WordHashes) -> list[np.ndarray]:
-    """Each text's distinct shingle hashes, sorted: ``WORDS`` words, or all words where there are fewer."""
-    cut = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    flat = table.lookup([w for c in cut for w in c])
-    n = max(0, len(flat) - WORDS + 1)
-    spans = chain([flat[k : k + n] for k in range(WORDS)]) if n else flat[:0]
-    out, at = [], 0
-    for c in cut:
-        k = len(c)
-        if k >= WORDS:
-            out.append(np.unique(spans[at : at + k - WORDS + 1]))
-        elif k:
-            out.append(chain([flat[at + i : at + i + 1] for i in range(k)]))
-        else:
-            out.append(flat[:0])
-        at += k
-    return out
+def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie side by side in ``data``, and the number of words before each of ``cuts``.
+
+    Text i goes from ``cuts[i]`` to ``cuts[i + 1]``. Bytes are hashed ``SLICE`` at a time; a word that a slice leaves unfinished
+    is carried on in the next one.
+    """
+    found, before, begun = [], np.zeros(len(cuts), np.int64), 0
+    left: tuple | None = None  # hash and length of an unfinished word
+    for a in range(0, len(data), SLICE):
+        part = data[a : a + SLICE]
+        n = len(part)
+        low, high = np.searchsorted(cuts, (a, a + n))
+        own = cuts[low:high] - a
+        last = np.searchsorted(cuts, a + n, "right")
+        solid = SOLID[part]
+        begin, end = np.ones(n, bool), np.ones(n, bool)
+        np.logical_not(solid[:-1], out=begin[1:])
+        np.logical_not(solid[1:], out=end[:-1])
+        begin[own] = True
+        ends = cuts[low:last] - a
+        end[ends[ends > 0] - 1] = True
+        start, stop = np.flatnonzero(begin & solid), np.flatnonzero(end & solid) + 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(VALUE[part] * POWER[:n], out=sums[1:])
+        h, size = (sums[stop] - sums[start]) * INVERSE[start], stop - start
+        open_ = bool(len(stop)) and stop[-1] == n and last == high and a + n < len(data)
+        if left is not None:
+            if len(start) and start[0] == 0 and not (len(own) and own[0] == 0):
+                h[0] = np.uint64((left[0] + int(h[0]) * pow(STEP, left[1], 1 << 64)) % (1 << 64))
+                size[0] += left[1]
+                start = start[1:]
+            else:
+                h, size = np.concatenate(([np.uint64(left[0])], h)), np.concatenate(([left[1]], size))
+        before[low:high] = begun + np.searchsorted(start, own)
+        begun += len(start)
+        left = (int(h[-1]), int(size[-1])) if open_ else None
+        keep = len(h) - open_
+        found.append(_mix(h[:keep] + size[:keep].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    before[np.searchsorted(cuts, len(data)) :] = begun
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), before
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct shingle hashes, sorted, of each text: ``WORDS`` words, or all words where there are fewer.
+
+    Whole texts of about ``CHUNK`` bytes are hashed together, or one text that is longer.
+    """
+    if not len(texts):
+        return
+    _, places, raw = texts.buffers()
+    kind, here = np.dtype("<i8" if pa.types.is_large_string(texts.type) else "<i4"), texts.offset
+    at = np.frombuffer(places, kind, len(texts) + 1, here * kind.itemsize).astype(np.int64)
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    null = texts.is_null().to_numpy(zero_copy_only=False)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
+        flat, before = word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        spans = np.empty(max(0, len(flat) - WORDS + 1), np.uint64)
+        for a in range(0, len(spans), SLICE):
+            b = min(a + SLICE, len(spans))
+            spans[a:b] = chain([flat[a + k : b + k] for k in range(WORDS)])
+        for k, (a, b) in enumerate(zip(before[:-1].tolist(), before[1:].tolist())):
+            if a == b or null[i + k]:
+                yield flat[:0]
+            elif b - a < WORDS:
+                yield chain([flat[x : x + 1] for x in range(a, b)])
+            else:
+                s = np.sort(spans[a : b - WORDS + 1])
+                yield s[np.concatenate(([True], s[1:] != s[:-1]))]
+        i = j
+
+
+_held = np.empty((256, REGISTERS), np.uint32)
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
     """The sketch of a set that isn't empty: ``REGISTERS`` unsigned 16-bit exponents."""
     x = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
     least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 256):
-        np.minimum(least, ((x[i : i + 256, None] ^ XOR) * ODD).min(0), out=least)
+    for i in range(0, len(x), len(_held)):
+        own = x[i : i + len(_held), None]
+        h = _held[: len(own)]
+        np.bitwise_xor(own, XOR, out=h)
+        np.multiply(h, ODD, out=h)
+        np.minimum(least, h.min(0), out=least)
     h = -np.log1p(-(least.astype(np.float64) + 0.5) / 2**32) / RATE
     return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, LIMIT + 1).astype("<u2")
 
@@ -153,25 +211,38 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _sketches(batches):
-    table = kept("setsketch-words", WordHashes)
+    release()
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
         n, prints, sketches = [], [], []
-        for a, b in text_chunks(texts):
-            for s in shingle_sets(texts[a:b], table):
-                n.append(len(s))
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sketches.append(registers(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": pa.array(n, pa.int64()), "print": pa.array(prints, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
+        for s in shingle_sets(batch.column(1)):
+            n.append(len(s))
+            prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            sketches.append(registers(s).tobytes() if len(s) else None)
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "print": pa.array(prints, pa.binary()), "sketch": pa.array(sketches, pa.binary())})
 
 
 def _sets(batches):
-    table = kept("setsketch-words", WordHashes)
+    """The columns but the last, which is the text, and the text's set: bytes of unsigned 64-bit numbers, never empty."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in text_chunks(texts):
-            sets = [s.view(np.int64) for s in shingle_sets(texts[a:b], table)]
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[a:b], pa.int64()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+        rows, sets, held = [], [], 0
+        for i, s in enumerate(shingle_sets(batch.column(batch.num_columns - 1))):
+            if len(s):
+                rows.append(i)
+                sets.append(s.tobytes())
+                held += s.nbytes
+            if held > BATCH or i == batch.num_rows - 1:
+                own = batch.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(sets, pa.binary())], [*batch.schema.names[:-1], "shingles"])
+                rows, sets, held = [], [], 0
+
+
+def _arrays(batches):
+    """``_sets`` with the sets as arrays."""
+    for batch in _sets(batches):
+        column = batch.column(batch.num_columns - 1)
+        at = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1) // 8
+        sets = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(column.buffers()[2] or b"", "<i8", at[-1])))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sets], batch.schema.names)
 
 
 def _thin(batches, percent: int):
@@ -181,6 +252,40 @@ def _thin(batches, percent: int):
             yield batch.select([0, 1]).filter(pa.array(keep))
 
 
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int((a[at] == b).sum()) if len(a) else 0
+
+
+def _links(batches, percent: int):
+    """Links from rows (hub, part, member, shingles), sorted: in each part of a hub its own set comes first, with a null member."""
+    group, sets = None, []
+    for batch in batches:
+        hubs, parts, members = (batch.column(i).to_pylist() for i in range(3))
+        a, b = [], []
+        for i, member in enumerate(members):
+            s = np.frombuffer(batch.column(3)[i].as_buffer(), "<u8")
+            if (hubs[i], parts[i]) != group:
+                group, sets = (hubs[i], parts[i]), []
+            if member is None:
+                # rows that repeat an id: every set that it has counts, once
+                if not any(len(x) == len(s) and (x == s).all() for x in sets):
+                    sets.append(s.copy())
+                continue
+            for x in sets:
+                if 100 * min(len(x), len(s)) >= percent * max(len(x), len(s)):
+                    both = shared(x, s)
+                    if 100 * both >= percent * (len(x) + len(s) - both):
+                        a.append(hubs[i])
+                        b.append(member)
+                        break
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def _blocks(batches, percent: int):
     """For each run of two blocks of a bucket, or of one: admissible pairs of different components."""
     for run in runs(batches, ["bucket", "low", "high"]):
@@ -222,7 +327,7 @@ class Linker:
         spread = self.classes.select("rep", "n", bucket.alias("band", "bucket"))
         pivots = spread.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
         self.members = materialise(spread.join(pivots, "bucket"), "sketch-buckets")
-        self.edges: list[DataFrame] = []
+        self.label: DataFrame | None = None
 
     def admit(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sketches may come from sets that link."""
@@ -230,30 +335,34 @@ class Linker:
         joined = pairs.join(k.toDF("a", "na", "ka"), "a").join(k.toDF("b", "nb", "kb"), "b").select("a", "b", "na", "nb", "ka", "kb")
         return map_arrow(joined, partial(_thin, percent=self.percent), "a long, b long")
 
+    def texts_of(self, ids: DataFrame) -> DataFrame:
+        """The texts of documents, with the columns of ``ids`` (id, ...): once for each of its rows."""
+        return self.docs.join(broadcast_if_small(ids, ids.count(), BROADCAST_ROWS), F.col("doc_id") == F.col("id")).select(*ids.columns, "text")
+
     def confirm(self, pairs: DataFrame) -> None:
-        """Keep the pairs (a, b) that link by their full sets as edges."""
-        pairs = materialise(pairs, "pairs")
-        ids = materialise(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct(), "pair-ids")
-        count = ids.count()
-        if count:
-            texts = self.docs.join(broadcast_if_small(ids, count, BROADCAST_ROWS), "doc_id", "left_semi")
-            sets = materialise(map_arrow(texts, _sets, "id long, shingles array<bigint>").filter("size(shingles) > 0"), "pair-sets")
-            both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-            common = F.size(F.array_intersect("sa", "sb"))
-            linked = both.withColumn("common", common).filter(F.lit(100) * F.col("common") >= F.lit(self.percent) * (F.size("sa") + F.size("sb") - F.col("common")))
-            self.edges.append(materialise(linked.select("a", "b"), "links"))
-            discard(sets)
-        discard(pairs)
-        discard(ids)
+        """Keep the pairs (a, b) that link by their full sets as edges.
+
+        Each a is a hub: its set goes once to every part of at most about ``GROUP`` of its partners, whose sets stream past it.
+        """
+        pairs = materialise(pairs.toDF("hub", "member"), "pairs")
+        hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+        members = pairs.join(hubs, "hub").select(F.col("member").alias("id"), "hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), "member")
+        own = hubs.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("member"))
+        wanted = materialise(members.union(own), "pair-ids")
+        sets = map_arrow(self.texts_of(wanted).drop("id"), _sets, "hub long, part int, member long, shingles binary")
+        sets = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", "member")
+        links = materialise(map_arrow(sets, partial(_links, percent=self.percent), "a long, b long"), "links")
+        if self.label is not None:
+            links, before = materialise(links.union(self.label.filter("node <> component")), "links"), links
+            discard(before)
+            discard(self.label)
+        self.label = components(links)
+        for t in (pairs, wanted, links):
+            discard(t)
 
     def labels(self) -> DataFrame:
         """(node, component) so far."""
-        if not self.edges:
-            return self.docs.sparkSession.createDataFrame([], "node long, component long")
-        every = self.edges[0]
-        for e in self.edges[1:]:
-            every = every.union(e)
-        return components(every)
+        return self.docs.sparkSession.createDataFrame([], "node long, component long") if self.label is None else self.label
 
     def prune(self, named: DataFrame) -> DataFrame:
         """Rows of mixed buckets whose class may still link with another of its bucket, with ``shared``.
@@ -261,9 +370,8 @@ class Linker:
         A shingle that no other class of these buckets holds is common to no pair, so a class shares ``shared`` shingles
         at most: its size less its own ones. What cannot reach the percentage with the smallest member goes.
         """
-        ids = materialise(named.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")
-        texts = self.docs.join(broadcast_if_small(ids, ids.count(), BROADCAST_ROWS), "doc_id", "left_semi")
-        sets = materialise(map_arrow(texts, _sets, "id long, shingles array<bigint>").filter("size(shingles) > 0").withColumn("row", F.monotonically_increasing_id()), "mixed-sets")
+        ids = materialise(named.select(F.col("rep").alias("id")).distinct(), "mixed-ids")
+        sets = materialise(map_arrow(self.texts_of(ids), _arrays, "id long, shingles array<bigint>").withColumn("row", F.monotonically_increasing_id()), "mixed-sets")
         single = sets.select("row", F.explode("shingles").alias("x")).groupBy("x").agg(F.count("*").alias("k"), F.min("row").alias("row")).filter("k = 1")
         own = sets.select("row", "id").join(single.groupBy("row").agg(F.count("*").alias("own")), "row", "left").groupBy("id").agg(F.min(F.coalesce("own", F.lit(0))).alias("own"))
         out = named.join(own, named["rep"] == own["id"], "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).drop("id", "own")
@@ -276,18 +384,15 @@ class Linker:
     def run(self) -> DataFrame:
         pivots = self.members.filter("rep <> pivot")
         # each class against the first of its pivots
-        self.confirm(self.admit(pivots.groupBy("rep").agg(F.min("pivot").alias("pivot")).toDF("a", "b")))
+        self.confirm(self.admit(pivots.groupBy("rep").agg(F.min("pivot").alias("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))))
         # against its other pivots, where they are not connected yet
-        now = materialise(self.labels(), "components")
+        now = self.labels()
         rest = pivots.groupBy("rep", "pivot").agg(F.count("*").alias("k")).join(pivots.groupBy("rep").agg(F.min("pivot").alias("first")), "rep").filter("pivot <> first")
         rest = rest.join(now.toDF("rep", "c1"), "rep", "left").join(now.toDF("pivot", "c2"), "pivot", "left").filter("coalesce(c1, rep) <> coalesce(c2, pivot)")
-        self.confirm(self.admit(rest.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))))
+        self.confirm(self.admit(rest.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))))
         # what is left: pairs of a bucket in different components
-        later = materialise(self.labels(), "components")
-        discard(now)
-        named = self.members.filter("size > 2").join(later.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        named = self.members.filter("size > 2").join(self.labels().toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         named = materialise(mixed(named), "mixed-buckets")
-        discard(later)
         if named.isEmpty():
             return self.labels()
         pruned = materialise(self.prune(named), "pruned-buckets")

@@ -12,6 +12,8 @@ from itertools import chain
 
 import numpy as np
 
+from .words import kept
+
 #: Fixed value: the pre-tokenizer's pattern in the vocabulary file, for plain text.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\[-`{-~]+")
 #: White space, printable ASCII and Latin letters of one byte.
@@ -103,11 +105,6 @@ class Encoder:
         return [b"".join(map(got, c)) for c in cut]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder a Python worker and vocabulary, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The encoder of a vocabulary, kept between the tasks of a Python worker."""
+    return kept(("encoder", path), lambda: Encoder(path))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 
 class WordTable:
@@ -68,10 +69,16 @@ def text_chunks(texts: list, most: int = 400_000):
 _kept: dict = {}
 
 
-def kept(key: str, make: Callable):
-    """``make()``, kept between the tasks of a Python worker; the two latest keys stay."""
+def release() -> None:
+    """Let go of what this Python worker keeps, so that stages of other operators do not pay for it."""
+    if _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+
+
+def kept(key, make: Callable):
+    """``make()``, kept between the tasks of a Python worker until another key is asked for."""
     if key not in _kept:
-        while len(_kept) > 1:
-            del _kept[next(iter(_kept))]
+        release()
         _kept[key] = make()
     return _kept[key]
