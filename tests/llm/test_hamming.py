@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+
 from terrane.llm import hamming
 
 from .fixtures import SF
@@ -80,3 +82,34 @@ def test_awkward_rows(spark):
     got = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out}
     assert got == {(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 9, 10, 11)} | {(7, 2, 7, True), (8, 2, 7, False), (None, 0, None, True)}
     assert hamming.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("width", [4, 12, 18])
+def test_recall_at_the_threshold_by_width(spark, width):
+    rng = np.random.default_rng(width)
+    rows = []
+    for shape in range(3):
+        # isotropic vectors, vectors far from the origin, vectors of few dimensions
+        turn = rng.standard_normal((6, 32)) if shape == 2 else np.eye(32)
+        for g in range(150):
+            x = rng.standard_normal(turn.shape[0]) @ turn + (3 if shape == 1 else 0)
+            y = rng.standard_normal(turn.shape[0]) @ turn
+            x, y = x / np.sqrt(x @ x), y - (y @ x) / (x @ x) * x
+            for c in (1, 0.94, 0.932):
+                v = c * x + np.sqrt(1 - c * c) * y / np.sqrt(y @ y)
+                rows.append((len(rows), [float(e) for e in v], shape))
+    want, pairs = brute(rows)
+    found = {}
+    for most in (200_000, 0):
+        got = _got(hamming.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), width=width, broadcast_rows=most))
+        assert all(got[i][0] <= want[i][0] for i in want)
+        found[most] = got
+    assert found[0] == found[200_000] and pairs >= 1000
+    assert sum(n for n, _ in found[0].values()) >= 0.99 * 2 * pairs
+
+
+def test_radius_is_the_tail_of_the_binomial():
+    rng = np.random.default_rng(0)
+    flips = rng.binomial(126, 0.12, 2_000_000)
+    r = hamming.radius(126, 0.12, 1e-3)
+    assert (flips > r).mean() <= 1.1e-3 and (flips > r - 1).mean() > 0.9e-3
