@@ -16,15 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .common import broadcast_if_small, materialise
+from .common import discard, materialise
 from .tokens import END, encoder
 from .words import text_chunks
 
 LENGTH = 2048
 DIMENSIONS = 3
 GRID_BITS = 16
-#: Rows of (row, start) that may be broadcast, 16 bytes each; beyond that the join shuffles.
-BROADCAST_ROWS = 1_000_000
 
 
 def hilbert_keys(grid: np.ndarray, bits: int = GRID_BITS) -> np.ndarray:
@@ -57,15 +55,15 @@ def directions(seed: int = 17, dimensions: int = DIMENSIONS) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((1 << 16, dimensions)).astype(np.float32)
 
 
-def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, broadcast_rows: int = BROADCAST_ROWS, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
     """Pack (doc_id, text) into sequences; one row for each piece of a document.
 
     Columns: doc_id, start (ids of the document before the piece), length, ids_crc32, doc_tokens, sequence_id,
     offset, and ids (the piece's ids) unless they are not asked for. Null texts are empty and give their end id alone; every row counts, repeated ids
     and texts included; other columns are ignored; an empty table gives no rows.
 
-    The ids are written once and never sorted: only (row, key, size) is range-sorted, and each row's start comes
-    back by a join.
+    Texts are encoded once. The rows, whose ids take 16 bits each, are range-sorted by key in one shuffle, and each part counts
+    its own ids; the driver gets one total a part, of which there are as many as shuffle partitions.
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -105,27 +103,23 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, broadcast_rows:
         for batch in batches:
             sizes = batch.column(1).to_numpy()
             ends = at + np.cumsum(sizes)
-            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "part": pa.array(np.full(len(sizes), part, np.int32)), "at": pa.array(ends - sizes), "n": pa.array(sizes)})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(sizes), part, np.int32)), pa.array(ends - sizes)], [*batch.schema.names, "part", "at"])
             at = int(ends[-1]) if len(ends) else at
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.select("row", "doc_tokens", "key").repartitionByRange(n, "key", "row").sortWithinPartitions("key", "row")
-    placed = materialise(map_arrow(ordered.select("row", "doc_tokens"), place, "row long, part int, at long, n long"), "pack-order")
-    totals = sorted((r["part"], r["n"], r["rows"]) for r in placed.groupBy("part").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect())
-    first, so_far, rows = {}, 0, 0
-    for part, size, count in totals:
+    ordered = tokens.repartitionByRange(n, "key", "row").sortWithinPartitions("key", "row").select("doc_id", "doc_tokens", "data")
+    placed = materialise(map_arrow(ordered, place, "doc_id long, doc_tokens long, data binary, part int, at long"), "pack-order")
+    discard(tokens)
+    first, so_far = {}, 0
+    for part, size in sorted(tuple(r) for r in placed.groupBy("part").agg(F.sum("doc_tokens")).collect()):
         first[part] = so_far
         so_far += size
-        rows += count
-    base = spark.createDataFrame([(p, s) for p, s in first.items()] or [(0, 0)], "part int, base long")
-    starts = placed.join(F.broadcast(base), "part").select("row", (F.col("at") + F.col("base")).alias("stream_start"))
-    joined = tokens.join(broadcast_if_small(starts, rows, broadcast_rows), "row").select("doc_id", "doc_tokens", "stream_start", "data")
 
     def cut(batches):
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)}
-            for doc_id, size, at, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                raw, start = np.frombuffer(data, "<u2").astype("<u4").tobytes(), 0
+            for doc_id, size, data, part, at in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                raw, start, at = np.frombuffer(data, "<u2").astype("<u4").tobytes(), 0, first[part] + at
                 while start < size:
                     sequence, offset = divmod(at + start, length)
                     n = min(size - start, length - offset)
@@ -136,4 +130,4 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, broadcast_rows:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()})
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return map_arrow(joined, cut, f"{schema}, ids binary" if with_ids else schema)
+    return map_arrow(placed, cut, f"{schema}, ids binary" if with_ids else schema)

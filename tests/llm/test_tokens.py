@@ -55,7 +55,7 @@ def test_token_files_whole_table(spark, ids, monkeypatch):
 
 
 def test_packing_whole_table(spark, ids):
-    got = packing.pack(spark.read.parquet(f"{SF}/documents.parquet"), VOCABULARY, broadcast_rows=0).collect()
+    got = packing.pack(spark.read.parquet(f"{SF}/documents.parquet"), VOCABULARY).collect()
     at = {}
     for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
         piece = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
