@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..scratch import discard, materialise, scratch_dir
 
 
-__all__ = ["broadcast_if_small", "discard", "fraction_of", "held_out", "materialise", "sample_labels", "scratch_dir", "table", "without"]
+__all__ = ["broadcast_if_small", "discard", "fraction_of", "fresh", "held_out", "materialise", "sample_labels", "scratch_dir", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,23 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def without(docs: DataFrame, gone: DataFrame, limit: int = 2_000_000) -> DataFrame:
-    """``docs`` whose doc_id is not in ``gone``; null ids stay. Texts are shuffled only if the ids are too many to broadcast."""
-    ids = materialise(gone.select(F.col("doc_id").cast("long").alias("__gone")).filter("__gone IS NOT NULL").distinct(), "gone")
-    return docs.join(broadcast_if_small(ids, ids.count(), limit), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def without(docs: DataFrame, gone: DataFrame, key: Column | None = None, limit: int = 2_000_000) -> DataFrame:
+    """``docs`` whose ``key`` (doc_id if none is given) is not in the first column of ``gone``; null keys stay.
+
+    All columns stay, whatever they are called. Texts are shuffled only if the keys are too many to broadcast.
+    """
+    name = fresh(docs, "gone")
+    ids = materialise(gone.select(F.col(gone.columns[0]).alias(name)).filter(F.col(name).isNotNull()).distinct(), "gone")
+    key = F.col("doc_id").cast("long") if key is None else key
+    return docs.join(broadcast_if_small(ids, ids.count(), limit), key == F.col(name), "left_anti")
 
 
 def sample_labels(labels: DataFrame, per_label: int, salt: int) -> tuple[DataFrame, dict]:

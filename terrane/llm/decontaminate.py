@@ -11,12 +11,10 @@ the 53,130 ways to change 5 of 25 words, the masks miss 25 (0.05 %) in a window
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import broadcast_if_small, materialise, without
 
 #: Fixed masks over ten words: six words count.
 MASKS = ("1101100101", "1010011011", "1110010011")
@@ -26,8 +24,10 @@ PIECE = 3
 #: Words of the window that is verified (the whole item where it is shorter), and the share that must agree.
 WINDOW = 25
 SHARE = 0.8
-#: Benchmark rows (hash, item, position) that are broadcast at once; a larger benchmark is joined in blocks of items.
-BROADCAST_ROWS = 100_000
+#: Rows of seeds (hash, item's key, size, position: 24 bytes) and words of items (8 bytes) that may be broadcast; beyond that joins shuffle.
+BROADCAST_ROWS = 2_000_000
+#: Copies of an item, one for each part of its hits, where items are too large to broadcast.
+SALTS = 16
 
 
 def words(text: Column) -> Column:
@@ -64,13 +64,61 @@ def needed(size: Column, share: float) -> Column:
 
 
 def piece_seeds(item: DataFrame, share: float) -> DataFrame:
-    """(item_id, item, item_position, seed, piece) of short items: one piece more than words may change."""
+    """(item_key, n, item_position, seed, piece) of short items: one piece more than words may change."""
     n = F.size("item")
     item = item.withColumn("changes", n - needed(n, share)).withColumn("step", F.floor(n / (F.col("changes") + 1)).cast("int"))
     item = item.withColumn("piece", F.least(F.col("step"), F.lit(PIECE)))
     item = item.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("changes")))).withColumn("item_position", F.col("k") * F.col("step"))
     seed = F.coalesce(*[F.when(F.col("piece") == p, F.xxhash64(F.lit(-p), *[F.get("item", F.col("item_position") + i) for i in range(p)])) for p in range(1, PIECE + 1)])
-    return item.select("item_id", "item", "item_position", seed.alias("seed"), "piece")
+    return item.select("item_key", "n", "item_position", seed.alias("seed"), "piece")
+
+
+def _key(text: Column) -> list[Column]:
+    """Two hashes that tell texts apart."""
+    return [F.xxhash64(F.lit(k), text).alias(f"t{k}") for k in (0, 1)]
+
+
+def verified(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row for each offset at which a text holds a passage of an item: doc_id, t0, t1 (hashes of the text), item_id, shift, size, agreed.
+
+    Texts and items are told apart by what they hold, so rows that repeat an id, or have none, are verified one by one and
+    equal rows once.
+    """
+    item = benchmark.select(F.col("item_id").cast("long").alias("item_id"), hashes(F.col("text")).alias("item")).filter(F.size("item") > 0).distinct()
+    items = materialise(item.select("item_id", "item", F.size("item").alias("n"), F.xxhash64("item_id", "item").alias("item_key")), "benchmark-items")
+    short = piece_seeds(items.filter(F.col("n") < window), share)
+    index = seeds(items.filter(F.col("n") >= window), ["item_key", "n"], "item").select("item_key", "n", F.col("position").alias("item_position"), F.explode("seed").alias("seed"), F.lit(None).cast("int").alias("piece"))
+    index = materialise(index.unionByName(short).distinct(), "benchmark-seeds")
+    pieces = sorted(r["piece"] for r in index.select("piece").filter("piece IS NOT NULL").distinct().collect())
+    rows, index = index.count(), index.drop("piece")
+    text = F.col("text").cast("string")
+    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_key(text), hashes(text).alias("h"))
+    shift = F.col("position") - F.col("item_position")
+    # words of the text that lie beside the item's, from the shift on
+    low, high = F.greatest(F.lit(0), -F.col("shift")), lambda size: F.least(F.col("n"), size - F.col("shift"))
+    enough = F.least(F.lit(window), F.col("n"))
+    if rows <= broadcast_rows:
+        # no lambda between the hashes and the aggregate, so that they stay in one generated stage and copy no document
+        hit = seeds(doc, ["doc_id", "t0", "t1", "h"], "h", pieces).withColumn("seed", F.explode("seed")).join(F.broadcast(index), "seed").withColumn("shift", shift)
+        hit = hit.filter(high(F.size("h")) - low >= enough)
+    else:
+        # the seeds are shuffled without their texts; the texts are read again for the hits
+        sized = docs.select(*_key(text), hashes(text).alias("h")).withColumn("words", F.size("h"))
+        met = seeds(sized, ["t0", "t1", "words"], "h", pieces).withColumn("seed", F.explode("seed")).filter("seed IS NOT NULL").join(index, "seed").withColumn("shift", shift)
+        met = materialise(met.filter(high(F.col("words")) - low >= enough).select("t0", "t1", "item_key", "n", "shift").distinct(), "benchmark-hits")
+        hit = doc.join(broadcast_if_small(met, met.count(), broadcast_rows), ["t0", "t1"])
+    hit = hit.select("doc_id", "t0", "t1", "item_key", "n", "shift", F.slice("h", F.col("shift") + low + 1, high(F.size("h")) - low).alias("beside"))
+    offset = hit.groupBy("doc_id", "t0", "t1", "item_key", "n", "shift").agg(F.first("beside").alias("beside"))
+    known = items.select("item_key", "item_id", "item")
+    if (items.agg(F.sum("n")).first()[0] or 0) <= broadcast_rows:
+        offset = offset.join(F.broadcast(known), "item_key")
+    else:
+        known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        offset = offset.withColumn("salt", F.pmod(F.col("t0"), F.lit(SALTS)).cast("int")).join(known, ["item_key", "salt"])
+    offset = offset.withColumn("size", enough)
+    offset = offset.withColumn("same", F.zip_with(F.slice("item", low + 1, F.size("beside")), "beside", lambda x, y: (x == y).cast("int")))
+    sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("size") + 1), lambda i: F.aggregate(F.slice("same", i, F.col("size")), F.lit(0), lambda x, y: x + y))
+    return offset.select("doc_id", "t0", "t1", "item_id", "shift", "size", F.array_max(sums).alias("agreed")).filter(F.col("agreed") >= needed(F.col("size"), share))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -80,40 +128,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     that meets the item's first, at the smallest offset that is verified; negative if the document begins later). A hit
     gives an offset of the item in the document; the windows of min(``window``, item) words of the item at that offset
     are compared; an item of fewer than ``SPAN`` words must stand there unchanged. Null and empty texts, and overlaps of fewer
-    words than the window, match nothing. Rows with equal ids count as one document or item; other columns are ignored.
+    words than the window, match nothing; very long texts are read whole. Rows with equal ids are verified one by one and
+    reported together, and so are rows with a null id; the order of rows does not matter; other columns are ignored; no
+    documents or no items give no rows.
 
-    Documents are never shuffled: a hit leaves with the words beside the item, and hits of one offset are combined before
-    they are. The seeds of a benchmark that is too large to broadcast are joined block by block.
+    Documents are scanned once and never shuffled while the benchmark's seeds are few enough to broadcast: a hit leaves with
+    the words beside the item, and hits of one offset are combined before they are. Beyond that, seeds are joined by a
+    shuffle in one pass, whatever the benchmark's size.
     """
-    item = benchmark.select(F.col("item_id").cast("long").alias("item_id"), hashes(F.col("text")).alias("item"))
-    short = piece_seeds(item.filter((F.size("item") > 0) & (F.size("item") < window)), share)
-    index = seeds(item.filter(F.size("item") >= window), ["item_id", "item"], "item").select("item_id", "item", F.col("position").alias("item_position"), F.explode("seed").alias("seed"), F.lit(None).cast("int").alias("piece"))
-    index = materialise(index.unionByName(short).distinct(), "benchmark-seeds")
-    pieces = sorted(r["piece"] for r in index.select("piece").filter("piece IS NOT NULL").distinct().collect())
-    index = index.drop("piece")
-    blocks = max(1, -(-index.count() // broadcast_rows))
-    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes(F.col("text")).alias("h"))
-    found = []
-    for b in range(blocks):
-        part = index if blocks == 1 else index.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        hit = seeds(doc, ["doc_id", "h"], "h", pieces).withColumn("seed", F.explode("seed")).join(F.broadcast(part), "seed")
-        # no lambda up to the aggregate, so that scan, hashes and join stay in one generated stage and copy no document
-        shift = F.col("position") - F.col("item_position")
-        low = F.greatest(F.lit(0), -shift)
-        high = F.least(F.size("item"), F.size("h") - shift)
-        hit = hit.filter(high - low >= F.least(F.lit(window), F.size("item")))
-        found.append(hit.select("doc_id", "item_id", shift.alias("shift"), "item", F.slice("h", shift + low + 1, high - low).alias("beside")))
-    every = reduce(DataFrame.unionByName, found)
-    offset = every.groupBy("doc_id", "item_id", "shift").agg(F.first("item").alias("item"), F.first("beside").alias("beside"))
-    size = F.least(F.lit(window), F.size("item"))
-    low = F.greatest(F.lit(0), -F.col("shift"))
-    offset = offset.withColumn("size", size).filter("size(beside) >= size")
-    offset = offset.withColumn("same", F.zip_with(F.slice("item", low + 1, F.size("beside")), "beside", lambda x, y: (x == y).cast("int")))
-    sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("size") + 1), lambda i: F.aggregate(F.slice("same", i, F.col("size")), F.lit(0), lambda x, y: x + y))
-    offset = offset.select("doc_id", "item_id", "shift", "size", F.array_max(sums).alias("agreed")).filter(F.col("agreed") >= needed(F.col("size"), share))
+    offset = verified(docs, benchmark, window, share, broadcast_rows)
     return offset.groupBy("doc_id", "item_id").agg(F.max("agreed").cast("long").alias("agreed"), F.max("size").cast("long").alias("window"), F.min("shift").cast("long").alias("position"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that leak an item; all columns stay, and rows with a null doc_id are kept."""
-    return without(docs, leaks(docs, benchmark, **how))
+    """``docs`` without the documents that leak an item; all columns stay, whatever they are called.
+
+    All rows of an id go if one of them leaks; a row with a null id goes if its own text leaks.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat_ws("/", *_key(F.col("text").cast("string"))))
+    gone = verified(docs, benchmark, **how).select(F.coalesce(F.col("doc_id").cast("string"), F.concat_ws("/", "t0", "t1")))
+    return without(docs, gone, key)

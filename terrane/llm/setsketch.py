@@ -435,4 +435,4 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each component; all columns stay, and so do null ids."""
-    return without(docs, near_duplicates(docs, percent).filter("NOT kept"))
+    return without(docs, near_duplicates(docs, percent).filter("NOT kept").select("doc_id"))
