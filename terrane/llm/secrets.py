@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import broadcast_if_small, fresh, materialise
 
 #: The base patterns, by kind.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -23,6 +23,8 @@ TOKEN = r"[A-Za-z0-9+/_=-]{24,}"
 KINDS = ("assign", "access", "hex", "live")
 #: A value that more owners (or repositories) than this hold is a copied example.
 MAX_OWNERS = 2
+#: Copied values (hashes of 8 bytes), or hashes and offsets of texts, that may be broadcast; beyond that joins shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def matches(text: Column, pattern: str, kind: int, keeps) -> Column:
@@ -74,25 +76,32 @@ def ownership(found: DataFrame) -> DataFrame:
     return pairs.groupBy("value_hash").agg(F.count_distinct("repository").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"))
 
 
+def copied(each: DataFrame, max_owners: int) -> DataFrame:
+    """(value_hash) of the copied examples: values that more than ``max_owners`` owners or repositories hold."""
+    return materialise(ownership(each).filter((F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_owners)).select("value_hash"), "secrets-copied")
+
+
 def joined_spans(found: Column) -> Column:
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "source", max_owners: int = MAX_OWNERS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, and the named columns).
 
     Columns: doc_id, n_assign, n_access, n_hex, n_live, n_owned (base matches whose value at most ``max_owners`` owners
     and repositories hold), n_copied (the other base matches), base_sha256, spans, and found: an array of (start, end,
     kind, owned). Null and empty texts have none. Rows may repeat; an empty table gives no rows.
 
-    The table of candidates is written once, as many rows and small: texts are matched one time.
+    The table of candidates is written once, as many rows and small: texts are matched one time, whole, however long. Only
+    values held by many owners are joined back, so a value that is copied everywhere is one row of the small side.
     """
     row = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{owner}`").cast("string").alias("owner"), F.col(f"`{repository}`").cast("string").alias("repository"), candidates(F.col("text")).alias("found")).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = row.filter(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("f"))
     each = each.select("row", "owner", "repository", "f.start", "f.end", "f.kind", F.xxhash64(value_of(F.col("f"))).alias("value_hash"))
-    counts = ownership(each).select("value_hash", ((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_owners)).alias("owned"))
-    judged = each.join(counts, "value_hash").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owned"))).alias("judged"))
+    many = copied(each, max_owners)
+    each = each.join(broadcast_if_small(many.withColumn("owned", F.lit(False)), many.count(), broadcast_rows), "value_hash", "left").withColumn("owned", F.coalesce("owned", F.lit(True)))
+    judged = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "owned"))).alias("judged"))
     out = row.join(judged, "row", "left").withColumn("judged", F.coalesce("judged", F.array().cast("array<struct<start:int,kind:int,end:int,owned:boolean>>")))
     base = F.filter("judged", lambda x: x["kind"] < 3)
     final = F.filter("judged", lambda x: (x["kind"] < 3) | x["owned"])
@@ -114,31 +123,35 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "source", max
     )
 
 
-def redact(docs: DataFrame, owner: str = "source", repository: str = "source", mask: str = "[SECRET]", max_owners: int = MAX_OWNERS, broadcast_rows: int = 500_000) -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repository: str = "source", mask: str = "[SECRET]", max_owners: int = MAX_OWNERS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with the owned (live-looking) matches replaced by ``mask``; copied examples and other columns stay.
 
-    Overlapping matches are replaced together. All rows stay; columns must not be called __cuts or __key. Rows are told
-    apart by a hash of id and text, so equal rows are treated alike and texts are never shuffled while the texts with
-    owned matches are few enough to broadcast their offsets.
+    Overlapping matches are replaced together. All rows stay, and so do all columns, whatever they are called; null and empty
+    texts stay as they are; very long texts are masked whole; an empty table gives no rows. Rows are told apart by hashes of
+    their text, so equal texts are treated alike, and texts are never shuffled while the texts with owned matches are few
+    enough to broadcast their offsets.
     """
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    found = docs.select(key.alias("__key"), F.col(f"`{owner}`").cast("string").alias("owner"), F.col(f"`{repository}`").cast("string").alias("repository"), candidates(F.col("text")).alias("found"))
+    text = F.col("text").cast("string")
+    key = [F.xxhash64(F.lit(k), text) for k in (0, 1)]
+    found = docs.select(key[0].alias("t0"), key[1].alias("t1"), F.col(f"`{owner}`").cast("string").alias("owner"), F.col(f"`{repository}`").cast("string").alias("repository"), candidates(text).alias("found"))
     found = materialise(found.filter(F.size("found") > 0), "secrets-redact")
-    each = found.select("__key", "owner", "repository", F.explode("found").alias("f"))
-    each = each.select("__key", "owner", "repository", "f.start", "f.end", F.xxhash64(value_of(F.col("f"))).alias("value_hash"))
-    counts = ownership(each).filter((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_owners)).select("value_hash")
-    cuts = each.join(counts, "value_hash").groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__cuts"))
-    cuts = materialise(cuts, "secrets-cuts")
-    out = docs.withColumn("__key", key).join(broadcast_if_small(cuts, cuts.count(), broadcast_rows), "__key", "left")
-    text = F.col("text")
+    each = found.select("t0", "t1", "owner", "repository", F.explode("found").alias("f"))
+    each = each.select("t0", "t1", "owner", "repository", "f.start", "f.end", F.xxhash64(value_of(F.col("f"))).alias("value_hash"))
+    many = copied(each, max_owners)
+    each = each.join(broadcast_if_small(many, many.count(), broadcast_rows), "value_hash", "left_anti")
+    k0, k1, cuts = (fresh(docs, x) for x in ("t0", "t1", "cuts"))
+    held = each.groupBy(F.col("t0").alias(k0), F.col("t1").alias(k1)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(cuts))
+    held = materialise(held, "secrets-cuts")
+    size = held.agg(F.sum(F.size(cuts) + 2)).first()[0] or 0
+    out = docs.join(broadcast_if_small(held, size, broadcast_rows), (key[0] == F.col(k0)) & (key[1] == F.col(k1)), "left")
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, c: Column) -> Column:
-        fresh = c["start"] >= s["at"]
+        begins = c["start"] >= s["at"]
         piece = F.concat(s["out"], text.substr(s["at"] + 1, c["start"] - s["at"]), F.lit(mask))
-        return F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.when(fresh, piece).otherwise(s["out"]).alias("out"))
+        return F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.when(begins, piece).otherwise(s["out"]).alias("out"))
 
-    done = F.aggregate("__cuts", state, step)
+    done = F.aggregate(F.col(cuts), state, step)
     masked = F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))
-    new = F.when(F.col("__cuts").isNull(), text).otherwise(masked)
-    return out.withColumn("text", new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    new = F.when(F.col(cuts).isNull(), text).otherwise(masked)
+    return out.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
