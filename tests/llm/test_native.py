@@ -1,11 +1,12 @@
 """Chat windows, decontamination and secrets: round trips and brute force, awkward rows, plans without Python."""
 
 import hashlib
+import itertools
 import re
 
 import pytest
 
-from terrane.llm import chat, decontaminate, registry, secrets
+from terrane.llm import chat, common, decontaminate, registry, secrets
 
 from .fixtures import EXTRA, SF
 
@@ -132,3 +133,59 @@ def test_ownership_separates_examples_from_live_secrets(spark):
 def test_native_plans_hold_no_python(spark, query):
     plan = registry.queries()[query](spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_leaks_of_repeated_and_null_ids(spark):
+    full = [f"t{i}" for i in range(30)]
+    part = [w if i % 2 else f"x{i}" for i, w in enumerate(full)]
+    part[:12] = full[:12]
+    q = spark.createDataFrame([(1, " ".join(full)), (1, "another item under one id " * 6), (None, "nameless item of the benchmark that has a good many words so it fills one whole window and a little more of it than that")], "item_id long, text string")
+    rows = [(1, " ".join(part)), (1, " ".join(full)), (None, " ".join(full)), (None, "clean"), (None, None), (2, "clean"), (3, "x " * 300_000 + " ".join(full) + " y" * 1000), (3, "x"), (4, "another item under one id " * 6)]
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame([(i, t, 0.0, 1, "s", 1, "s") for i, t in order], EXTRA).coalesce(1).withColumnsRenamed({"score": "gone", "n": "seed", "label": "t0", "spans": "__gone"})
+        for most in (100_000, 5):
+            got = {(r["doc_id"], r["item_id"]): (r["agreed"], r["window"], r["position"]) for r in decontaminate.leaks(d, q, broadcast_rows=most).collect()}
+            assert got == {(1, 1): (25, 25, 0), (None, 1): (25, 25, 0), (3, 1): (25, 25, 300_000), (4, 1): (25, 25, -5)}
+            kept = decontaminate.remove(d, q, broadcast_rows=most)
+            assert kept.columns == d.columns and sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (0, "clean"), (2, "clean")]
+
+
+def test_both_ways_of_dropping_documents(spark):
+    d = spark.createDataFrame([(i, f"t{i}", 1) for i in range(20)] + [(None, "t", 2)], "doc_id long, text string, gone int")
+    gone = spark.range(0, 10, 2).toDF("doc_id")
+    want = {None, *range(1, 10, 2), *range(10, 20)}
+    for limit in (0, 100):
+        assert {r["doc_id"] for r in common.without(d, gone, limit=limit).collect()} == want
+
+
+def test_redact_keeps_any_column_and_repeated_rows(spark):
+    live = "token=ownedownedowned9876"
+    rows = [(i % 2, f"é {live} " + "x " * 50_000 if i < 2 else "plain", 1, 2, f"s{i % 2}", 3) for i in range(4)] + [(0, None, 1, 2, None, 3), (None, f"{live}", 1, 2, "s0", 3), (None, f"{live}", 1, 2, "s0", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key int, __cuts int, source string, row int")
+    want = sorted((d or 9, (t or "").replace(live, "[SECRET]"), k, c, s or "", x) for d, t, k, c, s, x in rows)
+    for most in (500_000, 0):
+        out = secrets.redact(df, broadcast_rows=most)
+        assert out.columns == df.columns
+        assert sorted((r[0] or 9, r[1] or "", r[2], r[3], r[4] or "", r[5]) for r in out.collect()) == want
+    both = [secrets.scan(df, broadcast_rows=most).drop("found").collect() for most in (500_000, 0)]
+    assert sorted(map(str, both[0])) == sorted(map(str, both[1])) and len(both[0]) == len(rows)
+
+
+def test_short_items_are_found_however_their_words_change(spark):
+    items = [(n, [f"i{n}x{i}" for i in range(n)]) for n in (1, 2, 5, 9, 10, 12, 15)]
+    docs, want = [], set()
+    for n, words in items:
+        allowed = 0 if n < 10 else n // 5
+        for changes in range(allowed + 2):
+            for at in itertools.combinations(range(n), changes):
+                text = ["some", *("changed" if i in at else w for i, w in enumerate(words)), "more"]
+                if changes <= allowed:
+                    want.add((len(docs), n))
+                if changes <= allowed or len(docs) % 5 == 0:
+                    docs.append((len(docs), " ".join(text)))
+    docs.append((len(docs), " ".join(items[3][1])))
+    want.add((len(docs) - 1, 9))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, q).collect()}
+    assert got == want
