@@ -5,7 +5,6 @@ import itertools
 import numpy as np
 import pytest
 
-from terrane.llm import decontaminate
 from terrane.operators import graph, stats
 from terrane.plans import bridge, registry
 
@@ -95,26 +94,6 @@ def test_registered_layout_draws_the_references_graph(spark, monkeypatch):
     assert seen == {"most": 100_000, "rounds": 500}
 
 
-def test_short_items_are_found_however_their_words_change(spark):
-    items = [(n, [f"i{n}x{i}" for i in range(n)]) for n in (1, 2, 5, 9, 10, 12, 15)]
-    docs, want = [], set()
-    for n, words in items:
-        allowed = 0 if n < 10 else n // 5
-        for changes in range(allowed + 2):
-            for at in itertools.combinations(range(n), changes):
-                text = ["some", *("changed" if i in at else w for i, w in enumerate(words)), "more"]
-                if changes <= allowed:
-                    want.add((len(docs), n))
-                if changes <= allowed or len(docs) % 5 == 0:
-                    docs.append((len(docs), " ".join(text)))
-    docs.append((len(docs), " ".join(items[3][1])))
-    want.add((len(docs) - 1, 9))
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    q = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(d, q).collect()}
-    assert got == want
-
-
 def test_feature_limits_are_the_references(spark):
     count = lambda name, by: [r["count"] for r in registry.queries()[name](spark, "/root/testdata/sf0.01").groupBy(*by).count().collect()]
     assert max(count("marker_topn", ["cluster"])) == 40 and {r for r in count("strip_values", ["cluster", "cell_id"])} == {12}
