@@ -159,7 +159,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, sample:
 
 
 def _scorer(model: Model | None):
-    """A function from texts to (languages, scores, ambiguity flags), with its words kept between tasks."""
+    """A function from an Arrow column of texts to (languages, scores, ambiguity flags), with its words kept between tasks."""
     width = 0 if model is None else model.code.shape[1]
     key = uuid.uuid4().hex
 
@@ -174,8 +174,8 @@ def _scorer(model: Model | None):
     def score(texts):
         words = kept(key, lambda: WordTable(compute, width + 1))
         lang, scores, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        for a, b in text_chunks(texts) if model is not None else ():
-            cut = [_words(t) for t in texts[a:b]]
+        for a, b, chunk in text_chunks(texts) if model is not None else ():
+            cut = [_words(t) for t in chunk]
             sizes = np.array([len(c) for c in cut])
             at = words.lookup([w for c in cut for w in c])
             total = np.concatenate((np.zeros((1, width + 1)), np.cumsum(words.rows[at], axis=0, dtype=np.float64)))
@@ -207,19 +207,23 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
 
     def run(batches):
         for batch in batches:
-            lang, scores, unsure = score(batch.column(batch.num_columns - 1).to_pylist())
+            lang, scores, unsure = score(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(scores), pa.array(unsure)], [*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"])
 
     return map_arrow(source, run, f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """``docs`` without those whose language is ``und``, or ambiguous with a score under ``least``; all columns stay."""
+    """``docs`` without those whose language is ``und``, or ambiguous with a score under ``least``; all columns stay.
+
+    Null texts and texts without a letter are ``und`` and go; so does every row when nothing was learned. Texts are read whole,
+    however long; repeated rows share their fate; an empty table gives no rows.
+    """
     at, score = docs.columns.index("text"), _scorer(model)
 
     def run(batches):
         for batch in batches:
-            lang, scores, unsure = score(batch.column(at).to_pylist())
+            lang, scores, unsure = score(batch.column(at))
             yield batch.filter(pa.array([x != "und" and not (u and s < least) for x, s, u in zip(lang, scores, unsure)], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

@@ -76,9 +76,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, with_ids: bool
         if len(tokens.closes) > 1 << 16:
             raise ValueError("ids are held as unsigned 16-bit numbers")
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_chunks(texts):
-                raw = [x + end for x in tokens.encode_many(texts[a:b])]
+            for a, b, texts in text_chunks(batch.column(1)):
+                raw = [x + end for x in tokens.encode_many(texts)]
                 sizes = np.array([len(x) // 4 for x in raw], np.int64)
                 ids = np.frombuffer(b"".join(raw), "<u4")
                 first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -89,7 +88,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, with_ids: bool
                 data = short.tobytes()
                 yield pa.RecordBatch.from_pydict({
                     "row": pa.array((np.int64(part) << 32) + np.arange(row, row + len(raw))),
-                    "doc_id": pa.array(doc_ids[a:b], pa.int64()),
+                    "doc_id": batch.column(0).slice(a, b - a),
                     "doc_tokens": pa.array(sizes),
                     "key": pa.array(hilbert_keys(grid).astype(np.int64)),
                     "data": pa.array([data[x:y] for x, y in zip(at, at[1:])], pa.binary()),

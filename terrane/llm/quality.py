@@ -20,6 +20,8 @@ from .words import text_chunks
 
 #: Bound of the training sample: expected documents of each label.
 SAMPLE_PER_LABEL = 2000
+#: Documents of more lines are scored, but not learned from.
+LONGEST_LEARNED = 10_000
 #: Bytes' classes: upper-case ASCII, lower-case ASCII, digits, spaces, marks; bytes of other characters.
 CLASSES = 6
 FEATURES = 14
@@ -135,22 +137,26 @@ def fit(x: np.ndarray, sizes: np.ndarray, lines: np.ndarray, good: np.ndarray, w
     return Model(params["w"], params["trans"], float(params["init"][0]), document)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, salt: int = 31) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, salt: int = 31, longest: int = LONGEST_LEARNED) -> Model:
     """Fit on documents (doc_id, text) that have a label in ``labels`` (doc_id, label), 1 good and 0 bad; null texts are empty.
 
-    About ``per_label`` documents of each label, chosen by a hash of doc_id, come to the driver as line features.
+    About ``per_label`` documents of each label, chosen by a hash of doc_id, come to the driver as line features, but for those of
+    more than ``longest`` lines, which are not learned from. Both bound the driver's memory; scoring has no bound.
     """
     chosen, share = sample_labels(labels, per_label, salt)
     chosen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def features(batches):
         for batch in batches:
-            x, sizes = [], []
-            for text in batch.column(0).to_pylist():
-                f, s, _ = line_features([text])
-                x.append(f.astype("<f4").tobytes())
-                sizes.append(s.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(sizes, pa.binary()), batch.column(1)], ["x", "sizes", "label"])
+            x, sizes, rows = [], [], []
+            for a, _, texts in text_chunks(batch.column(0)):
+                for i, text in enumerate(texts):
+                    f, s, _ = line_features([text])
+                    if len(s) <= longest:
+                        x.append(f.astype("<f4").tobytes())
+                        sizes.append(s.astype("<i8").tobytes())
+                        rows.append(a + i)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(sizes, pa.binary()), batch.column(1).take(pa.array(rows, pa.int64()))], ["x", "sizes", "label"])
 
     rows = map_arrow(chosen.select(F.col("text").cast("string"), F.col("label").cast("int")), features, "x binary, sizes binary, label int").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["x"])))
@@ -174,10 +180,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            score, count, bad = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            for a, b in text_chunks(texts):
-                x, sizes, lines = line_features(texts[a:b])
+            score, count, bad = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for a, b, texts in text_chunks(batch.column(batch.num_columns - 1)):
+                x, sizes, lines = line_features(texts)
                 starts = np.cumsum(lines) - lines
                 p = model.lines(x, starts)
                 score[a:b], count[a:b], bad[a:b] = model.score(p, sizes, starts), lines, np.add.reduceat((p > 0.5).astype(np.int64), starts)

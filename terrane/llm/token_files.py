@@ -155,10 +155,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, partitions: int | None =
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([number], pa.int32()), "n_tokens": pa.array([held], pa.int64()), "data": pa.array([write_segment(ids, documents, before)], pa.binary())})
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_chunks(texts):
-                ids += doc_ids[a:b]
-                documents += [x + end for x in tokens.encode_many(texts[a:b])]
+            for a, b, texts in text_chunks(batch.column(1)):
+                ids += batch.column(0).slice(a, b - a).to_pylist()
+                documents += [x + end for x in tokens.encode_many(texts)]
                 held += sum(len(x) for x in documents[a - b :]) // 4
                 if held >= SEGMENT_TOKENS:
                     yield flush()

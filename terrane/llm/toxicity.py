@@ -24,6 +24,8 @@ from .words import WordTable, kept, text_chunks
 
 #: Bound of the training sample: expected documents of each label.
 SAMPLE_PER_LABEL = 1000
+#: Documents of more words are scored, but not learned from.
+LONGEST_LEARNED = 10_000
 #: A feature joins the vocabulary when this many sampled documents hold it.
 VOCABULARY_DOCUMENTS = 4
 #: A feature is toxic when its standardised log odds reach this, and the odds themselves the second figure.
@@ -135,23 +137,27 @@ def fit(documents: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, step
     return Model(vocab[known], params["w"][1:], float(params["bias"][0]), params["trans"], float(params["init"][0]), document)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, salt: int = 23) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, salt: int = 23, longest: int = LONGEST_LEARNED) -> Model:
     """Fit on documents (doc_id, text) that have a label of 0 or 1 in ``labels`` (doc_id, label); null texts are empty.
 
-    About ``per_label`` documents of each label, chosen by a hash of doc_id, come to the driver as word features.
+    About ``per_label`` documents of each label, chosen by a hash of doc_id, come to the driver as word features, but for those of
+    more than ``longest`` words, which are not learned from. Both bound the driver's memory; scoring has no bound.
     """
     chosen, share = sample_labels(labels, per_label, salt)
     chosen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def features(batches):
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                words = text.split() if text else []
-                distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
-                rows = word_features(list(distinct))
-                out.append(rows[np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["words", "label"])
+            out, taken = [], []
+            for a, _, texts in text_chunks(batch.column(0)):
+                for i, text in enumerate(texts):
+                    words = text.split() if text else []
+                    if len(words) <= longest:
+                        distinct = {w: k for k, w in enumerate(dict.fromkeys(words))}
+                        rows = word_features(list(distinct))
+                        out.append(rows[np.fromiter(map(distinct.__getitem__, words), np.int64, len(words))].tobytes())
+                        taken.append(a + i)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1).take(pa.array(taken, pa.int64()))], ["words", "label"])
 
     rows = map_arrow(chosen.select(F.col("text").cast("string"), F.col("label").cast("int")), features, "words binary, label int").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["words"])))
@@ -179,10 +185,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, spans:
     def run(batches):
         table = kept(key, lambda: WordTable(compute, 1))
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            score, found = np.zeros(len(texts)), [[] for _ in texts]
-            for a, b in text_chunks(texts):
-                cut = [t.split() if t else [] for t in texts[a:b]]
+            score, found = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
+            for a, b, texts in text_chunks(batch.column(batch.num_columns - 1)):
+                cut = [t.split() if t else [] for t in texts]
                 sizes = np.array([len(c) for c in cut])
                 starts = np.cumsum(sizes) - sizes
                 at = table.lookup([w for c in cut for w in c])
@@ -190,7 +195,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, spans:
                 score[a:b] = model.score(p, starts, sizes)
                 hit = np.flatnonzero(p > 0.5) if spans else ()
                 for i in np.unique(np.searchsorted(starts + sizes, hit, "right")) if len(hit) else ():
-                    found[a + i] = toxic_spans(texts[a + i], p[starts[i] : starts[i] + sizes[i]] > 0.5)
+                    found[a + i] = toxic_spans(texts[i], p[starts[i] : starts[i] + sizes[i]] > 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array(found, span_type)], [*batch.schema.names[:-1], "score", "spans"])
 
     return map_arrow(source, run, f"{schema}, score double, spans array<struct<start:int,end:int>>")

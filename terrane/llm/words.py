@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from ..shipping import trim
 
 
 class WordTable:
@@ -53,17 +56,16 @@ class WordTable:
         return np.fromiter(found, np.int64, len(found))
 
 
-def text_chunks(texts: list, most: int = 400_000):
-    """Yield (first, last) ranges of ``texts`` of about ``most`` characters each, one text at least."""
+def text_chunks(column: pa.Array, most: int = 400_000):
+    """Yield (first, last, texts) for ranges of an Arrow column of texts of about ``most`` bytes each, one text at least."""
     first = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
         if i > first and size + n > most:
-            yield first, i
+            yield first, i, column.slice(first, i - first).to_pylist()
             first, size = i, 0
         size += n
-    if first < len(texts):
-        yield first, len(texts)
+    if first < len(column):
+        yield first, len(column), column.slice(first).to_pylist()
 
 
 _kept: dict = {}
@@ -73,7 +75,7 @@ def release() -> None:
     """Let go of what this Python worker keeps, so that stages of other operators do not pay for it."""
     if _kept:
         _kept.clear()
-        pa.default_memory_pool().release_unused()
+        trim()
 
 
 def kept(key, make: Callable):
