@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import share_of_total, split_ids, strip
+from ..scratch import materialise
 from .spatial import with_cells
 
 
@@ -34,10 +35,11 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def vocabulary(presence: DataFrame, species: str = "species_id") -> DataFrame:
     """(col_index, species_id): a dense index in the ids' lexical order.
 
-    Ids are ranked inside ranges and the ranges' sizes are added up, so the vocabulary is never sorted in one task.
+    Ids are ranked inside ranges and the ranges' sizes are added up, so the vocabulary is never sorted in one task. The
+    ranges are written to the shared folder before they are counted, so a lost executor cannot move an id to another range.
     """
     ids = presence.select(F.col(species).alias("species_id")).filter("species_id IS NOT NULL").distinct()
-    ranged = ids.repartitionByRange("species_id").withColumn("part", F.spark_partition_id()).persist()
+    ranged = materialise(ids.repartitionByRange("species_id").withColumn("part", F.spark_partition_id()), "vocabulary")
     sizes = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect())
     base, offsets = 0, []
     for part, n in sizes:
@@ -101,10 +103,25 @@ def unit_distance(dot: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
 
 
+def pair_distances(features: DataFrame, cell: str = "cell_id", block: int = 1024) -> DataFrame:
+    """(i, j, d) for all cells i < j; cells that share no species are the root of 2 apart.
+
+    The table has a row for each pair, as asked for. Cells are dealt to blocks and pairs of blocks meet by key, so the pairs
+    are spread evenly over tasks and no cross join is planned.
+    """
+    ids = features.select(F.col(cell).alias("x")).distinct()
+    blocks = max(1, -(-ids.count() // block))
+    ids = ids.withColumn("a", F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int"))
+    left = ids.withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(blocks - 1))))
+    right = ids.select(F.col("x").alias("y"), F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("a"))).alias("a"))
+    every = left.join(right, ["a", "b"]).filter("a < b OR x < y").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"))
+    return every.join(pair_dots(features, cell), ["i", "j"], "left").select("i", "j", unit_distance(F.coalesce("dot", F.lit(0.0))).alias("d"))
+
+
 def centroids(features: DataFrame, labels: DataFrame, cell: str = "cell_id") -> DataFrame:
     """(cluster, species_id, value): mean over all cells of a cluster, absent species counting as 0."""
     sizes = labels.groupBy("cluster").agg(F.count("*").alias("n"))
-    return features.join(labels, cell).groupBy("cluster", "species_id").agg(F.sum("value").alias("s")).join(F.broadcast(sizes), "cluster").select("cluster", "species_id", (F.col("s") / F.col("n")).alias("value"))
+    return features.join(labels, cell).groupBy("cluster", "species_id").agg(F.sum("value").alias("s")).join(sizes, "cluster").select("cluster", "species_id", (F.col("s") / F.col("n")).alias("value"))
 
 
 def aligned(features: DataFrame, labels: DataFrame, cell: str = "cell_id", strict: bool = False) -> DataFrame:
@@ -112,3 +129,11 @@ def aligned(features: DataFrame, labels: DataFrame, cell: str = "cell_id", stric
     if strict and not features.select(cell).distinct().join(labels, cell, "left_anti").isEmpty():
         raise ValueError("cells without a label")
     return features.join(labels, cell)
+
+
+def centroid_distances(features: DataFrame, labels: DataFrame, cell: str = "cell_id") -> DataFrame:
+    """(cluster, cell, d): each cell's distance to the centroid of its cluster, from the non-zero values alone."""
+    c = centroids(features, labels, cell)
+    norms = c.groupBy("cluster").agg(F.sum(F.col("value") * F.col("value")).alias("cc"))
+    cross = features.join(labels, cell).join(c.withColumnRenamed("value", "m"), ["cluster", "species_id"]).groupBy("cluster", cell).agg(F.sum(F.col("value") * F.col("value") - 2 * F.col("value") * F.col("m")).alias("d"))
+    return cross.join(norms, "cluster").select("cluster", cell, F.sqrt(F.greatest(F.lit(0.0), F.col("d") + F.col("cc"))).alias("d"))

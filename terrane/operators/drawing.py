@@ -11,7 +11,7 @@ from ..functions.expr import cell_rectangle, volcano
 def colours(df: DataFrame, label: str, n: int = 20) -> DataFrame:
     """Adds ``colour_idx``: the label's rank among all labels, modulo ``n``. Ranks come from the table of labels."""
     ranks = df.select(label).distinct().withColumn("colour_idx", ((F.row_number().over(Window.orderBy(label)) - 1) % n).cast("int"))
-    return df.join(F.broadcast(ranks), label)
+    return df.join(ranks, label)
 
 
 def map_cells(cells: DataFrame, label: str, size: float) -> DataFrame:
@@ -48,7 +48,7 @@ def boxes(df: DataFrame, by: str, value: str) -> DataFrame:
     q = df.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     q = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = df.join(F.broadcast(q), by).filter((F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach))
+    inside = df.join(q, by).filter((F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach))
     return inside.groupBy(by, "q1", "median", "q3").agg(F.min(value).alias("low"), F.max(value).alias("high"))
 
 

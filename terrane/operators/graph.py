@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import kernel
+from ..scratch import materialise
 from ..shipping import ship
 
 
@@ -66,9 +67,11 @@ def two_hop(edges: DataFrame, alpha: float = 0.02) -> DataFrame:
 def similarity(edges: DataFrame, mode: str = "adaptive", beta: float = 1.0, alpha: float = 0.02, how: str = "max") -> DataFrame:
     """Neighbour distances (src, dst, d) to similarities (src, dst, w).
 
-    ``adaptive`` scales by the medians of both ends' distances; a median of 0 is replaced by the median of all.
+    ``adaptive`` scales by the medians of both ends' distances; a median of 0 is replaced by the median of all. Tables that are
+    read more than once are written first, so a neighbour search behind ``edges`` runs one time.
     """
     if mode == "adaptive":
+        edges = materialise(edges, "neighbours")
         whole = edges.agg(F.percentile("d", F.lit(0.5)).alias("whole"))
         scale = edges.groupBy("src").agg(F.percentile("d", F.lit(0.5)).alias("s")).crossJoin(F.broadcast(whole)).select("src", F.when(F.col("s") > 0, F.col("s")).otherwise(F.col("whole")).alias("s"), "whole")
         named = edges.join(scale.toDF("src", "si", "whole"), "src").join(scale.select(F.col("src").alias("dst"), F.col("s").alias("sj")), "dst", "left")
@@ -78,15 +81,15 @@ def similarity(edges: DataFrame, mode: str = "adaptive", beta: float = 1.0, alph
     else:
         out = edges.select("src", "dst", kernel(F.col("d"), mode, beta=beta).alias("w"))
     out = symmetric(out, how)
-    return two_hop(out, alpha) if alpha else out
+    return two_hop(materialise(out, "similarity"), alpha) if alpha else out
 
 
 def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataFrame:
     """(quality,) of labels (node, label) on symmetric edges: pairs weigh twice, loops once."""
     a, b = labels.toDF("src", "ls"), labels.toDF("dst", "ld")
-    pairs = edges.filter("src <> dst").select("src", "dst", F.col("w").alias("w")).union(edges.filter("src = dst").select("src", "dst", "w"))
+    pairs = edges.select("src", "dst", "w").filter("src IS NOT NULL AND dst IS NOT NULL")
     inside = pairs.join(a, "src").join(b, "dst")
-    strength = inside.groupBy("ls").agg(F.sum(F.when(F.col("src") == F.col("dst"), 2 * F.col("w")).otherwise(2 * F.col("w"))).alias("k"), F.sum(F.when(F.col("ls") == F.col("ld"), F.col("w"))).alias("win"))
+    strength = inside.groupBy("ls").agg(F.sum(2 * F.col("w")).alias("k"), F.sum(F.when(F.col("ls") == F.col("ld"), F.col("w"))).alias("win"))
     total = pairs.agg(F.sum("w").alias("m"))
     out = strength.crossJoin(F.broadcast(total))
     return out.agg(F.sum(F.coalesce("win", F.lit(0.0)) / F.col("m") - gamma * F.pow(F.col("k") / (2 * F.col("m")), 2)).alias("quality"))
@@ -259,13 +262,13 @@ def relabel(labels: DataFrame, into: dict) -> DataFrame:
     """Labels replaced by their targets, then numbered from 0 in order."""
     rank = {c: i for i, c in enumerate(sorted(set(into.values())))}
     table = labels.sparkSession.createDataFrame([(int(k), int(rank[v])) for k, v in into.items()], "label long, __new long")
-    return labels.join(F.broadcast(table), "label").select("node", F.col("__new").alias("label"))
+    return labels.join(table, "label").select("node", F.col("__new").alias("label"))
 
 
 def compact(labels: DataFrame, label: str = "label") -> DataFrame:
     """Labels numbered from 0 in order."""
     ids = labels.select(label).distinct().withColumn("__new", F.row_number().over(Window.orderBy(label)) - 1)
-    return labels.join(F.broadcast(ids), label).drop(label).withColumnRenamed("__new", label)
+    return labels.join(ids, label).drop(label).withColumnRenamed("__new", label)
 
 
 def strongest_edges(edges: DataFrame, most: int, least: float = 0.0) -> DataFrame:

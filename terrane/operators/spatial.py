@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.expr import cell_name, grid_index
 
 
-def distance_join(sites: DataFrame, points: DataFrame, radius: float, site_keys: list[str] = (), x: str = "e", y: str = "n") -> DataFrame:
+def distance_join(sites: DataFrame, points: DataFrame, radius: float, site_keys: list[str] = (), x: str = "e", y: str = "n", broadcast_rows: int | None = None) -> DataFrame:
     """All pairs of a site and a point within ``radius`` (closed ball), with the squared distance ``d2``.
 
     Both sides have columns ``x`` and ``y``; other names must not clash. Sites, the smaller side, are copied to their own and
     the eight neighbouring squares of side ``radius``; a point lies in one square, so the join is an equi-join
-    on squares and gives no pair twice. Missing coordinates match nothing.
+    on squares and gives no pair twice. Missing coordinates match nothing. With ``broadcast_rows`` the sites are counted, and
+    broadcast if they are no more, so that points are not shuffled; otherwise the planner decides.
     """
+    small = broadcast_rows is not None and sites.count() <= broadcast_rows
     cell = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("bigint")
     s = sites.filter(f"{x} IS NOT NULL AND {y} IS NOT NULL").withColumnsRenamed({x: "__sx", y: "__sy"})
     s = s.withColumn("__dx", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("__dy", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
     s = s.withColumns({"__cx": F.floor(F.col("__sx") / F.lit(float(radius))).cast("bigint") + F.col("__dx"), "__cy": F.floor(F.col("__sy") / F.lit(float(radius))).cast("bigint") + F.col("__dy")}).drop("__dx", "__dy")
     p = points.filter(f"{x} IS NOT NULL AND {y} IS NOT NULL").withColumns({"__cx": cell(x), "__cy": cell(y)})
     d2 = (F.col("__sx") - F.col(x)) * (F.col("__sx") - F.col(x)) + (F.col("__sy") - F.col(y)) * (F.col("__sy") - F.col(y))
-    out = s.join(p, ["__cx", "__cy"]).withColumn("d2", d2.cast("double")).filter(F.col("d2") <= float(radius) ** 2)
+    out = (F.broadcast(s) if small else s).join(p, ["__cx", "__cy"]).withColumn("d2", d2.cast("double")).filter(F.col("d2") <= float(radius) ** 2)
     return out.withColumnsRenamed({"__sx": f"site_{x}", "__sy": f"site_{y}"}).drop("__cx", "__cy")
 
 

@@ -22,7 +22,7 @@ def marker_summaries(features: DataFrame, labels: DataFrame, cell: str = "cell_i
     joined = features.filter("value <> 0").join(labels, cell)
     inside = joined.groupBy("cluster", "species_id").agg(F.sum("value").alias("s_in"), F.sum(F.col("value") * F.col("value")).alias("q_in"), F.count("*").alias("k_in"))
     every = joined.groupBy("species_id").agg(F.sum("value").alias("s_all"), F.sum(F.col("value") * F.col("value")).alias("q_all"), F.count("*").alias("k_all"))
-    out = inside.join(every, "species_id").join(F.broadcast(sizes), "cluster").crossJoin(F.broadcast(total)).withColumn("n_out", F.col("n_all") - F.col("n_in"))
+    out = inside.join(every, "species_id").join(sizes, "cluster").crossJoin(F.broadcast(total)).withColumn("n_out", F.col("n_all") - F.col("n_in"))
     rest = F.greatest(F.col("n_out"), F.lit(1))
     out = out.withColumns({
         "mean_in": F.col("s_in") / F.col("n_in"),
@@ -60,7 +60,7 @@ def mann_whitney(features: DataFrame, labels: DataFrame, cell: str = "cell_id",
     ties = ties.withColumns({"upto": F.sum("t").over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "k": F.sum("t").over(by), "cubes": F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).over(by)})
     ties = ties.withColumn("mid", F.col("upto") - (F.col("t") - 1) / 2.0)
     r = x.join(ties.select("species_id", "value", "mid", "k", "cubes"), ["species_id", "value"]).groupBy("cluster", "species_id").agg(F.sum("mid").alias("mids"), F.count("*").alias("k_in"), F.first("k").alias("k"), F.first("cubes").alias("cubes"))
-    r = r.join(F.broadcast(sizes), "cluster").crossJoin(F.broadcast(n)).withColumn("zeros", F.col("n_all") - F.col("k"))
+    r = r.join(sizes, "cluster").crossJoin(F.broadcast(n)).withColumn("zeros", F.col("n_all") - F.col("k"))
     n1, n2, m, z0 = (F.col(c).cast("double") for c in ("n_in", "n_all", "n_all", "zeros"))
     n2 = n2 - n1
     ranks = (n1 - F.col("k_in")) * (z0 + 1) / 2 + F.col("mids") + z0 * F.col("k_in")
@@ -135,21 +135,47 @@ def sorensen_pairs(presence: DataFrame, labels: DataFrame, cell: str = "cell_id"
     """(cluster, i, j, beta_sor, beta_turnover, beta_nestedness) of cells of one cluster; at most ``most`` drawn pairs of each."""
     own = presence.select(cell, "species_id").distinct().join(labels, cell)
     sizes = own.groupBy("cluster", cell).agg(F.count("*").alias("k"))
-    a, b = sizes.toDF("cluster", "i", "ki"), sizes.toDF("cluster", "j", "kj")
-    pairs = a.join(b, "cluster").filter("i < j")
-    if most is not None:
-        rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64(F.lit(seed), "i", "j"), "i", "j"))
-        pairs = pairs.withColumn("__k", rank).filter(F.col("__k") <= most).drop("__k")
-    x, y = own.select("cluster", F.col(cell).alias("i"), "species_id"), own.select("cluster", F.col(cell).alias("j"), "species_id")
-    shared = x.join(y, ["cluster", "species_id"]).filter("i < j").groupBy("cluster", "i", "j").agg(F.count("*").alias("a"))
+    if most is None:
+        a, b = sizes.toDF("cluster", "i", "ki"), sizes.toDF("cluster", "j", "kj")
+        pairs = a.join(b, "cluster").filter("i < j")
+        x, y = own.select("cluster", F.col(cell).alias("i"), "species_id"), own.select("cluster", F.col(cell).alias("j"), "species_id")
+        shared = x.join(y, ["cluster", "species_id"]).filter("i < j").groupBy("cluster", "i", "j").agg(F.count("*").alias("a"))
+    else:
+        numbered = materialise(sizes.withColumn("at", F.row_number().over(Window.partitionBy("cluster").orderBy(cell)).cast("long") - 1), "sorensen-cells")
+        drawn = draw_pairs(numbered.groupBy("cluster").agg(F.count("*").alias("m")), most, seed)
+        a, b = numbered.toDF("cluster", "i", "ki", "low"), numbered.toDF("cluster", "j", "kj", "high")
+        pairs = materialise(drawn.join(a, ["cluster", "low"]).join(b, ["cluster", "high"]).select("cluster", "i", "j", "ki", "kj"), "sorensen-pairs")
+        # only the species of drawn pairs meet
+        x, y = own.select(F.col(cell).alias("i"), "species_id"), own.select(F.col(cell).alias("j"), "species_id")
+        shared = pairs.select("cluster", "i", "j").join(x, "i").join(y, ["j", "species_id"]).groupBy("cluster", "i", "j").agg(F.count("*").alias("a"))
     pairs = pairs.join(shared, ["cluster", "i", "j"], "left").withColumn("a", F.coalesce("a", F.lit(0)))
     return pairs.select("cluster", "i", "j", *sorensen(F.col("a"), F.col("ki") - F.col("a"), F.col("kj") - F.col("a")))
 
 
+def draw_pairs(groups: DataFrame, most: int, seed: int) -> DataFrame:
+    """(cluster, low, high): ``most`` different pairs low < high of the numbers 0 to m - 1 of each group (cluster, m), or all where there are fewer.
+
+    Pairs are numbered; where they are many, twice as many numbers as needed are drawn by a hash and the first different ones stay,
+    so no table of all pairs is made.
+    """
+    every = F.col("m") * (F.col("m") - 1) / 2
+    g = groups.withColumn("pairs", every.cast("long")).filter("pairs > 0")
+    few = g.filter(F.col("pairs") <= 4 * most).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pairs") - 1))).withColumn("number", F.col("k"))
+    few = few.withColumn("k", F.xxhash64(F.lit(seed), "cluster", "k"))
+    many = g.filter(F.col("pairs") > 4 * most).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * most).cast("long"))))
+    many = many.withColumn("number", F.pmod(F.xxhash64(F.lit(seed), "cluster", "k"), F.col("pairs"))).groupBy("cluster", "m", "pairs", "number").agg(F.min("k").alias("k"))
+    both = few.select("cluster", "number", "k").union(many.select("cluster", "number", "k"))
+    first = both.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("k", "number"))).filter(F.col("rank") <= most)
+    # the pair's larger end is the largest h with h (h - 1) / 2 <= number; the root is corrected by one where it is rounded
+    h = F.floor((1 + F.sqrt(1 + 8 * F.col("number").cast("double"))) / 2)
+    h = F.when(h * (h - 1) / 2 > F.col("number"), h - 1).when((h + 1) * h / 2 <= F.col("number"), h + 1).otherwise(h)
+    return first.withColumn("high", h.cast("long")).select("cluster", (F.col("number") - (F.col("high") * (F.col("high") - 1) / 2).cast("long")).alias("low"), "high")
+
+
 def sorensen_summary(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     sizes = labels.groupBy("cluster").agg(F.count("*").alias("n_cells"))
     stats = [f(c).alias(f"{c}_{name}") for c in ("beta_sor", "beta_turnover", "beta_nestedness") for name, f in (("mean", F.avg), ("sd", F.stddev_samp))]
-    return pairs.groupBy("cluster").agg(F.count("*").alias("n_pairs_used"), *stats).join(F.broadcast(sizes), "cluster")
+    return pairs.groupBy("cluster").agg(F.count("*").alias("n_pairs_used"), *stats).join(sizes, "cluster")
 
 
 def dispersion(distances: DataFrame) -> DataFrame:
@@ -158,6 +184,14 @@ def dispersion(distances: DataFrame) -> DataFrame:
     return out.select("*", *normal_interval(F.col("mean"), F.col("sd"), F.col("n")))
 
 
+def centre_distances(vectors: DataFrame) -> DataFrame:
+    """(cluster, id, d): each vector's distance to its cluster's mean; vectors are (id, cluster, v)."""
+    long = vectors.select("id", "cluster", F.posexplode("v").alias("d", "x"))
+    mean = long.groupBy("cluster", "d").agg(F.avg("x").alias("m"))
+    gap = F.col("x") - F.col("m")
+    return long.join(mean, ["cluster", "d"]).groupBy("cluster", "id").agg(F.sqrt(F.sum(gap * gap)).alias("d"))
+
+
 def label_sums(vectors: DataFrame, block: int = 1024) -> DataFrame:
     """(id, cluster, other, n, s, q): number, sum and sum of squares of a row's distances to the rows of each cluster.
 

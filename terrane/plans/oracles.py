@@ -10,13 +10,13 @@ LOC = """loc AS (SELECT c_custkey::VARCHAR AS locality_id, c_custkey AS key, (30
   55.0::DOUBLE + ((c_custkey * 7919) % 1450)::DOUBLE / 100 AS lat, 10.0::DOUBLE + ((c_custkey * 104729) % 1500)::DOUBLE / 100 AS lon, c_mktsegment AS sci, n_regionkey::BIGINT AS cluster FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 CELLS = "cells AS (SELECT *, floor(e / 10000)::BIGINT AS gx, floor(n / 10000)::BIGINT AS gy, 'gx' || floor(e / 10000)::BIGINT || '_gy' || floor(n / 10000)::BIGINT AS cell_id FROM loc)"
 COUNTS = "counts AS (SELECT cell_id, species_id, count(*) AS \"count\" FROM presence JOIN cells USING (locality_id) GROUP BY ALL)"
-SITES = "sites AS (SELECT c_mktsegment AS sci, c_custkey AS fid, (500000 + (c_custkey * 7919) % 400 * 10)::DOUBLE AS e, (6500000 + (c_custkey * 104729) % 400 * 10)::DOUBLE AS n FROM customer WHERE c_custkey % 10 = 0)"
+SITES = "sites AS (SELECT c_mktsegment AS sci, c_custkey AS fid, (500000 + (c_custkey * 7919) % 400 * 10)::DOUBLE AS e, (6500000 + (c_custkey * 104729) % 400 * 10)::DOUBLE AS n FROM customer)"
 POINTS = "points AS (SELECT substr(o_orderpriority, 1, 1) || '-' || o_orderstatus AS tid, o_orderkey AS pid, 'loc ' || (o_orderkey % 500) AS locality, (500000 + (o_orderkey * 15485863) % 400 * 10)::DOUBLE AS e, (6500000 + (o_orderkey * 32452843) % 397 * 10)::DOUBLE AS n FROM orders)"
 HITS = f"{SITES}, {POINTS}, hits AS (SELECT sci, fid, tid, pid, locality, p.e AS e, p.n AS n, (s.e - p.e) * (s.e - p.e) + (s.n - p.n) * (s.n - p.n) AS d2 FROM sites s JOIN points p ON (s.e - p.e) * (s.e - p.e) + (s.n - p.n) * (s.n - p.n) <= 2500)"
 RED = "red AS (SELECT unnest(['1-O', '2-F', '3-P', '5-O']) AS id)"
 KEPT = "kept AS (SELECT sci, tid, count(*) AS n FROM hits WHERE tid NOT IN ('', 'NA') GROUP BY ALL HAVING count(*) >= 15)"
 COMM = """comm AS (SELECT (floor(((o_custkey * 7919) % 97) / 8)::BIGINT * 1000 + floor(((o_custkey * 104729) % 89) / 8)::BIGINT) AS cell_id, p_brand || '-' || p_type AS species_id, count(*) AS "count"
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_partkey % 7 = 0 GROUP BY ALL),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 f AS (SELECT cell_id, species_id, sqrt("count"::DOUBLE / sum("count") OVER (PARTITION BY cell_id)) AS value FROM comm),
 labels AS (SELECT DISTINCT cell_id, cell_id % 4 AS cluster FROM f)"""
 SUMMARY = f"""{COMM}, fl AS (SELECT * FROM f JOIN labels USING (cell_id)), sizes AS (SELECT cluster, count(*) AS n_in FROM labels GROUP BY 1), n AS (SELECT count(*) AS n_all FROM labels),
@@ -110,7 +110,7 @@ SELECT bands.locality_id, latband, m.n, m.e FROM bands LEFT JOIN (SELECT localit
     "latbands": f"WITH {LOC}, q AS (SELECT sci, list_sort(list_distinct(quantile_cont(lat, [{', '.join(str(i / 10) for i in range(11))}]))) AS edges FROM loc GROUP BY 1), b AS (SELECT key, sci, greatest(len(list_filter(edges, lambda x: x < lat)) - 1, 0)::INT AS band FROM loc JOIN q USING (sci)) SELECT key, sci, band, 'LAT' || (band + 1) AS latband FROM b",
     "site_quota": f"WITH {LOC} SELECT sci, count(*) AS n, (CASE WHEN count(*) > 200 THEN 20 ELSE greatest(1, count(*) // 10) END)::INT AS quota FROM loc GROUP BY 1",
     "strict_equal_counts": f"WITH {LOC}, q AS (SELECT sci, list_distinct(quantile_cont(lat, [{', '.join(str(i / 10) for i in range(11))}])) AS edges FROM loc GROUP BY 1), b AS (SELECT sci, 'LAT' || (greatest(len(list_filter(edges, lambda x: x < lat)) - 1, 0) + 1) AS latband FROM loc JOIN q USING (sci)), s AS (SELECT sci, latband, count(*) AS n FROM b GROUP BY ALL) SELECT sci, latband, least(12, min(n) OVER (PARTITION BY sci)) AS n FROM s",
-    "pair_distances": f"WITH {COMM} SELECT a.cell_id AS i, b.cell_id AS j, round(sqrt(greatest(0, 2 - 2 * sum(a.value * b.value))), 6) AS d FROM f a JOIN f b ON a.species_id = b.species_id AND a.cell_id < b.cell_id GROUP BY ALL",
+    "pair_distances": f"WITH {COMM}, dots AS (SELECT a.cell_id AS i, b.cell_id AS j, sum(a.value * b.value) AS dot FROM f a JOIN f b ON a.species_id = b.species_id AND a.cell_id < b.cell_id GROUP BY ALL) SELECT a.cell_id AS i, b.cell_id AS j, round(sqrt(greatest(0, 2 - 2 * coalesce(dot, 0))), 6) AS d FROM labels a JOIN labels b ON a.cell_id < b.cell_id LEFT JOIN dots ON i = a.cell_id AND j = b.cell_id",
     "knn_graph": f"WITH {KNN} SELECT * FROM knn",
     "similarity_adaptive": f"""WITH {KNN}, g AS (SELECT median(d) AS g FROM knn), s AS (SELECT src, CASE WHEN median(d) > 0 THEN median(d) ELSE any_value(g) END AS s FROM knn, g GROUP BY src),
 raw_w AS (SELECT k.src, k.dst, exp(-d * d / (2 * a.s * b.s)) + {expr.FLOOR} AS w FROM knn k JOIN s a ON a.src = k.src JOIN s b ON b.src = k.dst), sim AS {_symmetric('raw_w', 'max')},
@@ -130,7 +130,7 @@ k AS (SELECT ls, sum(2 * w) AS k, coalesce(sum(w) FILTER (WHERE ls = ld), 0) AS
 SELECT cluster, species_id, round(CASE WHEN n_in > 1 AND n_out > 1 AND pooled > 1e-15 THEN delta / sqrt(pooled) END, 6) AS cohen_d FROM v""",
     "marker_mwu": f"WITH {MWU} SELECT cluster, species_id, n_in, n_out, round(u, 6) AS u, round(z, 6) AS z FROM mwu",
     "bh_fdr": f"WITH {BH} SELECT * FROM bh",
-    "marker_topn": f"WITH {SUMMARY} SELECT cluster, species_id, (row_number() OVER (PARTITION BY cluster ORDER BY round(delta, 9) DESC, species_id))::INT AS rank, round(delta, 6) AS delta FROM m WHERE delta > 0.00001 AND prevalence >= 0.05 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(delta, 9) DESC, species_id) <= 12",
+    "marker_topn": f"WITH {SUMMARY} SELECT cluster, species_id, (row_number() OVER (PARTITION BY cluster ORDER BY round(delta, 9) DESC, species_id))::INT AS rank, round(delta, 6) AS delta FROM m WHERE delta > 0.00001 AND prevalence >= 0.05 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(delta, 9) DESC, species_id) <= 40",
     "volcano": f"WITH {BH} SELECT cluster, species_id, round(-log10(least(greatest(q, 1e-300), 1)), 6) AS neglog10q, q <= 0.05 AS significant FROM bh",
     "dispersion": f"""WITH {COMM}, c AS (SELECT cluster, species_id, sum(value) / any_value(n) AS m FROM f JOIN labels USING (cell_id) JOIN (SELECT cluster, count(*) AS n FROM labels GROUP BY 1) USING (cluster) GROUP BY cluster, species_id),
 d AS (SELECT l.cluster, l.cell_id, sqrt(sum((coalesce(f.value, 0) - c.m) * (coalesce(f.value, 0) - c.m))) AS d FROM labels l JOIN c ON c.cluster = l.cluster LEFT JOIN f ON f.cell_id = l.cell_id AND f.species_id = c.species_id GROUP BY ALL),
@@ -162,7 +162,7 @@ SELECT cluster, count(*) AS n_pairs_used, any_value(n_cells) AS n_cells, round(a
     "map_cells": f"WITH {LOC}, {CELLS}, r AS (SELECT cell_id, gx, gy, min(cluster) AS cluster FROM cells GROUP BY ALL) SELECT cell_id, cluster, (gx * 10000)::DOUBLE AS x0, (gy * 10000)::DOUBLE AS y0, 10000::DOUBLE AS width, 10000::DOUBLE AS height, ((dense_rank() OVER (ORDER BY cluster) - 1) % 20)::INT AS colour_idx FROM r",
     "map_extent": f"""WITH {LOC}, {CELLS}, e AS (SELECT min(gx) * 10000 AS xl, (max(gx) + 1) * 10000 AS xh, min(gy) * 10000 AS yl, (max(gy) + 1) * 10000 AS yh FROM cells)
 SELECT xl::DOUBLE AS x_low, xh::DOUBLE AS x_high, yl::DOUBLE AS y_low, yh::DOUBLE AS y_high, array_to_string(list_transform(range(ceil(xl / 100000)::BIGINT, floor(xh / 100000)::BIGINT + 1), lambda i: i * 100000), ' ') AS x_ticks, array_to_string(list_transform(range(ceil(yl / 100000)::BIGINT, floor(yh / 100000)::BIGINT + 1), lambda i: i * 100000), ' ') AS y_ticks FROM e""",
-    "strip_values": f"""WITH {SUMMARY}, top AS (SELECT cluster, species_id FROM m WHERE delta > 0.00001 AND prevalence >= 0.05 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(delta, 9) DESC, species_id) <= 3)
+    "strip_values": f"""WITH {SUMMARY}, top AS (SELECT cluster, species_id FROM m WHERE delta > 0.00001 AND prevalence >= 0.05 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(delta, 9) DESC, species_id) <= 12)
 SELECT top.cluster, top.species_id, l.cell_id, l.cluster = top.cluster AS inside, round(coalesce(f.value, 0), 6) AS value FROM labels l CROSS JOIN top LEFT JOIN f ON f.cell_id = l.cell_id AND f.species_id = top.species_id""",
     "lcbd_boxes": f"""WITH {COMM}, n AS (SELECT count(DISTINCT cell_id) AS n FROM f), mu AS (SELECT species_id, sum(value) / any_value(n) AS m FROM f, n GROUP BY 1),
 ss AS (SELECT c.cell_id, sum((coalesce(value, 0) - m) * (coalesce(value, 0) - m)) AS ss FROM (SELECT DISTINCT cell_id FROM f) c CROSS JOIN mu LEFT JOIN f ON f.cell_id = c.cell_id AND f.species_id = mu.species_id GROUP BY 1),

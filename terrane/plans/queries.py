@@ -220,8 +220,7 @@ def weighted_draw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pair_distances(spark: SparkSession, sf: str) -> DataFrame:
-    dots = community.pair_dots(community.hellinger(bridge.community(spark, sf)))
-    return dots.select("i", "j", r6(community.unit_distance(F.col("dot")), "d"))
+    return community.pair_distances(community.hellinger(bridge.community(spark, sf))).select("i", "j", r6(F.col("d"), "d"))
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -333,7 +332,7 @@ def marker_topn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def marker_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.scan_markers(*_comm(spark, sf), q_most=0.9)
+    return stats.scan_markers(*_comm(spark, sf))
 
 
 def volcano(spark: SparkSession, sf: str) -> DataFrame:
@@ -342,12 +341,7 @@ def volcano(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dispersion(spark: SparkSession, sf: str) -> DataFrame:
-    f, labels = _comm(spark, sf)
-    c = community.centroids(f, labels)
-    norms = c.groupBy("cluster").agg(F.sum(F.col("value") * F.col("value")).alias("cc"))
-    cross = f.join(labels, "cell_id").join(c.withColumnRenamed("value", "m"), ["cluster", "species_id"]).groupBy("cluster", "cell_id").agg(F.sum(F.col("value") * F.col("value") - 2 * F.col("value") * F.col("m")).alias("d"))
-    d = cross.join(norms, "cluster").select("cluster", F.sqrt(F.greatest(F.lit(0.0), F.col("d") + F.col("cc"))).alias("d"))
-    return _rounded(stats.dispersion(d), "mean", "sd", "ci_low", "ci_high")
+    return _rounded(stats.dispersion(community.centroid_distances(*_comm(spark, sf))), "mean", "sd", "ci_low", "ci_high")
 
 
 def separation(spark: SparkSession, sf: str) -> DataFrame:

@@ -44,7 +44,9 @@ def associates(occ: DataFrame, red: DataFrame, plants: DataFrame, c: config.Asso
     focal_ids, focal_names = focal.select("tid").distinct(), focal.select("sci").distinct()
     others = community.without(community.without(others, "tid", focal_ids), "scientificName", focal_names)
     points = _placed(others, c).select("tid", "locality", "e", "n")
-    hits = spatial.distance_join(sites.select("sci", "fid", "e", "n"), points, c.radius)
+    # the sites are at most c.most_sites a taxon, and the pairs are read by eight reports
+    sites = materialise(sites, "sites")
+    hits = materialise(spatial.distance_join(sites.select("sci", "fid", "e", "n"), points, c.radius, broadcast_rows=20_000), "hits")
     counts = writers.associate_counts(hits, c.least_pairs)
     return {
         "hits": hits, "counts": counts, "unique_finds": writers.unique_finds(counts), "red_finds": writers.red_finds(counts, red), "all_observations": writers.all_observations(hits, counts), "totals": writers.target_totals(focal, counts, red),
@@ -113,11 +115,11 @@ def markers(cell_features: DataFrame, labels: DataFrame, c: config.Markers = con
 
 
 def evaluation(vectors: DataFrame, c: config.Evaluation = config.Evaluation()) -> dict[str, DataFrame]:
-    """Stage 7: separation, silhouettes and the permutation test of labelled vectors (id, cluster, v)."""
+    """Stage 7: separation, silhouettes, dispersion about centroids and the permutation test of labelled vectors (id, cluster, v)."""
     vectors = vectors.filter("cluster >= 0")
     sums = materialise(stats.label_sums(vectors), "label-sums")
     s = stats.silhouettes(sums)
-    return {"separation": stats.separation(sums), "silhouettes": s, "silhouette_summary": stats.silhouette_summary(s), "permanova": stats.permanova(vectors), "permanova_test": stats.permanova_test(vectors, c.permutations)}
+    return {"separation": stats.separation(sums), "silhouettes": s, "silhouette_summary": stats.silhouette_summary(s), "dispersion": stats.dispersion(stats.centre_distances(vectors)), "permanova": stats.permanova(vectors), "permanova_test": stats.permanova_test(vectors, c.permutations)}
 
 
 def diversity(cell_features: DataFrame, labels: DataFrame, found: DataFrame | None = None, c: config.Evaluation = config.Evaluation()) -> dict[str, DataFrame]:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import asdict
-from pathlib import Path
+from itertools import chain, islice
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import half_even, join_ids, known, underscored
+from ..functions.expr import file_name, half_even, join_ids, known, underscored
 
 
 def associate_counts(hits: DataFrame, least: int = 15) -> DataFrame:
@@ -22,7 +23,7 @@ def unique_finds(counts: DataFrame) -> DataFrame:
 
 
 def red_finds(counts: DataFrame, red: DataFrame) -> DataFrame:
-    return unique_finds(counts.join(F.broadcast(red.toDF("tid").distinct()), "tid", "left_semi"))
+    return unique_finds(counts.join(red.toDF("tid").distinct(), "tid", "left_semi"))
 
 
 def all_observations(hits: DataFrame, counts: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def all_observations(hits: DataFrame, counts: DataFrame) -> DataFrame:
 def target_totals(focal: DataFrame, counts: DataFrame, red: DataFrame) -> DataFrame:
     """(sci, n_focal, n_kept, n_red); focal rows count before any box; a missing name is a group."""
     rows = focal.groupBy("sci").agg(F.count("*").alias("n_focal"))
-    marked = counts.join(F.broadcast(red.toDF("tid").distinct().withColumn("red", F.lit(1))), "tid", "left")
+    marked = counts.join(red.toDF("tid").distinct().withColumn("red", F.lit(1)), "tid", "left")
     kept = marked.groupBy(F.col("sci").alias("__sci")).agg(F.count("*").alias("n_kept"), F.count("red").alias("n_red"))
     out = rows.join(kept, F.col("sci").eqNullSafe(F.col("__sci")), "left")
     return out.select("sci", "n_focal", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.coalesce("n_red", F.lit(0)).alias("n_red"))
@@ -41,7 +42,7 @@ def target_totals(focal: DataFrame, counts: DataFrame, red: DataFrame) -> DataFr
 
 def red_by_locality(hits: DataFrame, red: DataFrame) -> DataFrame:
     """(sci, locality, n_red): distinct red ids near each associate locality, with no threshold."""
-    return hits.join(F.broadcast(red.toDF("tid").distinct()), "tid", "left_semi").groupBy("sci", "locality").agg(F.count_distinct("tid").alias("n_red"))
+    return hits.join(red.toDF("tid").distinct(), "tid", "left_semi").groupBy("sci", "locality").agg(F.count_distinct("tid").alias("n_red"))
 
 
 def site_lists(sites: DataFrame, hits: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def site_lists(sites: DataFrame, hits: DataFrame) -> DataFrame:
 
 def red_lists(hits: DataFrame, red: DataFrame) -> DataFrame:
     """(sci, LocalityID, SWEREF_N, SWEREF_E, Species_IDs) of associate localities with red ids: medians, half to even."""
-    near = hits.join(F.broadcast(red.toDF("tid").distinct()), "tid", "left_semi").filter("locality IS NOT NULL")
+    near = hits.join(red.toDF("tid").distinct(), "tid", "left_semi").filter("locality IS NOT NULL")
     return near.groupBy("sci", underscored(F.col("locality")).alias("LocalityID")).agg(half_even(F.percentile("n", F.lit(0.5))).cast("int").alias("SWEREF_N"), half_even(F.percentile("e", F.lit(0.5))).cast("int").alias("SWEREF_E"), join_ids(F.collect_set("tid")).alias("Species_IDs"))
 
 
@@ -71,23 +72,44 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_text(pieces: Iterable[str], path: str) -> None:
+    """One file from pieces of text, through the file system that the path names, so a cluster's paths work too."""
+    spark = SparkSession.active()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for p in pieces:
+            out.write(bytearray(p.encode()))
+    finally:
+        out.close()
+
+
 def write_config(config, path: str) -> None:
-    Path(path).write_text(json.dumps(asdict(config), indent=2, sort_keys=True, default=str))
+    write_text([json.dumps(asdict(config), indent=2, sort_keys=True, default=str)], path)
 
 
 def text_table(df: DataFrame, title: str, most: int = 1000, digits: int = 6) -> str:
-    """A small result as aligned text."""
-    rows = df.limit(most).collect()
+    """A small result as aligned text, in the order of its columns; more than ``most`` rows are refused, not dropped."""
+    rows = df.orderBy(*df.columns).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write a table instead")
     cells = [df.columns] + [[f"{v:.{digits}f}" if isinstance(v, float) else "" if v is None else str(v) for v in r] for r in rows]
     width = [max(len(r[i]) for r in cells) for i in range(len(df.columns))]
     return title + "\n" + "\n".join("  ".join(v.rjust(w) for v, w in zip(r, width)) for r in cells) + "\n"
 
 
-def svg_map(cells: DataFrame, path: str, most: int = 200_000) -> None:
-    """Squares (x0, y0, width, colour_idx) as a drawing; more than ``most`` are refused."""
-    rows = cells.select("x0", "y0", "width", "colour_idx").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many cells to draw")
-    low, top = min((r["x0"] for r in rows), default=0), max((r["y0"] + r["width"] for r in rows), default=0)
-    shapes = "".join(f'<rect x="{(r["x0"] - low) / 1000:.2f}" y="{(top - r["y0"] - r["width"]) / 1000:.2f}" width="{r["width"] / 1000:.2f}" height="{r["width"] / 1000:.2f}" fill="hsl({r["colour_idx"] * 18},60%,55%)"/>' for r in rows)
-    Path(path).write_text(f'<svg xmlns="http://www.w3.org/2000/svg">{shapes}</svg>')
+def svg_map(cells: DataFrame, path: str) -> None:
+    """Squares (x0, y0, width, colour_idx) as a drawing. Shapes stream to the file; the driver holds one partition at a time."""
+    edge = cells.agg(F.min("x0").alias("__low"), F.max(F.col("y0") + F.col("width")).alias("__top"))
+    at = [(F.col("x0") - F.col("__low")) / 1000, (F.col("__top") - F.col("y0") - F.col("width")) / 1000, F.col("width") / 1000, F.col("width") / 1000]
+    shape = F.format_string('<rect x="%.2f" y="%.2f" width="%.2f" height="%.2f" fill="hsl(%d,60%%,55%%)"/>', *[a.cast("double") for a in at], (F.col("colour_idx") * 18).cast("int"))
+    rows = cells.crossJoin(F.broadcast(edge)).select(shape.alias("s")).toLocalIterator()
+    some = iter(lambda: "".join(r["s"] for r in islice(rows, 5000)), "")
+    write_text(chain(['<svg xmlns="http://www.w3.org/2000/svg">'], some, ["</svg>"]), path)
+
+
+def write_taxa(df: DataFrame, path: str, by: str = "sci", order: str | None = None) -> None:
+    """Tab-separated rows in a folder for each taxon, named by ``file_name``; a missing name is a folder of its own."""
+    rows = df.withColumn("__taxon", F.coalesce(file_name(F.col(by)), F.lit("NA")))
+    rows = rows.repartition("__taxon").sortWithinPartitions("__taxon", *([order] if order else []))
+    write_tsv(rows.withColumnRenamed("__taxon", "taxon"), path, "taxon")

@@ -181,3 +181,33 @@ def test_samples(spark):
     assert len(drawn) == 54 and all(r["w"] > 0 for r in drawn)
     assert sampling.draw(df.withColumn("w", F.lit(0.0)), ["sci"], 200, 1, ["k"], weight="w").count() == 90
     assert sampling.stratified_sample(df, "sci", "latband", 7, 42, ["k"], cap=10).count() == 10
+
+
+def test_distances_of_all_pairs(features):
+    for block in (1024, 1):
+        d = {(r["i"], r["j"]): round(r["d"], 6) for r in community.pair_distances(features, block=block).collect()}
+        assert d == {("a", "b"): 1.414214, ("a", "c"): 0.765367, ("b", "c"): 1.137055}
+
+
+def test_drawn_pairs_are_different_and_as_many_as_asked_for(spark):
+    groups = spark.createDataFrame([(0, 1), (1, 2), (2, 7), (3, 40), (4, 300_000)], "cluster int, m long")
+    got = stats.draw_pairs(groups, 50, 1).collect()
+    assert len({tuple(r) for r in got}) == len(got) and all(0 <= r["low"] < r["high"] < {1: 2, 2: 7, 3: 40, 4: 300_000}[r["cluster"]] for r in got)
+    assert {c: sum(r["cluster"] == c for r in got) for c in range(5)} == {0: 0, 1: 1, 2: 21, 3: 50, 4: 50}
+    assert stats.draw_pairs(groups, 50, 1).collect() != stats.draw_pairs(groups, 50, 2).collect()
+
+
+def test_drawn_dissimilarities_are_those_of_the_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    presence = spark.createDataFrame([(c, f"s{s}") for c in range(40) for s in rng.choice(30, rng.integers(1, 9), replace=False)], "cell_id long, species_id string")
+    labels = spark.range(40).select(F.col("id").alias("cell_id"), (F.col("id") % 2).alias("cluster"))
+    every = {tuple(r)[:3]: tuple(r)[3:] for r in stats.sorensen_pairs(presence, labels).collect()}
+    some = {tuple(r)[:3]: tuple(r)[3:] for r in stats.sorensen_pairs(presence, labels, most=30).collect()}
+    assert len(some) == 60 and len(every) == 2 * 190 and all(every[k] == v for k, v in some.items())
+
+
+def test_distances_to_centres(spark):
+    v = spark.createDataFrame([(1, 0, [0.0, 0.0]), (2, 0, [6.0, 8.0]), (3, 1, [1.0, 1.0])], "id long, cluster long, v array<double>")
+    assert {r["id"]: r["d"] for r in stats.centre_distances(v).collect()} == {1: 5.0, 2: 5.0, 3: 0.0}
