@@ -10,7 +10,7 @@ assistant turn is learned from exactly once. Control strings inside texts are es
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUDGET = 1024
@@ -49,13 +49,14 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     text; null roles and texts are empty; repeated rows are turns of their own; a null conv_id is one conversation.
     A turn over the budget has a window to itself. Other columns are ignored; an empty table gives no windows.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
-    talk = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    talk = talk.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), turn_tokens(x["text"]).cast("long").alias("tokens"))).cast(TURNS).alias("t"))
-
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array(F.lit(0).cast("long")).alias("sums"))
-    sums = F.aggregate("t", start, lambda s, x: F.struct((s["sum"] + x["tokens"]).alias("sum"), F.concat(s["sums"], F.array(s["sum"] + x["tokens"])).alias("sums")))["sums"]
-    talk = talk.withColumn("p", sums).withColumn("sys", (F.element_at("t", 1)["role"] == "system").cast("int"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("tokens", turn_tokens(F.col("text")).cast("long"))
+    # running sums row by row, so that a long conversation costs no more a turn than a short one
+    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("sum", F.sum("tokens").over(so_far))
+    talk = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "sum", "tokens"))).alias("s"))
+    talk = talk.select("conv_id", F.transform("s", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["tokens"].alias("tokens"))).cast(TURNS).alias("t"), F.concat(F.array(F.lit(0).cast("long")), F.transform("s", lambda x: x["sum"])).alias("p"))
+    talk = talk.withColumn("sys", (F.element_at("t", 1)["role"] == "system").cast("int"))
     head = F.when(F.col("sys") == 1, F.element_at("t", 1)["tokens"]).otherwise(F.lit(0).cast("long"))
     room = F.greatest(F.lit(1).cast("long"), F.lit(budget - history).cast("long") - head)
     talk = talk.withColumn("room", room)
