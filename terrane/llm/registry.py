@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hamming, langid, packing, quality, secrets, setsketch, token_files, toxicity
+from . import chat, decontaminate, divergence, hamming, html, langid, packing, quality, secrets, setsketch, token_files, toxicity
 from .common import held_out, table
 from .sql import ORACLES
 
@@ -69,7 +69,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents"), VOCABULARY))
 
 
-OPERATORS = (op1_language_id, op2_chat_windows, op3_setsketch_dedup, op4_toxic_spans, op5_spaced_seed_decontamination, op6_hilbert_packing, op7_secret_ownership, op8_itq_vectors, op9_line_quality, op10_token_files)
+def op11_tag_path_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_language_id, op2_chat_windows, op3_setsketch_dedup, op4_toxic_spans, op5_spaced_seed_decontamination, op6_hilbert_packing, op7_secret_ownership, op8_itq_vectors, op9_line_quality, op10_token_files, op11_tag_path_extraction, op12_source_divergence)
 
 
 def queries() -> dict:

@@ -142,4 +142,31 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM documents d LEFT JOIN told USING (doc_id)
 """
 
-ORACLES = {"op2_chat_windows": OP2, "op3_setsketch_dedup": OP3, "op5_spaced_seed_decontamination": OP5, "op7_secret_ownership": OP7, "op8_itq_vectors": OP8}
+OP12 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+),
+t AS (SELECT doc, lang, source, unnest(w) AS term FROM d),
+total AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM total GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT t.lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN total ON t.lang = total.lang AND t.term = total.term GROUP BY ALL),
+size AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM own GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, total.term, coalesce(own.n, 0) AS n, 1 + (1000000000 * (coalesce(own.n, 0) + 5)) // (coalesce(size.n, 0) + 5 * v.v) AS p,
+    1 + (1000000000 * (total.n + 5)) // (v.n + 5 * v.v) AS q
+  FROM g JOIN total ON g.lang = total.lang JOIN v ON g.lang = v.lang
+    LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = total.term LEFT JOIN size ON size.lang = g.lang AND size.source = g.source
+),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+every AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+    LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLES = {"op2_chat_windows": OP2, "op3_setsketch_dedup": OP3, "op5_spaced_seed_decontamination": OP5, "op7_secret_ownership": OP7, "op8_itq_vectors": OP8, "op12_source_divergence": OP12}
