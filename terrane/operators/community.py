@@ -10,10 +10,15 @@ from ..scratch import materialise
 from .spatial import with_cells
 
 
-def explode_lists(df: DataFrame, key: str, lists: str) -> DataFrame:
-    """(key, species_id, ...) from space-joined lists; rows with a blank key or list are dropped."""
+def explode_lists(df: DataFrame, key: str, lists: str, distinct: bool = False, marker: bool = False) -> DataFrame:
+    """(key, species_id, ...) from space-joined lists; rows with a blank key or list are dropped.
+
+    With ``distinct`` an id counts once a list; with ``marker`` each list also has a row without an id, to count lists by.
+    """
     df = df.filter(F.col(key).isNotNull() & F.col(lists).isNotNull()).filter((F.length(strip(F.col(key))) > 0) & (F.length(strip(F.col(lists))) > 0))
-    return df.withColumn("species_id", F.explode(split_ids(F.col(lists)))).drop(lists)
+    ids = F.array_distinct(split_ids(F.col(lists))) if distinct else split_ids(F.col(lists))
+    ids = F.array_append(ids, F.lit(None).cast("string")) if marker else ids
+    return df.withColumn("species_id", F.explode(ids)).drop(lists)
 
 
 def without(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,21 +28,29 @@ def localities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sites_of(customers: DataFrame) -> DataFrame:
     """(sci, fid, e, n): customers on a 10 m lattice."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("sci"), k.alias("fid"), (500000 + (k * 7919) % 400 * 10).cast("double").alias("e"), (6500000 + (k * 104729) % 400 * 10).cast("double").alias("n"))
+    return customers.select(F.col("c_mktsegment").alias("sci"), k.alias("fid"), (500000 + (k * 7919) % 400 * 10).cast("double").alias("e"), (6500000 + (k * 104729) % 400 * 10).cast("double").alias("n"))
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites_of(table(spark, sf_dir, "customer"))
+
+
+def points_of(orders: DataFrame, *more: Column) -> DataFrame:
     """(tid, pid, locality, e, n): orders on the same lattice; the taxon is the clerk-independent priority and status."""
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         F.concat(F.substring("o_orderpriority", 1, 1), F.lit("-"), F.col("o_orderstatus")).alias("tid"), k.alias("pid"), F.concat(F.lit("loc "), (k % 500).cast("string")).alias("locality"),
-        (500000 + (k * 15485863) % 400 * 10).cast("double").alias("e"), (6500000 + (k * 32452843) % 397 * 10).cast("double").alias("n"),
+        (500000 + (k * 15485863) % 400 * 10).cast("double").alias("e"), (6500000 + (k * 32452843) % 397 * 10).cast("double").alias("n"), *more,
     )
 
 
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points_of(table(spark, sf_dir, "orders"))
+
+
 def red(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("1-O",), ("2-F",), ("3-P",), ("5-O",)], "id string")
 

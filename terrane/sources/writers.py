@@ -7,15 +7,19 @@ from collections.abc import Iterable
 from dataclasses import asdict
 from itertools import chain, islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import file_name, half_even, join_ids, known, underscored
 
 
-def associate_counts(hits: DataFrame, least: int = 15) -> DataFrame:
-    """(sci, tid, n) of associates met at least ``least`` times; hits are (sci, fid, tid, ...) rows, one for each pair."""
-    return hits.filter(known(F.col("tid")).isNotNull()).groupBy("sci", "tid").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+def associate_counts(hits: DataFrame, least: int = 15, by: tuple[str, ...] = ("sci", "tid"), pairs: Column | None = None, **more: Column) -> DataFrame:
+    """(sci, tid, n) of associates met at least ``least`` times; hits are (sci, fid, tid, ...) rows, one for each pair.
+
+    ``by`` names other groups; ``pairs`` adds up hits that stand for several pairs; ``more`` are further aggregates.
+    """
+    pairs = F.count("*") if pairs is None else pairs
+    return hits.filter(known(F.col("tid")).isNotNull()).groupBy(*by).agg(pairs.alias("n"), *[c.alias(k) for k, c in more.items()]).filter(F.col("n") >= least)
 
 
 def unique_finds(counts: DataFrame) -> DataFrame:
