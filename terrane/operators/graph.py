@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.expr import kernel
 from ..scratch import materialise
 from ..shipping import ship
+from .leiden import communities
+
+__all__ = ["cluster_links", "communities", "compact", "greedy_merge", "layout", "merge_small", "modularity", "neighbours", "pick_run", "relabel", "similarity", "strongest_edges", "symmetric", "two_hop"]
 
 
 def neighbours(vectors: DataFrame, k: int = 15, include_self: bool = True, block: int = 1024, digits: int = 9) -> DataFrame:
@@ -95,100 +98,6 @@ def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataF
     return out.agg(F.sum(F.coalesce("win", F.lit(0.0)) / F.col("m") - gamma * F.pow(F.col("k") / (2 * F.col("m")), 2)).alias("quality"))
 
 
-def louvain(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, gamma: float, seed: int, refine: bool = True, rounds: int = 20) -> np.ndarray:
-    """Labels of ``n`` nodes by local moves and aggregation, refined inside communities; labels by size, then least node.
-
-    Weights are those of ``modularity``: each unordered pair has twice its weight, a loop once.
-    """
-    keep = src < dst
-    pairs = (np.concatenate((src[keep], src[src == dst])), np.concatenate((dst[keep], dst[src == dst])), np.concatenate((2 * w[keep], w[src == dst])))
-    member = np.arange(n)
-    draw = np.random.default_rng(seed)
-    i, j, x = pairs
-    size = n
-    start = None
-    for _ in range(rounds):
-        label = _moves(size, i, j, x, gamma, draw, start)
-        _, label = np.unique(label, return_inverse=True)
-        if label.max(initial=-1) + 1 == size:
-            break
-        part = label
-        if refine:
-            inner = label[i] == label[j]
-            part = _moves(size, i[inner], j[inner], x[inner], gamma, draw, None, within=label, strengths=_strength(size, i, j, x))
-            _, part = np.unique(part, return_inverse=True)
-            if part.max(initial=-1) + 1 == size:
-                part = label
-        start = np.zeros(part.max() + 1, np.int64)
-        start[part] = label
-        member = part[member]
-        size = len(start)
-        a, b = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
-        key, at = np.unique(a * size + b, return_inverse=True)
-        i, j, x = key // size, key % size, np.bincount(at, x)
-        last = label if part is label else None
-        if last is not None:
-            start = None
-    label = member if start is None else start[member]
-    order = sorted(np.unique(label), key=lambda c: (-(label == c).sum(), np.flatnonzero(label == c)[0]))
-    rank = {c: k for k, c in enumerate(order)}
-    return np.array([rank[c] for c in label], np.int64)
-
-
-def _strength(n, i, j, x):
-    return np.bincount(i, x, n) + np.bincount(j, x, n)
-
-
-def _moves(n, i, j, x, gamma, draw, start=None, within=None, strengths=None):
-    """Greedy moves of single nodes until none gains; ``within`` keeps nodes inside their community."""
-    m = x.sum() if strengths is None else strengths.sum() / 2
-    k = _strength(n, i, j, x) if strengths is None else strengths
-    off = i != j
-    a, b, v = np.concatenate((i[off], j[off])), np.concatenate((j[off], i[off])), np.concatenate((x[off], x[off]))
-    order = np.argsort(a, kind="stable")
-    a, b, v = a[order], b[order], v[order]
-    at = np.searchsorted(a, np.arange(n + 1))
-    label = np.arange(n) if start is None else start.copy()
-    total = np.bincount(label, k, n)
-    if m <= 0:
-        return label
-    moved = True
-    for _ in range(50):
-        if not moved:
-            break
-        moved = False
-        for node in draw.permutation(n):
-            near, weight = b[at[node] : at[node + 1]], v[at[node] : at[node + 1]]
-            if not len(near):
-                continue
-            own = label[node]
-            total[own] -= k[node]
-            options, where = np.unique(label[near], return_inverse=True)
-            gain = np.bincount(where, weight) - gamma * k[node] * total[options] / (2 * m)
-            stay = weight[label[near] == own].sum() - gamma * k[node] * total[own] / (2 * m)
-            best = int(np.argmax(gain))
-            if gain[best] > stay + 1e-12:
-                label[node] = options[best]
-                moved = True
-            total[label[node]] += k[node]
-    return label
-
-
-def communities(edges: DataFrame, resolutions: list[float], seed: int = 123, refine: bool = True) -> DataFrame:
-    """(run, resolution, node, label) of symmetric edges (src, dst, w); one task for each resolution."""
-    ship(edges.sparkSession)
-    runs = edges.sparkSession.createDataFrame([(i, float(r)) for i, r in enumerate(resolutions)], "run int, resolution double")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, at = np.unique(np.concatenate((pdf["src"], pdf["dst"])), return_inverse=True)
-        half = len(pdf)
-        order = np.lexsort((at[half:], at[:half]))
-        label = louvain(len(nodes), at[:half][order], at[half:][order], pdf["w"].to_numpy()[order], float(pdf["resolution"].iloc[0]), seed, refine)
-        return pd.DataFrame({"run": pdf["run"].iloc[0], "resolution": pdf["resolution"].iloc[0], "node": nodes, "label": label})
-
-    return edges.crossJoin(F.broadcast(runs)).groupBy("run").applyInPandas(solve, f"run int, resolution double, node {dict(edges.dtypes)['src']}, label long")
-
-
 def pick_run(runs: DataFrame, target: int) -> DataFrame:
     """The run (run, k, quality, min_size) nearest to ``target`` communities, then of best quality, then of largest least size."""
     return runs.select(F.min_by(F.struct("run", "k", "quality", "min_size"), F.struct(F.abs(F.col("k") - target), -F.col("quality"), -F.col("min_size"), "run")).alias("best")).select("best.*")
