@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise
 
-ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node that is reachable.
@@ -18,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialise(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "edges")
     before = _state(now)
-    for _ in range(ROUNDS):
+    while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -30,8 +28,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     out = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct(), "components")
     discard(now)
     return out

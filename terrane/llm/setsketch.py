@@ -421,10 +421,30 @@ class Linker:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
-    Null, empty and blank texts have no shingles and link with nothing. Rows with equal ids count as one document. A null
-    id gives a null component and is kept. Repeated rows come back as often as they are; other columns are
-    ignored; an empty table gives no rows.
+    Null, empty and blank texts have no shingles and link with nothing. Rows with equal ids count as one document, which is
+    linked with whatever any of its texts links with; each row has its own text's ``n_shingles``. A null
+    id gives a null component and is kept. Repeated rows come back as often as they are; texts of any length are read in
+    slices; other columns are ignored; an empty table gives no rows.
     """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return _linked(docs, percent)
+    # a key of id and text stands for the id, so that each text is looked up by its own
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("id"), key.alias("key")), "keyed-rows")
+    found = materialise(_linked(docs.select(key.alias("doc_id"), "text"), percent), "keyed-components")
+    texts = found.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), F.col("n_shingles").alias("n"), F.col("component_id").alias("piece")).distinct()
+    named = materialise(rows.filter("key IS NOT NULL").distinct().join(texts, "key").select("id", "piece").distinct(), "keyed-pieces")
+    # the components of one document's texts are one
+    whole = components(named.join(named.groupBy("id").agg(F.min("piece").alias("b")), "id").select(F.col("piece").alias("a"), "b")).toDF("piece", "whole")
+    named = named.join(whole, "piece", "left").select("id", F.coalesce("whole", "piece").alias("whole")).distinct()
+    least = named.join(named.groupBy("whole").agg(F.min("id").alias("component_id")), "whole").select("id", "component_id")
+    out = rows.filter("key IS NOT NULL").join(texts.select("key", "n"), "key").join(least, "id").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(found.filter("doc_id IS NULL"))
+
+
+def _linked(docs: DataFrame, percent: int) -> DataFrame:
+    """``near_duplicates`` of rows whose ids differ wherever their texts do."""
     link = Linker(docs, percent)
     label = link.run()
     by_print = link.classes.select("print", "rep").join(label.toDF("rep", "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))

@@ -73,3 +73,14 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 180)] + [(300, 300), (None, 4)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 180)}}
+
+
+def test_rows_with_equal_ids_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (6, a), (6, b), (9, b), (9, b), (4, c), (4, None), (None, a), (2, ""), (2, "x y")]
+    got = setsketch.near_duplicates(spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, kept double"))
+    key = lambda r: str(r)
+    want = [(3, 36, 3, True), (6, 36, 3, False), (6, 36, 3, False), (9, 36, 3, False), (9, 36, 3, False), (4, 36, 4, True), (4, 0, 4, True), (None, 36, None, True), (2, 0, 2, True), (2, 1, 2, True)]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    kept = setsketch.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 2, 2, 3, 4, 4]
