@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import share_of_total, split_ids, strip
 from ..scratch import materialise
+from ..shipping import ship
 from .spatial import with_cells
 
+#: Cells of a species from which on its values are multiplied in dense blocks.
+HEAVY = 1000
+
 
 def explode_lists(df: DataFrame, key: str, lists: str, distinct: bool = False, marker: bool = False) -> DataFrame:
     """(key, species_id, ...) from space-joined lists; rows with a blank key or list are dropped.
@@ -96,11 +102,53 @@ def cell_order(localities: DataFrame, size: float = 10_000.0, x: str = "e", y: s
     return seen.select("cell_id", (F.row_number().over(Window.orderBy("first", "cell_id")) - 1).alias("cell_no"))
 
 
-def pair_dots(features: DataFrame, cell: str = "cell_id") -> DataFrame:
+def pair_dots(features: DataFrame, cell: str = "cell_id", heavy: int = HEAVY) -> DataFrame:
     """(i, j, dot) for cells i < j that share a species."""
-    a = features.select(F.col(cell).alias("i"), "species_id", F.col("value").alias("vi"))
-    b = features.select(F.col(cell).alias("j"), "species_id", F.col("value").alias("vj"))
-    return a.join(b, "species_id").filter("i < j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"))
+    rows = features.select(F.lit(0).alias("g"), F.col(cell).alias("c"), F.col("species_id").alias("s"), F.col("value").alias("v"))
+    return shared_sums(rows, heavy).drop("g")
+
+
+def shared_sums(rows: DataFrame, heavy: int = HEAVY, block: int = 512, columns: int = 1024) -> DataFrame:
+    """(g, i, j, dot) of rows (g, c, s, v): sums of v times v over what cells i < j of a group share.
+
+    Species are counted first. Those of at most ``heavy`` cells of a group meet by key. The others would bring one task the
+    square of their cells, so their values go to dense blocks of about ``block`` cells by ``columns`` species, and pairs of blocks
+    are multiplied; however common a species is, a task holds two blocks.
+    """
+    found = rows.groupBy("g", "s").agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select("g", "s")
+    found = materialise(found, "heavy-species")
+    rare = rows.join(found, ["g", "s"], "left_anti")
+    a, b = rare.select("g", "s", F.col("c").alias("i"), F.col("v").alias("vi")), rare.select("g", "s", F.col("c").alias("j"), F.col("v").alias("vj"))
+    light = a.join(b, ["g", "s"]).filter("i < j").groupBy("g", "i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("dot"))
+    if found.isEmpty():
+        return light
+    ship(rows.sparkSession)
+    common = rows.join(found, ["g", "s"], "left_semi")
+    cells = common.groupBy("g", "c").agg(F.lit(1)).groupBy("g").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    sizes = cells.join(found.groupBy("g").agg(F.ceil(F.count("*") / columns).alias("parts")), "g")
+    dealt = common.join(sizes, "g").withColumns({"block": F.pmod(F.xxhash64("c"), F.col("blocks")), "part": F.pmod(F.xxhash64("s"), F.col("parts")), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    dealt = dealt.select("g", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "part", "block", "c", "s", "v")
+    kinds = dict(rows.dtypes)
+
+    def multiply(key, table):
+        low, high = key[1].as_py(), key[2].as_py()
+        species = table["s"].combine_chunks().dictionary_encode().indices.to_numpy()
+        width, out = int(species.max()) + 1, []
+        for at in (low, high):
+            own = table["block"].to_numpy() == at
+            coded = table["c"].combine_chunks().filter(pa.array(own)).dictionary_encode()
+            x = np.zeros((len(coded.dictionary), width))
+            np.add.at(x, (coded.indices.to_numpy(), species[own]), table["v"].to_numpy()[own])
+            out.append((coded.dictionary, x))
+        (left, x), (right, y) = out
+        # a block with no cell of these species has no pairs
+        i, j = np.nonzero(np.triu(x @ x.T, 1) if low == high else x @ y.T)
+        dot = (x @ (x if low == high else y).T)[i, j]
+        return pa.table({"g": pa.array([key[0].as_py()] * len(i), table["g"].type), "i": left.take(pa.array(i)), "j": (left if low == high else right).take(pa.array(j)), "dot": dot})
+
+    dense = dealt.groupBy("g", "low", "high", "part").applyInArrow(multiply, f"g {kinds['g']}, i {kinds['c']}, j {kinds['c']}, dot double")
+    dense = dense.select("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "dot")
+    return light.select("g", "i", "j", F.col("dot").cast("double").alias("dot")).union(dense).groupBy("g", "i", "j").agg(F.sum("dot").alias("dot"))
 
 
 def unit_distance(dot: Column) -> Column:

@@ -11,42 +11,11 @@ from ..functions.expr import kernel
 from ..scratch import materialise
 from ..shipping import ship
 from .leiden import communities
+from .vectors import neighbours
 
 __all__ = ["cluster_links", "communities", "compact", "greedy_merge", "layout", "merge_small", "modularity", "neighbours", "pick_run", "relabel", "similarity", "strongest_edges", "symmetric", "two_hop"]
 
 
-def neighbours(vectors: DataFrame, k: int = 15, include_self: bool = True, block: int = 1024, digits: int = 9) -> DataFrame:
-    """Exact ``k`` nearest rows of every row: (src, dst, d), by distance, then dst.
-
-    ``vectors`` has id and v (array of double). Pairs of blocks are compared in numpy and keep their ``k`` best for each
-    row, so ``k`` rows of each block pair leave; the last cut is a window. A row is its own neighbour at exactly 0.
-    Distances are rounded to ``digits`` before they are ranked.
-    """
-    ship(vectors.sparkSession)
-    blocks = max(1, -(-vectors.count() // block))
-    rows = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("a"))
-    mine = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(0))
-    theirs = rows.select("id", "v", F.col("a").alias("b")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "a", "b", F.lit(1).alias("side"))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if x.empty or y.empty:
-            return pd.DataFrame({"src": [], "dst": [], "d": []})
-        u, v, i, j = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy()), x["id"].to_numpy(), y["id"].to_numpy()
-        out = []
-        for row, src in zip(u, i):
-            d = np.round(np.sqrt(((row - v) ** 2).sum(1)), digits)
-            d[j == src] = 0.0
-            near = np.lexsort((j, d))
-            near = near if include_self else near[j[near] != src]
-            out.append((np.full(min(k, len(near)), src), j[near[:k]], d[near[:k]]))
-        return pd.DataFrame({"src": np.concatenate([o[0] for o in out]), "dst": np.concatenate([o[1] for o in out]), "d": np.concatenate([o[2] for o in out])})
-
-    found = mine.select("id", "v", "a", "b", "side").unionByName(theirs).groupBy("a", "b").applyInPandas(best, "src long, dst long, d double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
-
-
 def symmetric(edges: DataFrame, how: str = "max") -> DataFrame:
     """Edges (src, dst, w) combined with their reverse: ``max`` and ``mean`` over both supports, ``min`` over the common one."""
     both = edges.select("src", "dst", "w", F.lit(0).alias("way")).union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", F.lit(1).alias("way")))
@@ -181,10 +150,12 @@ def compact(labels: DataFrame, label: str = "label") -> DataFrame:
 
 
 def strongest_edges(edges: DataFrame, most: int, least: float = 0.0) -> DataFrame:
-    """The ``most`` undirected edges of largest weight (at least ``least``), by weight, then ends."""
-    half = symmetric(edges.filter("src <> dst"), "max").filter("src < dst")
-    half = half.filter(F.col("w") >= least) if least > 0 else half
-    return half.orderBy(F.desc("w"), "src", "dst").limit(most)
+    """Undirected edges src < dst of the ``most`` strongest entries (at least ``least``), by weight, then ends.
+
+    Entries are what a symmetric table holds: both directions of a pair, and loops. A pair stays if either direction does.
+    """
+    entries = edges.filter(F.col("w") >= least) if least > 0 else edges
+    return symmetric(entries.orderBy(F.desc("w"), "src", "dst").limit(most), "max").filter("src < dst")
 
 
 def layout(edges: DataFrame, rounds: int = 500, seed: int = 123, nodes: DataFrame | None = None) -> DataFrame:

@@ -6,25 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import cell_name, grid_index
+from ..scratch import materialise
 
+#: Points of a square from which on it is cut, and most cut squares that are sent to all tasks.
+HOT = 100_000
 
-def distance_join(sites: DataFrame, points: DataFrame, radius: float, site_keys: list[str] = (), x: str = "e", y: str = "n", broadcast_rows: int | None = None) -> DataFrame:
+
+def distance_join(sites: DataFrame, points: DataFrame, radius: float, site_keys: list[str] = (), x: str = "e", y: str = "n", broadcast_rows: int | None = None, hot: int | None = HOT) -> DataFrame:
     """All pairs of a site and a point within ``radius`` (closed ball), with the squared distance ``d2``.
 
     Both sides have columns ``x`` and ``y``; other names must not clash. Sites, the smaller side, are copied to their own and
     the eight neighbouring squares of side ``radius``; a point lies in one square, so the join is an equi-join
     on squares and gives no pair twice. Missing coordinates match nothing. With ``broadcast_rows`` the sites are counted, and
     broadcast if they are no more, so that points are not shuffled; otherwise the planner decides.
+
+    Unless sites are broadcast, squares of more than ``hot`` points, counted first, are cut: their points are dealt to parts
+    of about that many, and the sites near them are copied to each part. A stream of points is not counted.
     """
     small = broadcast_rows is not None and sites.count() <= broadcast_rows
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("bigint")
+    square = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("bigint")
     s = sites.filter(f"{x} IS NOT NULL AND {y} IS NOT NULL").withColumnsRenamed({x: "__sx", y: "__sy"})
     s = s.withColumn("__dx", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("__dy", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    s = s.withColumns({"__cx": F.floor(F.col("__sx") / F.lit(float(radius))).cast("bigint") + F.col("__dx"), "__cy": F.floor(F.col("__sy") / F.lit(float(radius))).cast("bigint") + F.col("__dy")}).drop("__dx", "__dy")
-    p = points.filter(f"{x} IS NOT NULL AND {y} IS NOT NULL").withColumns({"__cx": cell(x), "__cy": cell(y)})
+    s = s.withColumns({"__cx": square("__sx") + F.col("__dx"), "__cy": square("__sy") + F.col("__dy")}).drop("__dx", "__dy")
+    p = points.filter(f"{x} IS NOT NULL AND {y} IS NOT NULL").withColumns({"__cx": square(x), "__cy": square(y)})
+    keys = ["__cx", "__cy"]
+    if hot is not None and not small and not points.isStreaming:
+        dense = materialise(p.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > hot).select(*keys, F.ceil(F.col("n") / hot).cast("int").alias("__parts")), "dense-squares")
+        n = dense.count()
+        if n:
+            # equal points of different input partitions go to different parts
+            spread = F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c, kind in points.dtypes if "map<" not in kind])
+            few = F.broadcast(dense) if n <= HOT else dense
+            p = p.join(few, keys, "left").withColumn("__part", F.pmod(spread, F.coalesce("__parts", F.lit(1)).cast("bigint")).cast("int")).drop("__parts")
+            s = s.join(few, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+            keys = [*keys, "__part"]
     d2 = (F.col("__sx") - F.col(x)) * (F.col("__sx") - F.col(x)) + (F.col("__sy") - F.col(y)) * (F.col("__sy") - F.col(y))
-    out = (F.broadcast(s) if small else s).join(p, ["__cx", "__cy"]).withColumn("d2", d2.cast("double")).filter(F.col("d2") <= float(radius) ** 2)
-    return out.withColumnsRenamed({"__sx": f"site_{x}", "__sy": f"site_{y}"}).drop("__cx", "__cy")
+    out = (F.broadcast(s) if small else s).join(p, keys).withColumn("d2", d2.cast("double")).filter(F.col("d2") <= float(radius) ** 2)
+    return out.withColumnsRenamed({"__sx": f"site_{x}", "__sy": f"site_{y}"}).drop(*keys)
 
 
 def in_box(df: DataFrame, lon: str, lat: str, west: float = 10.0, east: float = 25.0, south: float = 55.0, north: float = 69.5) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.expr import exact_rank_tail, normal_interval, normal_tail, sorensen
 from ..scratch import materialise
 from ..shipping import ship
+from .community import shared_sums
+from .vectors import label_sums
 
 
 def marker_summaries(features: DataFrame, labels: DataFrame, cell: str = "cell_id") -> DataFrame:
@@ -72,7 +74,7 @@ def mann_whitney(features: DataFrame, labels: DataFrame, cell: str = "cell_id",
     r = r.withColumn("n_out", F.col("n_all") - F.col("n_in")).withColumn("exact", (F.least("n_in", "n_out") <= 8) & (t == 0))
     out = r.select("cluster", "species_id", F.col("n_in").cast("long").alias("n_in"), F.col("n_out").cast("long").alias("n_out"), "u", "z", "exact")
     if method == "auto":
-        out = out.withColumn("p", F.coalesce(exact_rank_tail("n_in", "n_out", F.when(F.col("exact"), F.col("u"))), normal_tail("z")))
+        out = out.withColumn("p", F.coalesce(exact_rank_tail("n_in", "n_out", F.when(F.col("exact"), F.col("u"))), normal_tail(F.round("z", digits))))
     return out.drop("exact")
 
 
@@ -96,7 +98,7 @@ def scan_markers(features: DataFrame, labels: DataFrame, q_most: float = 0.05, t
     tested = tested.withColumn("p", F.coalesce(F.col("p2") / 2, F.lit(1.0)))
     species = features.select("species_id").distinct().agg(F.count("*").alias("n_species"))
     tested = benjamini_hochberg(tested.crossJoin(F.broadcast(species)), "cluster", "p", "n_species").filter((F.col("delta") > min_delta) & (F.col("q") <= q_most))
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("q", F.col("delta").desc(), "species_id"))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.round("q", 12), F.round("delta", 9).desc(), "species_id"))
     return tested.withColumn("rank", rank).filter(F.col("rank") <= top).select("cluster", "species_id", "rank", "mean_in", "mean_out", "delta", "cohen_d", "p", "q", "prevalence_in", "prevalence_out", "n_in", "n_out")
 
 
@@ -138,8 +140,7 @@ def sorensen_pairs(presence: DataFrame, labels: DataFrame, cell: str = "cell_id"
     if most is None:
         a, b = sizes.toDF("cluster", "i", "ki"), sizes.toDF("cluster", "j", "kj")
         pairs = a.join(b, "cluster").filter("i < j")
-        x, y = own.select("cluster", F.col(cell).alias("i"), "species_id"), own.select("cluster", F.col(cell).alias("j"), "species_id")
-        shared = x.join(y, ["cluster", "species_id"]).filter("i < j").groupBy("cluster", "i", "j").agg(F.count("*").alias("a"))
+        shared = shared_sums(own.select(F.col("cluster").alias("g"), F.col(cell).alias("c"), F.col("species_id").alias("s"), F.lit(1.0).alias("v"))).select(F.col("g").alias("cluster"), "i", "j", F.col("dot").cast("long").alias("a"))
     else:
         numbered = materialise(sizes.withColumn("at", F.row_number().over(Window.partitionBy("cluster").orderBy(cell)).cast("long") - 1), "sorensen-cells")
         drawn = draw_pairs(numbered.groupBy("cluster").agg(F.count("*").alias("m")), most, seed)
@@ -192,36 +193,6 @@ def centre_distances(vectors: DataFrame) -> DataFrame:
     return long.join(mean, ["cluster", "d"]).groupBy("cluster", "id").agg(F.sqrt(F.sum(gap * gap)).alias("d"))
 
 
-def label_sums(vectors: DataFrame, block: int = 1024) -> DataFrame:
-    """(id, cluster, other, n, s, q): number, sum and sum of squares of a row's distances to the rows of each cluster.
-
-    ``vectors`` has id, cluster and v (array of double). Rows are dealt to blocks; pairs of blocks are compared in numpy and
-    only sums leave, so nothing quadratic is written. A row's distance to itself is left out.
-    """
-    ship(vectors.sparkSession)
-    count = vectors.count()
-    blocks = max(1, -(-count // block))
-    rows = vectors.select("id", "cluster", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    mine = rows.withColumn("other_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(0))
-    theirs = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "cluster", "v", F.col("b").alias("block"), F.col("block").alias("other_block"), F.lit(1).alias("side"))
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "cluster": [], "other": [], "n": [], "s": [], "q": []})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-        d = np.sqrt(np.maximum(((x[:, None, :] - y[None, :, :]) ** 2).sum(2), 0)) if len(x) * len(y) * x.shape[1] < 5_000_000 else np.sqrt(np.maximum(np.array([((r - y) ** 2).sum(1) for r in x]), 0))
-        same = a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]
-        out = []
-        for other in np.unique(b["cluster"]):
-            own = (b["cluster"].to_numpy() == other)[None, :] & ~same
-            out.append(pd.DataFrame({"id": a["id"].to_numpy(), "cluster": a["cluster"].to_numpy(), "other": other, "n": own.sum(1), "s": (d * own).sum(1), "q": (d * d * own).sum(1)}))
-        return pd.concat(out)
-
-    parts = mine.select("id", "cluster", "v", "block", "other_block", "side").unionByName(theirs).groupBy("block", "other_block").applyInPandas(sums, "id long, cluster long, other long, n long, s double, q double")
-    return parts.groupBy("id", "cluster", "other").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-
-
 def separation(sums: DataFrame) -> DataFrame:
     """n, mean, sd and interval of distances between clusters ci < cj, from ``label_sums``."""
     out = sums.filter("cluster < other").groupBy(F.col("cluster").alias("ci"), F.col("other").alias("cj")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
@@ -229,6 +200,19 @@ def separation(sums: DataFrame) -> DataFrame:
     return out.select("ci", "cj", "n", "mean", "sd", *normal_interval(F.col("mean"), F.col("sd"), F.col("n")))
 
 
+def separation_matrix(separated: DataFrame) -> DataFrame:
+    """(cluster, C0, C1, ...): mean distances of all pairs of clusters both ways; a cluster to itself is NULL."""
+    both = separated.select("ci", "cj", "mean").union(separated.select("cj", "ci", "mean"))
+    names = sorted(r["ci"] for r in both.select("ci").distinct().collect())
+    return both.groupBy(F.col("ci").alias("cluster")).pivot("cj", names).agg(F.first("mean")).toDF("cluster", *[f"C{n}" for n in names])
+
+
+def cluster_table(local: DataFrame, beta: DataFrame, indicators: DataFrame | None = None) -> DataFrame:
+    """One row for each cluster of ``local``, with the columns of the other summaries where they have that cluster."""
+    out = local.join(beta, "cluster", "left")
+    return out if indicators is None else out.join(indicators, "cluster", "left")
+
+
 def silhouettes(sums: DataFrame) -> DataFrame:
     """(id, cluster, s) from ``label_sums``; a cluster of one row has 0."""
     own = sums.filter("cluster = other AND n > 0").select("id", (F.col("s") / F.col("n")).alias("a"))

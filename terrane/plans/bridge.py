@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.community import explode_lists
+
+#: The languages of the texts, in the order of their clusters from 1.
+LANGUAGES = ("de", "en", "es", "fr")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,6 +68,13 @@ def community(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(cell.cast("long").alias("cell_id"), F.concat_ws("-", "p_brand", "p_type").alias("species_id")).groupBy("cell_id", "species_id").agg(F.count("*").alias("count"))
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cell_id, cluster, species_id, count): words of texts in cells of a language and a source; clusters are the languages."""
+    lists = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("lang"), F.concat(F.coalesce("lang", F.lit("")), F.lit("|"), F.coalesce("source", F.lit(""))).alias("cell_id"), "text")
+    lists = lists.withColumn("cluster", F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("lang"))).drop("lang")
+    return explode_lists(lists, "cell_id", "text", distinct=True).groupBy("cell_id", "cluster", "species_id").agg(F.count("*").alias("count"))
+
+
 def community_labels(counts: DataFrame) -> DataFrame:
     return counts.select("cell_id", (F.col("cell_id") % 4).cast("long").alias("cluster")).distinct()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 from ..functions import expr
+from . import bridge
 
 PRESENCE = "presence AS (SELECT DISTINCT o_custkey::VARCHAR AS locality_id, l_partkey::VARCHAR AS species_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 LOC = """loc AS (SELECT c_custkey::VARCHAR AS locality_id, c_custkey AS key, (300000 + (c_custkey * 7919) % 97 * 2500)::DOUBLE AS e, (6200000 + (c_custkey * 104729) % 89 * 2500)::DOUBLE AS n,
@@ -32,6 +33,36 @@ mwu AS (SELECT cluster, species_id, n1::BIGINT AS n_in, n2::BIGINT AS n_out, u,
 BH = f"""{MWU}, p AS (SELECT cluster, species_id, round(1 / (1 + coalesce(z, 0) * coalesce(z, 0)), 9) AS p FROM mwu),
 raw AS (SELECT *, p * count(*) OVER (PARTITION BY cluster) / count(*) OVER (PARTITION BY cluster ORDER BY p RANGE UNBOUNDED PRECEDING) AS q0 FROM p),
 bh AS (SELECT cluster, species_id, round(p, 6) AS p, round(greatest(0, least(1, min(q0) OVER (PARTITION BY cluster ORDER BY p DESC RANGE UNBOUNDED PRECEDING))), 6) AS q FROM raw)"""
+WORDS = rf"""comm AS (SELECT cell_id, cluster, species_id, count(*) AS "count" FROM (
+  SELECT coalesce(lang, '') || '|' || coalesce(source, '') AS cell_id, coalesce(list_position({list(bridge.LANGUAGES)}, lang), 0)::BIGINT AS cluster,
+    unnest(list_distinct(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))) AS species_id FROM documents) GROUP BY ALL),
+f AS (SELECT cell_id, species_id, sqrt("count"::DOUBLE / sum("count") OVER (PARTITION BY cell_id)) AS value FROM comm),
+labels AS (SELECT DISTINCT cell_id, cluster FROM comm)"""
+
+
+def _tail(z: str) -> str:
+    """Two-sided normal tail of a column, as in the queries."""
+    low, coefficients = expr.tail_series()
+    x = f"(abs({z}) / sqrt(2::DOUBLE))"
+    t = f"(2::DOUBLE / (2 + {x}))"
+    return f"CASE WHEN {x} < 26 THEN {t} * exp(list_reduce({coefficients[::-1]!r}::DOUBLE[], lambda a, c: a * (({t} - {low!r}::DOUBLE) * {2 / (1 - low)!r}::DOUBLE - 1) + c) - {x} * {x}) WHEN {z} IS NOT NULL THEN 0 END"
+
+
+BANDS = f"{LOC}, q AS (SELECT sci, list_distinct(quantile_cont(lat, [{', '.join(str(i / 10) for i in range(11))}])) AS edges FROM loc GROUP BY 1), b AS (SELECT loc.*, 'LAT' || (greatest(len(list_filter(edges, lambda x: x < lat)) - 1, 0) + 1) AS latband FROM loc JOIN q USING (sci))"
+
+
+def _uniform(seed: int, *columns: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(columns)})), 1, 13))::BIGINT + 1) / {float((1 << 52) + 1)!r})"
+
+
+SCAN = f"""WITH s AS (WITH {SUMMARY.replace(COMM, WORDS)} SELECT *, ((n_in - 1) * ((q_in - s_in * s_in / n_in) / (n_in - 1)) + (n_out - 1) * ((q_all - q_in - (s_all - s_in) * (s_all - s_in) / n_out) / (n_out - 1))) / (n_in + n_out - 2) AS pooled FROM m),
+u AS (WITH {MWU.replace(COMM, WORDS)} SELECT cluster, species_id, round(z, 9) AS z FROM mwu), species AS (WITH {WORDS} SELECT count(DISTINCT species_id) AS n_species FROM f),
+tested AS (SELECT s.*, coalesce({_tail('u.z')} / 2, 1) AS p, n_species FROM s JOIN u USING (cluster, species_id), species WHERE prevalence >= 0.05 AND delta > 0.00001),
+raw AS (SELECT *, p * n_species / count(*) OVER (PARTITION BY cluster ORDER BY p RANGE UNBOUNDED PRECEDING) AS q0 FROM tested),
+bh AS (SELECT *, greatest(0, least(1, min(q0) OVER (PARTITION BY cluster ORDER BY p DESC RANGE UNBOUNDED PRECEDING))) AS q FROM raw),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY cluster ORDER BY round(q, 12), round(delta, 9) DESC, species_id))::INT AS rank FROM bh WHERE q <= 0.05 AND delta > 0.00001)
+SELECT cluster, species_id, rank, round(mean_in, 6) AS mean_in, round(mean_out, 6) AS mean_out, round(delta, 6) AS delta, round(CASE WHEN n_in > 1 AND n_out > 1 AND pooled > 1e-15 THEN delta / sqrt(pooled) END, 6) AS cohen_d,
+  round(p, 6) AS p, round(q, 6) AS q, round(prevalence_in, 6) AS prevalence_in, round(prevalence_out, 6) AS prevalence_out, n_in, n_out FROM ranked WHERE rank <= 40"""
 VEC = "vec AS (SELECT vec_id AS id, label::BIGINT AS cluster, embedding::DOUBLE[] AS v FROM embeddings)"
 PAIRS = f"{VEC}, pairs AS (SELECT a.id AS i, b.id AS j, a.cluster AS ci, b.cluster AS cj, list_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.id <> b.id)"
 KNN = f"""{VEC}, near AS (SELECT a.id AS src, b.id AS dst, CASE WHEN a.id = b.id THEN 0 ELSE round(list_distance(a.v, b.v), 6) END AS d FROM vec a, vec b),
@@ -108,8 +139,8 @@ SELECT bands.locality_id, latband, m.n, m.e FROM bands LEFT JOIN (SELECT localit
     "red_per_locality": f"WITH {HITS}, {RED} SELECT sci, locality, count(DISTINCT tid) AS n_red FROM hits WHERE tid IN (SELECT id FROM red) GROUP BY ALL",
     "red_lists": f"WITH {HITS}, {RED} SELECT sci, replace(locality, ' ', '_') AS \"LocalityID\", round_even(quantile_cont(n, 0.5), 0)::INT AS \"SWEREF_N\", round_even(quantile_cont(e, 0.5), 0)::INT AS \"SWEREF_E\", string_agg(DISTINCT tid, ' ' ORDER BY tid) AS \"Species_IDs\" FROM hits WHERE tid IN (SELECT id FROM red) GROUP BY sci, locality",
     "latbands": f"WITH {LOC}, q AS (SELECT sci, list_sort(list_distinct(quantile_cont(lat, [{', '.join(str(i / 10) for i in range(11))}]))) AS edges FROM loc GROUP BY 1), b AS (SELECT key, sci, greatest(len(list_filter(edges, lambda x: x < lat)) - 1, 0)::INT AS band FROM loc JOIN q USING (sci)) SELECT key, sci, band, 'LAT' || (band + 1) AS latband FROM b",
-    "site_quota": f"WITH {LOC} SELECT sci, count(*) AS n, (CASE WHEN count(*) > 200 THEN 20 ELSE greatest(1, count(*) // 10) END)::INT AS quota FROM loc GROUP BY 1",
-    "strict_equal_counts": f"WITH {LOC}, q AS (SELECT sci, list_distinct(quantile_cont(lat, [{', '.join(str(i / 10) for i in range(11))}])) AS edges FROM loc GROUP BY 1), b AS (SELECT sci, 'LAT' || (greatest(len(list_filter(edges, lambda x: x < lat)) - 1, 0) + 1) AS latband FROM loc JOIN q USING (sci)), s AS (SELECT sci, latband, count(*) AS n FROM b GROUP BY ALL) SELECT sci, latband, least(12, min(n) OVER (PARTITION BY sci)) AS n FROM s",
+    "site_quota": f"WITH {LOC} SELECT sci, count(*) AS n, (CASE WHEN count(*) > 400 THEN 40 ELSE greatest(1, count(*) // 10) END)::INT AS quota FROM loc GROUP BY 1",
+    "strict_equal_counts": f"WITH {LOC}, q AS (SELECT sci, list_distinct(quantile_cont(lat, [{', '.join(str(i / 10) for i in range(11))}])) AS edges FROM loc GROUP BY 1), b AS (SELECT sci, 'LAT' || (greatest(len(list_filter(edges, lambda x: x < lat)) - 1, 0) + 1) AS latband FROM loc JOIN q USING (sci)), s AS (SELECT sci, latband, count(*) AS n FROM b GROUP BY ALL) SELECT sci, latband, least(40, min(n) OVER (PARTITION BY sci)) AS n FROM s",
     "pair_distances": f"WITH {COMM}, dots AS (SELECT a.cell_id AS i, b.cell_id AS j, sum(a.value * b.value) AS dot FROM f a JOIN f b ON a.species_id = b.species_id AND a.cell_id < b.cell_id GROUP BY ALL) SELECT a.cell_id AS i, b.cell_id AS j, round(sqrt(greatest(0, 2 - 2 * coalesce(dot, 0))), 6) AS d FROM labels a JOIN labels b ON a.cell_id < b.cell_id LEFT JOIN dots ON i = a.cell_id AND j = b.cell_id",
     "knn_graph": f"WITH {KNN} SELECT * FROM knn",
     "similarity_adaptive": f"""WITH {KNN}, g AS (SELECT median(d) AS g FROM knn), s AS (SELECT src, CASE WHEN median(d) > 0 THEN median(d) ELSE any_value(g) END AS s FROM knn, g GROUP BY src),
@@ -118,7 +149,7 @@ hop AS (SELECT a.src, b.dst, 0.02 * sum(a.w * b.w) AS w FROM sim a JOIN sim b ON
 SELECT src, dst, round(w, 6) AS w FROM {_symmetric('both_', 'max')}""",
     "similarity_reciprocal": f"WITH {KNN}, raw_w AS (SELECT src, dst, 1 / (1 + d) + {expr.FLOOR} AS w FROM knn) SELECT src, dst, round(w, 6) AS w FROM {_symmetric('raw_w', 'max')}",
     "similarity_exp": f"WITH {KNN}, raw_w AS (SELECT src, dst, exp(-1.5 * d) + {expr.FLOOR} AS w FROM knn) SELECT src, dst, round(w, 6) AS w FROM {_symmetric('raw_w', 'min')}",
-    "edge_topk": f"WITH {RECIPROCAL}, r AS (SELECT src, dst, round(w, 9) AS w FROM sim WHERE src < dst) SELECT src, dst, round(w, 6) AS w FROM r WHERE w >= 0.1 ORDER BY r.w DESC, src, dst LIMIT 500",
+    "edge_topk": f"WITH {RECIPROCAL}, r AS (SELECT src, dst, round(w, 9) AS w FROM sim), top AS (SELECT * FROM r WHERE w >= 0.1 ORDER BY w DESC, src, dst LIMIT 100000) SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(max(w), 6) AS w FROM top WHERE src <> dst GROUP BY least(src, dst), greatest(src, dst)",
     "cluster_centroids": f"WITH {COMM} SELECT cluster, species_id, round(sum(value) / any_value(n), 6) AS value FROM f JOIN labels USING (cell_id) JOIN (SELECT cluster, count(*) AS n FROM labels GROUP BY 1) USING (cluster) GROUP BY cluster, species_id",
     "closest_pair": f"WITH {VEC}, c AS (SELECT cluster, d, avg(v[d]) AS x FROM vec, range(1, 65) t(d) GROUP BY ALL), p AS (SELECT a.cluster AS a, b.cluster AS b, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 6) AS dist FROM c a JOIN c b ON a.d = b.d AND a.cluster < b.cluster GROUP BY ALL) SELECT * FROM p ORDER BY dist, a, b LIMIT 1",
     "cluster_links": f"WITH {RECIPROCAL}, {GROUPS}, {STRENGTH} SELECT la, lb, round(sum_w, 6) AS sum_w, n FROM link",
@@ -130,6 +161,11 @@ k AS (SELECT ls, sum(2 * w) AS k, coalesce(sum(w) FILTER (WHERE ls = ld), 0) AS
 SELECT cluster, species_id, round(CASE WHEN n_in > 1 AND n_out > 1 AND pooled > 1e-15 THEN delta / sqrt(pooled) END, 6) AS cohen_d FROM v""",
     "marker_mwu": f"WITH {MWU} SELECT cluster, species_id, n_in, n_out, round(u, 6) AS u, round(z, 6) AS z FROM mwu",
     "bh_fdr": f"WITH {BH} SELECT * FROM bh",
+    "marker_scan": SCAN,
+    "stratified_sample": f"WITH {BANDS}, one AS (SELECT *, {_uniform(43, 'key')} AS u FROM b QUALIFY row_number() OVER (PARTITION BY sci, latband ORDER BY {_uniform(42, 'key')}, key) <= 40) SELECT sci, latband, key FROM one QUALIFY row_number() OVER (PARTITION BY sci ORDER BY u, key) <= 400",
+    "weighted_draw": f"WITH w AS (SELECT c_mktsegment, c_custkey, greatest(coalesce(c_acctbal, 0), 0) AS w, {_uniform(42, 'c_custkey')} AS u FROM customer), t AS (SELECT *, sum(w) OVER (PARTITION BY c_mktsegment) AS t FROM w), o AS (SELECT *, CASE WHEN t <= 0 THEN u WHEN w > 0 THEN -ln(u) / w END AS o FROM t) SELECT c_mktsegment, c_custkey FROM o WHERE o IS NOT NULL QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY o, c_custkey) <= 25",
+    "effort_quotas": f"WITH {BANDS} SELECT sci, latband, 42 AS n, count(DISTINCT cluster) AS strata FROM b GROUP BY ALL",
+    "separation_matrix": f"WITH {PAIRS}, m AS (SELECT ci, cj, avg(d) AS mean FROM pairs WHERE ci <> cj GROUP BY ALL), c AS (SELECT DISTINCT ci AS c FROM m) SELECT x.c AS cluster, 'C' || y.c AS other, round(mean, 6) AS mean FROM c x CROSS JOIN c y LEFT JOIN m ON ci = x.c AND cj = y.c",
     "marker_topn": f"WITH {SUMMARY} SELECT cluster, species_id, (row_number() OVER (PARTITION BY cluster ORDER BY round(delta, 9) DESC, species_id))::INT AS rank, round(delta, 6) AS delta FROM m WHERE delta > 0.00001 AND prevalence >= 0.05 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(delta, 9) DESC, species_id) <= 40",
     "volcano": f"WITH {BH} SELECT cluster, species_id, round(-log10(least(greatest(q, 1e-300), 1)), 6) AS neglog10q, q <= 0.05 AS significant FROM bh",
     "dispersion": f"""WITH {COMM}, c AS (SELECT cluster, species_id, sum(value) / any_value(n) AS m FROM f JOIN labels USING (cell_id) JOIN (SELECT cluster, count(*) AS n FROM labels GROUP BY 1) USING (cluster) GROUP BY cluster, species_id),
@@ -172,3 +208,4 @@ SELECT l.cluster, round(q1, 9) AS q1, round(med, 9) AS "median", round(q3, 9) AS
 }
 ORACLES["radar"] = f"""WITH s AS ({ORACLES['sorensen']}), t AS (SELECT cluster, unnest(['n_cells', 'beta_sor_mean', 'beta_turnover_mean']) AS metric, unnest([n_cells::DOUBLE, beta_sor_mean, beta_turnover_mean]) AS x FROM s)
 SELECT cluster, metric, round(CASE WHEN max(x) OVER w > min(x) OVER w THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) ELSE 0.5 END, 6) AS scaled FROM t WINDOW w AS (PARTITION BY metric)"""
+ORACLES["cluster_report"] = f"SELECT * FROM ({ORACLES['lcbd_summary']}) LEFT JOIN ({ORACLES['sorensen']}) USING (cluster) LEFT JOIN ({ORACLES['indval_summary']}) USING (cluster)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import community, drawing, graph, sampling, spatial, stats
+from ..scratch import materialise
 from ..sources import writers
 from . import bridge
 
@@ -198,12 +199,12 @@ def latbands(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def site_quota(spark: SparkSession, sf: str) -> DataFrame:
-    return bridge.localities(spark, sf).groupBy("sci").agg(F.count("*").alias("n")).select("sci", "n", sampling.site_quota(F.col("n"), 200).alias("quota"))
+    return bridge.localities(spark, sf).groupBy("sci").agg(F.count("*").alias("n")).select("sci", "n", sampling.site_quota(F.col("n")).alias("quota"))
 
 
 def strict_equal_counts(spark: SparkSession, sf: str) -> DataFrame:
     banded = sampling.latitude_bands(bridge.localities(spark, sf), "sci", "lat")
-    return sampling.stratified_sample(banded, "sci", "latband", 12, 42, ["key"]).groupBy("sci", "latband").agg(F.count("*").alias("n"))
+    return sampling.stratified_sample(banded, "sci", "latband", 40, 42, ["key"]).groupBy("sci", "latband").agg(F.count("*").alias("n"))
 
 
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -245,7 +246,7 @@ def similarity_exp(spark: SparkSession, sf: str) -> DataFrame:
 
 def edge_topk(spark: SparkSession, sf: str) -> DataFrame:
     edges = graph.similarity(_edges(spark, sf), "reciprocal", alpha=0.0, how="mean")
-    return _rounded(graph.strongest_edges(edges.withColumn("w", F.round("w", 9)), 500, 0.1), "w")
+    return _rounded(graph.strongest_edges(edges.withColumn("w", F.round("w", 9)), 100_000, 0.1), "w")
 
 
 def cluster_centroids(spark: SparkSession, sf: str) -> DataFrame:
@@ -275,7 +276,7 @@ def greedy_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def small_merge(spark: SparkSession, sf: str) -> DataFrame:
     edges = graph.similarity(_edges(spark, sf), "reciprocal", alpha=0.0, how="mean")
-    return graph.merge_small(edges, _labels(spark, sf), 50)
+    return graph.merge_small(edges, _labels(spark, sf), 25)
 
 
 def modularity(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,7 +333,10 @@ def marker_topn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def marker_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.scan_markers(*_comm(spark, sf))
+    counts = materialise(bridge.words(spark, sf), "word-cells")
+    f = community.hellinger(counts)
+    found = stats.scan_markers(f, counts.select("cell_id", "cluster").distinct())
+    return _rounded(found, "mean_in", "mean_out", "delta", "cohen_d", "p", "q", "prevalence_in", "prevalence_out")
 
 
 def volcano(spark: SparkSession, sf: str) -> DataFrame:
@@ -381,6 +385,21 @@ def sorensen(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(out, *[c for c in out.columns if c.startswith("beta_")])
 
 
+def cluster_report(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.cluster_table(lcbd_summary(spark, sf), sorensen(spark, sf), indval_summary(spark, sf))
+
+
+def separation_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    matrix = stats.separation_matrix(stats.separation(stats.label_sums(bridge.vectors(spark, sf))))
+    return matrix.unpivot("cluster", [c for c in matrix.columns if c != "cluster"], "other", "mean").select("cluster", "other", r6("mean", "mean"))
+
+
+def effort_quotas(spark: SparkSession, sf: str) -> DataFrame:
+    banded = sampling.latitude_bands(bridge.localities(spark, sf), "sci", "lat")
+    drawn = sampling.stratified_sample(banded, "sci", "latband", 42, 42, ["key"], strict_equal=False, effort="cluster", replace=True)
+    return drawn.groupBy("sci", "latband").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("strata"))
+
+
 def minmax(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("c_mktsegment")
     low, high = F.min("c_acctbal").over(w), F.max("c_acctbal").over(w)
@@ -425,7 +444,7 @@ def radar(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = (
     hellinger_cells, cell_counts, cell_centroids, cell_order, cell_rects, missing_coordinates, vocab_index, species_index, explode_ids, exclude_ids, focal_filter, associate_filter, taxon_regex, numeric_coerce, locality_key,
     names_cleaned, box_filter, dedup_first, locality_median, project_sweref, unproject_sweref, radius_join, radius_counts, assoc_threshold, target_totals, all_observations, site_species_sets, red_per_locality, red_lists,
-    latbands, site_quota, strict_equal_counts, stratified_sample, weighted_draw, pair_distances, knn_graph, similarity_adaptive, similarity_reciprocal, similarity_exp, edge_topk, cluster_centroids, closest_pair, cluster_links,
+    latbands, site_quota, strict_equal_counts, effort_quotas, stratified_sample, weighted_draw, pair_distances, knn_graph, similarity_adaptive, similarity_reciprocal, similarity_exp, edge_topk, cluster_centroids, closest_pair, cluster_links,
     greedy_merge, small_merge, modularity, community_labels, label_compaction, layout, marker_means, marker_cohen_d, marker_mwu, bh_fdr, marker_topn, marker_scan, volcano, dispersion, separation, silhouette, permanova_f,
-    permanova_p, lcbd, lcbd_summary, indval_summary, sorensen, minmax, quantile_clamp, map_cells, map_extent, strip_values, lcbd_boxes, radar,
+    permanova_p, lcbd, lcbd_summary, indval_summary, sorensen, cluster_report, separation_matrix, minmax, quantile_clamp, map_cells, map_extent, strip_values, lcbd_boxes, radar,
 )

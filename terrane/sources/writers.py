@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from dataclasses import asdict
+from functools import reduce
 from itertools import chain, islice
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import file_name, half_even, join_ids, known, underscored
@@ -112,8 +113,22 @@ def svg_map(cells: DataFrame, path: str) -> None:
     write_text(chain(['<svg xmlns="http://www.w3.org/2000/svg">'], some, ["</svg>"]), path)
 
 
-def write_taxa(df: DataFrame, path: str, by: str = "sci", order: str | None = None) -> None:
-    """Tab-separated rows in a folder for each taxon, named by ``file_name``; a missing name is a folder of its own."""
-    rows = df.withColumn("__taxon", F.coalesce(file_name(F.col(by)), F.lit("NA")))
-    rows = rows.repartition("__taxon").sortWithinPartitions("__taxon", *([order] if order else []))
-    write_tsv(rows.withColumnRenamed("__taxon", "taxon"), path, "taxon")
+def taxon_folders(df: DataFrame, by: str = "sci") -> DataFrame:
+    """(by, taxon): a folder name for each taxon. Of those that clean to the same text the first keeps it, others end in __001, __002, ..."""
+    names = df.select(by).distinct().withColumn("__name", file_name(F.col(by)))
+    same = F.row_number().over(Window.partitionBy("__name").orderBy(F.asc_nulls_first(by))) - 1
+    return names.select(by, F.when(same == 0, F.col("__name")).otherwise(F.format_string("%s__%03d", "__name", same)).alias("taxon"))
+
+
+def write_taxa(tables: dict[str, DataFrame], path: str, by: str = "sci", order: dict[str, list[str]] | None = None, names: DataFrame | None = None) -> None:
+    """Tab-separated rows of each table in ``path``/table/taxon=..., a folder for each taxon, the same in all tables.
+
+    A missing name is 'unknown'. ``order`` sorts the rows of a file. A taxon with very many rows is several files.
+    """
+    if names is None:
+        every = [t.select(by) for t in tables.values()]
+        names = taxon_folders(reduce(DataFrame.union, every), by)
+    for name, df in tables.items():
+        rows = df.join(names.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
+        rows = rows.sortWithinPartitions("taxon", *(order or {}).get(name, []))
+        write_tsv(rows, f"{path}/{name}", "taxon")
