@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import share_of_total, split_ids, strip
 from ..scratch import materialise
 from ..shipping import ship
+from .ranks import medians, numbered
 from .spatial import with_cells
 
 #: Cells of a species from which on its values are multiplied in dense blocks.
@@ -44,21 +45,9 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def vocabulary(presence: DataFrame, species: str = "species_id") -> DataFrame:
-    """(col_index, species_id): a dense index in the ids' lexical order.
-
-    Ids are ranked inside ranges and the ranges' sizes are added up, so the vocabulary is never sorted in one task. The
-    ranges are written to the shared folder before they are counted, so a lost executor cannot move an id to another range.
-    """
-    ids = presence.select(F.col(species).alias("species_id")).filter("species_id IS NOT NULL").distinct()
-    ranged = materialise(ids.repartitionByRange("species_id").withColumn("part", F.spark_partition_id()), "vocabulary")
-    sizes = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect())
-    base, offsets = 0, []
-    for part, n in sizes:
-        offsets += [F.lit(part), F.lit(base)]
-        base += n
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("species_id"))
-    start = F.create_map(*offsets)[F.col("part")] if offsets else F.lit(0)
-    return ranged.select((start + rank - 1).cast("int").alias("col_index"), "species_id")
+    """(col_index, species_id): a dense index in the ids' lexical order."""
+    ids = presence.select(F.col(species).alias("species_id")).filter("species_id IS NOT NULL")
+    return numbered(ids, ["species_id"], "col_index").select(F.col("col_index").cast("int").alias("col_index"), "species_id")
 
 
 def named_species(index: DataFrame, names: DataFrame) -> DataFrame:
@@ -75,8 +64,8 @@ def locality_summary(rows: DataFrame) -> DataFrame:
     """
     once = first_rows(rows, ["file", "locality_id", "species_id"], ["row"])
     bands = rows.groupBy("locality_id").agg(F.min_by(F.coalesce("latband", F.lit("NA")), F.struct("file", "row")).alias("latband"))
-    mid = once.filter("n IS NOT NULL AND e IS NOT NULL").groupBy("locality_id").agg(F.percentile("n", F.lit(0.5)).alias("n"), F.percentile("e", F.lit(0.5)).alias("e"))
-    return bands.join(mid, "locality_id", "left")
+    whole = once.filter("n IS NOT NULL AND e IS NOT NULL")
+    return bands.join(medians(whole, ["locality_id"], "n"), "locality_id", "left").join(medians(whole, ["locality_id"], "e"), "locality_id", "left")
 
 
 def cell_counts(presence: DataFrame, localities: DataFrame, size: float = 10_000.0, x: str = "e", y: str = "n") -> DataFrame:
@@ -99,7 +88,7 @@ def cell_index(localities: DataFrame, size: float = 10_000.0, x: str = "e", y: s
 def cell_order(localities: DataFrame, size: float = 10_000.0, x: str = "e", y: str = "n", order: str = "locality_id") -> DataFrame:
     """(cell_id, cell_no): cells numbered by the first locality that falls into each."""
     seen = with_cells(localities, x, y, size).groupBy("cell_id").agg(F.min(order).alias("first"))
-    return seen.select("cell_id", (F.row_number().over(Window.orderBy("first", "cell_id")) - 1).alias("cell_no"))
+    return numbered(seen, ["first", "cell_id"], "cell_no").select("cell_id", F.col("cell_no").cast("int").alias("cell_no"))
 
 
 def pair_dots(features: DataFrame, cell: str = "cell_id", heavy: int = HEAVY) -> DataFrame:

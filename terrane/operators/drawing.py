@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import cell_rectangle, volcano
+from .ranks import numbered, quantiles
 
 
 def colours(df: DataFrame, label: str, n: int = 20) -> DataFrame:
     """Adds ``colour_idx``: the label's rank among all labels, modulo ``n``. Ranks come from the table of labels."""
-    ranks = df.select(label).distinct().withColumn("colour_idx", ((F.row_number().over(Window.orderBy(label)) - 1) % n).cast("int"))
+    ranks = numbered(df.select(label), [label], "colour_idx").withColumn("colour_idx", (F.col("colour_idx") % n).cast("int"))
     return df.join(ranks, label)
 
 
@@ -63,13 +64,20 @@ def radar(metrics: DataFrame, by: str) -> DataFrame:
 
 def network_nodes(positions: DataFrame, labels: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """(node, label, x, y, colour_idx): positions clamped to quantiles and scaled to [0, 1]."""
-    cut = positions.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"q{c}") for c in "xy"])
-    p = positions.crossJoin(F.broadcast(cut))
+    p = positions
+    for c in "xy":
+        p = p.crossJoin(F.broadcast(quantiles(positions, [], c, [low, high], f"q{c}")))
     scaled = {c: F.when(F.col(f"q{c}")[1] > F.col(f"q{c}")[0], (F.least(F.greatest(F.col(c), F.col(f"q{c}")[0]), F.col(f"q{c}")[1]) - F.col(f"q{c}")[0]) / (F.col(f"q{c}")[1] - F.col(f"q{c}")[0])).otherwise(0.5) for c in "xy"}
     out = p.select("node", scaled["x"].alias("x"), scaled["y"].alias("y")).join(labels, "node")
     return colours(out, "label")
 
 
+def clamped(df: DataFrame, value: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """Adds ``clamped``: values cut to the quantiles of all values."""
+    cut = quantiles(df, [], value, [low, high], "__q")
+    return df.crossJoin(F.broadcast(cut)).withColumn("clamped", F.greatest(F.col("__q")[0], F.least(F.col("__q")[1], F.col(value)))).drop("__q")
+
+
 def network_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst, w, x0, y0, x1, y1) of the edges whose ends are drawn."""
     a, b = nodes.select(F.col("node").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0")), nodes.select(F.col("node").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"))

@@ -11,6 +11,7 @@ from ..functions.expr import kernel
 from ..scratch import materialise
 from ..shipping import ship
 from .leiden import communities
+from .ranks import numbered, quantiles
 from .vectors import neighbours
 
 __all__ = ["cluster_links", "communities", "compact", "greedy_merge", "layout", "merge_small", "modularity", "neighbours", "pick_run", "relabel", "similarity", "strongest_edges", "symmetric", "two_hop"]
@@ -44,7 +45,7 @@ def similarity(edges: DataFrame, mode: str = "adaptive", beta: float = 1.0, alph
     """
     if mode == "adaptive":
         edges = materialise(edges, "neighbours")
-        whole = edges.agg(F.percentile("d", F.lit(0.5)).alias("whole"))
+        whole = quantiles(edges, [], "d", [0.5]).select(F.col("q")[0].alias("whole"))
         scale = edges.groupBy("src").agg(F.percentile("d", F.lit(0.5)).alias("s")).crossJoin(F.broadcast(whole)).select("src", F.when(F.col("s") > 0, F.col("s")).otherwise(F.col("whole")).alias("s"), "whole")
         named = edges.join(scale.toDF("src", "si", "whole"), "src").join(scale.select(F.col("src").alias("dst"), F.col("s").alias("sj")), "dst", "left")
         ends = F.coalesce("sj", "whole")
@@ -145,7 +146,7 @@ def relabel(labels: DataFrame, into: dict) -> DataFrame:
 
 def compact(labels: DataFrame, label: str = "label") -> DataFrame:
     """Labels numbered from 0 in order."""
-    ids = labels.select(label).distinct().withColumn("__new", F.row_number().over(Window.orderBy(label)) - 1)
+    ids = numbered(labels.select(label).filter(F.col(label).isNotNull()), [label], "__new").withColumn("__new", F.col("__new").cast("int"))
     return labels.join(ids, label).drop(label).withColumnRenamed("__new", label)
 
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def latitude_bands(df: DataFrame, by: str, lat: str, n: int = 10) -> DataFrame:
     """Adds ``latband`` (``LAT1`` ...) and its number ``band``: right-closed bins between interpolated quantiles of each group.
 
     Equal edges are one edge; a group of one value is band 0; missing latitudes have no band.
     """
-    edges = df.groupBy(by).agg(F.percentile(lat, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias("__edges")).select(F.col(by).alias("__by"), F.array_distinct("__edges").alias("__edges"))
+    edges = quantiles(df, [by], lat, [i / n for i in range(n + 1)], "__edges").select(F.col(by).alias("__by"), F.array_distinct("__edges").alias("__edges"))
     below = F.size(F.filter("__edges", lambda e: e < F.col(lat)))
     band = F.when(F.col(lat).isNotNull(), F.greatest(below - 1, F.lit(0)))
-    out = df.join(edges, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
+    out = df.join(edges, F.col(by).eqNullSafe(F.col("__by")), "left").drop("__by")
     return out.withColumn("band", band).withColumn("latband", F.concat(F.lit("LAT"), (F.col("band") + 1).cast("string"))).drop("__edges")
 
 

@@ -46,8 +46,7 @@ def cell_order(spark: SparkSession, sf: str) -> DataFrame:
 
 def cell_rects(spark: SparkSession, sf: str) -> DataFrame:
     cells = community.cell_index(bridge.localities(spark, sf), CELL)
-    colour = (F.dense_rank().over(Window.orderBy("gx")) - 1) % 20
-    return cells.select("cell_id", *expr.cell_rectangle(F.col("gx"), F.col("gy"), CELL), colour.cast("int").alias("colour_idx"))
+    return drawing.colours(cells, "gx").select("cell_id", *expr.cell_rectangle(F.col("gx"), F.col("gy"), CELL), "colour_idx")
 
 
 def missing_coordinates(spark: SparkSession, sf: str) -> DataFrame:
@@ -407,9 +406,7 @@ def minmax(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quantile_clamp(spark: SparkSession, sf: str) -> DataFrame:
-    c = bridge.table(spark, sf, "customer")
-    cut = c.agg(F.percentile("c_acctbal", F.array(F.lit(0.005), F.lit(0.995))).alias("q"))
-    return c.crossJoin(F.broadcast(cut)).select("c_custkey", r6(F.greatest(F.element_at("q", 1), F.least(F.element_at("q", 2), F.col("c_acctbal"))), "clamped"))
+    return drawing.clamped(bridge.table(spark, sf, "customer"), "c_acctbal").select("c_custkey", r6("clamped", "clamped"))
 
 
 # tables to draw

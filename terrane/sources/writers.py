@@ -11,6 +11,7 @@ from itertools import chain, islice
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import medians
 from ..functions.expr import file_name, half_even, join_ids, known, underscored
 
 
@@ -60,7 +61,12 @@ def site_lists(sites: DataFrame, hits: DataFrame) -> DataFrame:
 def red_lists(hits: DataFrame, red: DataFrame) -> DataFrame:
     """(sci, LocalityID, SWEREF_N, SWEREF_E, Species_IDs) of associate localities with red ids: medians, half to even."""
     near = hits.join(red.toDF("tid").distinct(), "tid", "left_semi").filter("locality IS NOT NULL")
-    return near.groupBy("sci", underscored(F.col("locality")).alias("LocalityID")).agg(half_even(F.percentile("n", F.lit(0.5))).cast("int").alias("SWEREF_N"), half_even(F.percentile("e", F.lit(0.5))).cast("int").alias("SWEREF_E"), join_ids(F.collect_set("tid")).alias("Species_IDs"))
+    near = near.withColumn("LocalityID", underscored(F.col("locality")))
+    lists = near.groupBy("sci", "LocalityID").agg(join_ids(F.collect_set("tid")).alias("Species_IDs"))
+    for c, name in (("n", "SWEREF_N"), ("e", "SWEREF_E")):
+        middle = medians(near, ["sci", "LocalityID"], c).select(F.col("sci").alias("__sci"), F.col("LocalityID").alias("__id"), half_even(F.col(c)).cast("int").alias(name))
+        lists = lists.join(middle, F.col("sci").eqNullSafe(F.col("__sci")) & (F.col("LocalityID") == F.col("__id"))).drop("__sci", "__id")
+    return lists.select("sci", "LocalityID", "SWEREF_N", "SWEREF_E", "Species_IDs")
 
 
 def write_tsv(df: DataFrame, path: str, by: str | None = None) -> None:
