@@ -32,6 +32,9 @@ MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917], np.uint64)
 NOT_LETTERS = re.compile(r"[^\w ]|[\d_]")
 
 
+_SPACE = re.compile(r"\s")
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of the 1- to 3-grams of the letters of ``words``, lower-cased, between spaces; the words' numbers.
 
@@ -65,6 +68,16 @@ def _words(text: str | None) -> list[str]:
     return text.split() if text else []
 
 
+def _slices(text: str, most: int):
+    """Lists of the words of ``text``, each of about ``most`` characters of it; no word is cut."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, min(len(text), at + most))
+        end = space.start() if space else len(text)
+        yield text[at:end].split()
+        at = end
+
+
 def codewords(n: int, seed: int = 5) -> np.ndarray:
     """A row of +1 and -1 for each of ``n`` languages: all distinct splits for few, random columns for many."""
     if n <= 7:
@@ -116,6 +129,9 @@ class Model:
         return best, share[np.arange(len(best)), best], unsure
 
 
+#: Words that a Python worker keeps the scores of, and characters of a long text that are looked up at once.
+WORDS, SLICE = 150_000, 400_000
+
 #: n-gram shares are small; they are learned from and applied at this scale.
 SCALE = 50.0
 
@@ -172,15 +188,22 @@ def _scorer(model: Model | None):
         return out
 
     def score(texts):
-        words = kept(key, lambda: WordTable(compute, width + 1))
+        words = kept(key, lambda: WordTable(compute, width + 1, WORDS))
         lang, scores, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         for a, b, chunk in text_chunks(texts) if model is not None else ():
-            cut = [_words(t) for t in chunk]
-            sizes = np.array([len(c) for c in cut])
-            at = words.lookup([w for c in cut for w in c])
-            total = np.concatenate((np.zeros((1, width + 1)), np.cumsum(words.rows[at], axis=0, dtype=np.float64)))
-            ends = np.cumsum(sizes)
-            sums = total[ends] - total[ends - sizes]
+            if len(chunk) == 1 and len(chunk[0] or "") > SLICE:
+                # a long text is looked up slice by slice
+                sums = np.zeros((1, width + 1))
+                for c in _slices(chunk[0], SLICE):
+                    at = words.lookup(c)
+                    sums += words.rows[at].sum(0, dtype=np.float64, keepdims=True)
+            else:
+                cut = [_words(t) for t in chunk]
+                sizes = np.array([len(c) for c in cut])
+                at = words.lookup([w for c in cut for w in c])
+                total = np.concatenate((np.zeros((1, width + 1)), np.cumsum(words.rows[at], axis=0, dtype=np.float64)))
+                ends = np.cumsum(sizes)
+                sums = total[ends] - total[ends - sizes]
             best, share, near = model.decode(sums[:, :width], sums[:, width])
             known = sums[:, width] > 0.5
             for i in np.flatnonzero(known):
@@ -195,7 +218,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     """``docs`` with lang_pred, score and ambiguous; ``keep`` names the columns to carry (doc_id if not given).
 
     A text that is null or without a letter, or any text when nothing was learned, is ``und`` with score 0 and not
-    ambiguous. Whole texts count; repeated rows are scored alike; columns other than ``keep`` and text are ignored.
+    ambiguous. Whole texts count, very long ones slice by slice; repeated rows are scored alike; columns other than ``keep`` and
+    text are ignored; an empty table gives no rows.
     """
     keep = ["doc_id"] if keep is None else keep
     taken = {"lang_pred", "score", "ambiguous"} & set(keep)

@@ -115,3 +115,28 @@ def test_spans_are_code_points():
     text = "é idiot,  moron 日本 scum"
     flags = np.array([w.strip(",") in ("idiot", "moron", "scum") for w in text.split()])
     assert [text[s["start"] : s["end"]] for s in toxicity.toxic_spans(text, flags)] == ["idiot,  moron", "scum"]
+
+
+def test_a_long_text_is_scored_slice_by_slice(spark, monkeypatch):
+    """The same language and score as whole, in little memory beside the text itself."""
+    import resource
+
+    from terrane.llm import langid
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    texts = [r["text"] for r in docs.filter("lang IS NOT NULL AND length(text) > 2000").limit(20).collect()]
+    import pyarrow as pa
+
+    whole = langid._scorer(model)(pa.array(texts))
+    monkeypatch.setattr(langid, "SLICE", 300)
+    for i, t in enumerate(texts):
+        lang, score, unsure = langid._scorer(model)(pa.array([t]))
+        assert lang[0] == whole[0][i] and abs(score[0] - whole[1][i]) < 1e-6 and unsure[0] == whole[2][i]
+    monkeypatch.setattr(langid, "SLICE", 400_000)
+    long = pa.array([" ".join(texts[:4]) * (30_000_000 // len(" ".join(texts[:4])))])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    langid._scorer(model)(long)
+    # the text as a Python string, and little besides
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+    assert [w for c in langid._slices("ab  cd\u3000ef g", 1) for w in c] == "ab  cd\u3000ef g".split()
