@@ -27,6 +27,34 @@ MAX_OWNERS = 2
 BROADCAST_ROWS = 500_000
 
 
+#: Items that are gone through between two looks at what was gathered before: gathering n items copies about n times this.
+CHUNK = 256
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out one time: a lambda's argument is a value, an expression is worked out wherever it stands."""
+    return F.transform(F.array(value), use)[0]
+
+
+def gathered(items: Column, at: Column, none: Column, step) -> Column:
+    """What ``step(state, item)`` gathers from an array, where a state is (at, found) and begins with ``at`` and ``none``.
+
+    ``found`` is an array or a text that grows. Items are taken in chunks, and a chunk's own findings are added to all
+    findings when it ends, so that a text with a great many matches is not copied again for each of them.
+    """
+    whole = F.struct(at.alias("at"), none.alias("found"))
+
+    def chunk(state: Column, own: Column) -> Column:
+        inner = F.aggregate(own, F.struct(state["at"].alias("at"), none.alias("found")), step)
+        return once(inner, lambda s: F.struct(s["at"].alias("at"), F.concat(state["found"], s["found"]).alias("found")))
+
+    def every(items: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(items) / CHUNK).cast("int") - 1, F.lit(0))
+        return F.aggregate(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * CHUNK + 1, CHUNK)), whole, chunk)
+
+    return once(items, every)
+
+
 def matches(text: Column, pattern: str, kind: int, keeps) -> Column:
     """Array of (start, end, kind, value) of the leftmost non-overlapping matches that ``keeps(match)`` admits.
 
@@ -34,7 +62,7 @@ def matches(text: Column, pattern: str, kind: int, keeps) -> Column:
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>").alias("found"))
+    none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>")
 
     def step(state: Column, item: Column) -> Column:
         first = state["at"] + F.length(item["gap"])
@@ -43,7 +71,7 @@ def matches(text: Column, pattern: str, kind: int, keeps) -> Column:
         return F.struct(last.alias("at"), F.when(keeps(item["hit"]), F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
 
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(F.exists(hits, keeps), F.aggregate(pairs, start, step)["found"]).otherwise(start["found"])
+    return F.when(F.exists(hits, keeps), gathered(pairs, F.lit(0), none, step)["found"]).otherwise(none)
 
 
 def candidates(text: Column) -> Column:
@@ -144,14 +172,13 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "source", m
     held = materialise(held, "secrets-cuts")
     size = held.agg(F.sum(F.size(cuts) + 2)).first()[0] or 0
     out = docs.join(broadcast_if_small(held, size, broadcast_rows), (key[0] == F.col(k0)) & (key[1] == F.col(k1)), "left")
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, c: Column) -> Column:
         begins = c["start"] >= s["at"]
-        piece = F.concat(s["out"], text.substr(s["at"] + 1, c["start"] - s["at"]), F.lit(mask))
-        return F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.when(begins, piece).otherwise(s["out"]).alias("out"))
+        piece = F.concat(s["found"], text.substr(s["at"] + 1, c["start"] - s["at"]), F.lit(mask))
+        return F.struct(F.greatest(s["at"], c["end"]).alias("at"), F.when(begins, piece).otherwise(s["found"]).alias("found"))
 
-    done = F.aggregate(F.col(cuts), state, step)
-    masked = F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))
+    done = gathered(F.col(cuts), F.lit(0), F.lit(""), step)
+    masked = F.concat(done["found"], text.substr(done["at"] + 1, F.length(text)))
     new = F.when(F.col(cuts).isNull(), text).otherwise(masked)
     return out.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
