@@ -38,8 +38,8 @@ class _Graph:
         return gamma * k * total / (2 * self.whole)
 
     def turn(self, number: int) -> Column:
-        """Half of the nodes, the other half in the other round of a pair."""
-        return F.pmod(F.xxhash64(F.lit(self.seed), F.lit(number // 2), F.col("node")), F.lit(2)) == number % 2
+        """Half of the nodes, the other half in the other round of a pair. Two ways to halve take turns, so that plans repeat and compiled code is used again."""
+        return F.pmod(F.xxhash64(F.lit(self.seed), F.lit(number // 2 % 2), F.col("node")), F.lit(2)) == number % 2
 
 
 def communities(edges: DataFrame, resolutions: list[float], seed: int = 123, refine: bool = True) -> DataFrame:
@@ -85,7 +85,7 @@ def communities(edges: DataFrame, resolutions: list[float], seed: int = 123, ref
         # both directions of an inner pair add up to an even number
         joined = graph.links.join(a, ["run", "i"]).join(b, ["run", "j"]).groupBy("run", F.col("a").alias("i"), F.col("b").alias("j")).agg(F.sum(weight).cast("long").alias("x"))
         start = part.groupBy("run", "part").agg(F.min("label").alias("label"))
-        graph = _Graph(graph.keep(joined, "links"), graph.whole, gammas, seed + 1, tables)
+        graph = _Graph(graph.keep(joined, "links"), graph.whole, gammas, seed, tables)
         labels = graph.keep(graph.nodes.join(start.withColumnRenamed("part", "node"), ["run", "node"]), "labels")
     own = member.join(labels.select("run", F.col("node").alias("top"), "label"), ["run", "top"]).select("run", "node", "label")
     # single nodes move once more, now between whole communities

@@ -15,7 +15,7 @@ from ..scratch import discard, materialise
 from ..shipping import map_arrow, ship
 
 #: Most pivots, most numbers of a block's matrix, and partners that a task compares a block with.
-PIVOTS, NUMBERS, PARTNERS = 64, 1 << 18, 8
+PIVOTS, NUMBERS, PARTNERS = 64, 1 << 17, 64
 
 PACKED = "b int, pivot int, n int, ids binary, groups binary, x binary, bound double, low array<double>, high array<double>"
 
@@ -39,6 +39,14 @@ def _numbers(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int64)
 
 
+def _places(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in ``j`` those of ``i`` are that it holds, and their own places."""
+    by = np.argsort(j, kind="stable")
+    at = by[np.minimum(np.searchsorted(j[by], i), len(j) - 1)]
+    itself = np.flatnonzero(j[at] == i)
+    return at[itself], itself
+
+
 def pack(vectors: DataFrame, k: int = 0, rows: int | None = None, group: str | None = None) -> tuple[DataFrame, int]:
     """Blocks of vectors (id, v[, group]) as a table, and the length of a vector.
 
@@ -133,30 +141,38 @@ def neighbours(vectors: DataFrame, k: int = 15, include_self: bool = True, block
     blocks, width = pack(vectors, k, block)
 
     def best(key, table):
-        own, rest = table.filter(table["c"].is_null()), table.filter(table["c"].is_valid())
+        own = table.filter(table["c"].is_null())
         x, i = _matrix(own["x"], width), _numbers(own["ids"])
-        y, j = _matrix(rest["x"], width), _numbers(rest["ids"])
-        by = np.argsort(j, kind="stable")
-        y, j = y[by], j[by]
-        d = squares(x, y)
-        at = np.minimum(np.searchsorted(j, i), max(0, len(j) - 1))
-        itself = np.flatnonzero(j[at] == i)
-        d[itself, at[itself]] = 0.0 if include_self else np.inf
-        m = min(k, len(j))
-        # all that may round to the k-th distance; their distances are then computed without the product
-        limit = np.sqrt(np.maximum(np.partition(d, m - 1, axis=1)[:, m - 1], 0)) + 10.0**-digits + 1e-7
-        out = []
-        for r in range(len(i)):
-            some = np.flatnonzero(d[r] <= limit[r] ** 2)
-            exact = np.round(np.sqrt(((x[r] - y[some]) ** 2).sum(1)), digits)
-            same = j[some] == i[r]
+        rest = table.filter(table["c"].is_valid()).select(["ids", "x"]).combine_chunks().to_batches(max_chunksize=1)
+        # first how far the k-th is, block by block, then all that may round to that
+        near = np.full((len(i), k), np.inf)
+        for one in rest:
+            y, j = _matrix(one["x"], width), _numbers(one["ids"])
+            d = squares(x, y)
+            at, itself = _places(i, j)
+            d[itself, at] = 0.0 if include_self else np.inf
+            near = np.partition(np.concatenate((near, d), axis=1), k - 1, axis=1)[:, :k]
+        limit = (np.sqrt(np.maximum(near.max(1), 0)) + 10.0**-digits + 1e-7) ** 2
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for one in rest:
+            y, j = _matrix(one["x"], width), _numbers(one["ids"])
+            d = squares(x, y)
+            at, itself = _places(i, j)
+            d[itself, at] = 0.0
+            r, c = np.nonzero(d <= limit[:, None])
+            exact = np.empty(len(r))
+            for a in range(0, len(r), 8192):
+                exact[a : a + 8192] = np.round(np.sqrt(((x[r[a : a + 8192]] - y[c[a : a + 8192]]) ** 2).sum(1)), digits)
+            same = i[r] == j[c]
             exact[same] = 0.0
-            if not include_self:
-                some, exact = some[~same], exact[~same]
-            first = np.lexsort((j[some], exact))[:k]
-            out.append((np.full(len(first), i[r]), j[some[first]], exact[first]))
-        src, dst, far = (np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3))
-        return pa.table({"src": src.astype(np.int64), "dst": dst.astype(np.int64), "d": far.astype(np.float64)})
+            some = slice(None) if include_self else ~same
+            found.append((r[some], j[c][some], exact[some]))
+        row, dst, far = (np.concatenate([f[c] for f in found]) for c in range(3))
+        order = np.lexsort((dst, far, row))
+        row, dst, far = row[order], dst[order], far[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = rank < k
+        return pa.table({"src": i[row[kept]], "dst": dst[kept], "d": far[kept]})
 
     found = _meetings(blocks, block_pairs(blocks)).applyInArrow(best, "src long, dst long, d double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
@@ -176,19 +192,22 @@ def label_sums(vectors: DataFrame, block: int | None = None) -> DataFrame:
     def sums(key, table):
         own, rest = table.filter(table["c"].is_null()), table.filter(table["c"].is_valid())
         x, i, g = _matrix(own["x"], width), _numbers(own["ids"]), _numbers(own["groups"])
-        y, j, h = _matrix(rest["x"], width), _numbers(rest["ids"]), _numbers(rest["groups"])
-        square = np.maximum(squares(x, y), 0)
-        by = np.argsort(j, kind="stable")
-        at = by[np.minimum(np.searchsorted(j[by], i), len(j) - 1)]
-        itself = np.flatnonzero(j[at] == i)
-        square[itself, at[itself]] = 0.0
-        others, column = np.unique(h, return_inverse=True)
-        member = np.zeros((len(h), len(others)))
-        member[np.arange(len(h)), column] = 1
-        n = np.tile(member.sum(0).astype(np.int64), (len(i), 1))
-        n[itself, column[at[itself]]] -= 1
+        others = np.unique(_numbers(rest["groups"]))
         size = len(others)
-        return pa.table({"id": np.repeat(i, size), "cluster": np.repeat(g, size), "other": np.tile(others, len(i)), "n": n.ravel(), "s": (np.sqrt(square) @ member).ravel(), "q": (square @ member).ravel()})
+        n, s, q = np.zeros((len(i), size), np.int64), np.zeros((len(i), size)), np.zeros((len(i), size))
+        for one in rest.select(["ids", "groups", "x"]).combine_chunks().to_batches(max_chunksize=1):
+            y, j, h = _matrix(one["x"], width), _numbers(one["ids"]), _numbers(one["groups"])
+            square = np.maximum(squares(x, y), 0)
+            at, itself = _places(i, j)
+            square[itself, at] = 0.0
+            column = np.searchsorted(others, h)
+            member = np.zeros((len(h), size))
+            member[np.arange(len(h)), column] = 1
+            n += member.sum(0).astype(np.int64)
+            n[itself, column[at]] -= 1
+            q += square @ member
+            s += np.sqrt(square, out=square) @ member
+        return pa.table({"id": np.repeat(i, size), "cluster": np.repeat(g, size), "other": np.tile(others, len(i)), "n": n.ravel(), "s": s.ravel(), "q": q.ravel()})
 
     parts = _meetings(blocks, pairs).applyInArrow(sums, "id long, cluster long, other long, n long, s double, q double")
     return parts.groupBy("id", "cluster", "other").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
