@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import logging
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..observed import Tally
 from ..operators import community, drawing, graph, sampling, spatial, stats
 from ..scratch import materialise
-from ..sources import writers
+from ..sources import reports, writers
 from . import config
 
+log = logging.getLogger(__name__)
+
 
 def _placed(occ: DataFrame, c: config.Associates) -> DataFrame:
     """Occurrences inside the box with their locality and projected coordinates."""
@@ -54,11 +60,27 @@ def associates(occ: DataFrame, red: DataFrame, plants: DataFrame, c: config.Asso
     }
 
 
+def write_associates(tables: dict[str, DataFrame], path: str) -> None:
+    """Stage 1's reports as tab-separated files, each with a folder for each focal taxon; folders are named alike in all reports."""
+    names = writers.taxon_folders(tables["totals"])
+    reports = {k: v for k, v in tables.items() if k != "hits"}
+    order = {"site_lists": ["fid"], "red_lists": ["LocalityID"], "red_by_locality": ["locality"], "counts": ["tid"], "all_observations": ["tid"]}
+    writers.write_taxa(reports, path, order=order, names=names)
+
+
 def consolidate(lists: DataFrame, exclude: DataFrame, names: DataFrame) -> dict[str, DataFrame]:
-    """Stage 2: site lists of all taxa to presence, localities and the species index."""
-    rows = community.without(community.explode_lists(lists, "locality_id", "species_ids"), "species_id", exclude)
+    """Stage 2: site lists of all taxa to presence, localities and the species index.
+
+    ``removed`` (n_lists, n_ids, n_removed) tells what was read and how many ids the exclude list took out; the counts ride on
+    the pass that takes the lists apart, whose rows are written once and read by the tables.
+    """
+    read, ids, kept = Tally(), Tally(), Tally()
+    rows = kept.on(community.without(ids.on(community.explode_lists(read.on(lists), "locality_id", "species_ids")), "species_id", exclude))
+    rows = materialise(rows, "consolidated")
+    log.info("%d lists, %d ids, %d of them excluded", read.get(), ids.get(), ids.get() - kept.get())
+    removed = lists.sparkSession.createDataFrame([(read.get(), ids.get(), ids.get() - kept.get())], "n_lists long, n_ids long, n_removed long")
     presence = rows.select("locality_id", "species_id").distinct()
-    return {"presence": presence, "localities": community.locality_summary(rows), "species": community.named_species(community.vocabulary(presence), names)}
+    return {"presence": presence, "localities": community.locality_summary(rows), "species": community.named_species(community.vocabulary(presence), names), "removed": removed}
 
 
 def features(presence: DataFrame, localities: DataFrame, c: config.Features = config.Features()) -> dict[str, DataFrame]:
@@ -101,7 +123,7 @@ def clusters(knn: DataFrame, vectors: DataFrame | None = None, c: config.Cluster
     labels = graph.merge_small(sim, runs.filter(F.col("run") == best["run"]).select("node", "label"), c.least_size)
     if vectors is not None and labels.select("label").distinct().count() > c.target:
         labels = graph.greedy_merge(vectors, labels, c.target)
-    return {"similarity": sim, "runs": table, "labels": labels}
+    return {"similarity": sim, "runs": table, "labels": labels, "report": reports.clustering_report(table, best.asDict(), labels, c)}
 
 
 def region_map(cells: DataFrame, labels: DataFrame, size: float) -> DataFrame:
@@ -124,7 +146,11 @@ def evaluation(vectors: DataFrame, c: config.Evaluation = config.Evaluation()) -
 
 def diversity(cell_features: DataFrame, labels: DataFrame, found: DataFrame | None = None, c: config.Evaluation = config.Evaluation()) -> dict[str, DataFrame]:
     """Stage 8: local contributions to beta diversity, indicator summaries and dissimilarity parts."""
-    own = community.aligned(cell_features, labels).select("cell_id", "species_id", "value")
+    unlabelled = Tally()
+    own = unlabelled.on(cell_features.join(labels, "cell_id", "left"), missing=F.count_if(F.col("cluster").isNull())).filter("cluster IS NOT NULL")
+    own = materialise(own.select("cell_id", "species_id", "value"), "labelled-features")
+    if unlabelled.get("missing"):
+        warnings.warn(f"{unlabelled.get('missing')} of {unlabelled.get()} values are of cells without a label and left out", stacklevel=2)
     local = stats.lcbd(own).join(labels, "cell_id")
     out = {"lcbd": local, "lcbd_summary": stats.summary(local, "cluster", "lcbd", "lcbd"), "beta": stats.sorensen_summary(stats.sorensen_pairs(own, labels, most=c.most_pairs, seed=c.seed), labels)}
     if found is not None:

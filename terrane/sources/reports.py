@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.stats import separation_matrix
-from ..plans.config import Clusters
 from .writers import text_table, write_text
 
 
-def clustering_report(runs: DataFrame, best: dict, labels: DataFrame, c: Clusters) -> str:
+def clustering_report(runs: DataFrame, best: dict, labels: DataFrame, c) -> str:
     """Settings, the sweep (run, k, quality, min_size), the chosen run and the number of clusters in the end."""
     final = labels.select("label").distinct().count()
     lines = [f"Target clusters: {c.target}", f"Least cluster size: {c.least_size}", f"Similarity: {c.kernel}", f"Chosen: resolution {c.resolutions[best['run']]}, {best['k']} communities", f"Clusters in the end: {final}"]
