@@ -69,10 +69,19 @@ def exclude_list(spark: SparkSession, path: str | None) -> DataFrame:
     return df.select(strip(F.col("taxonID")).alias("id")).filter("id IS NOT NULL AND id <> ''").distinct()
 
 
+def file_order() -> Column:
+    """A number that grows along each file, however it is split: the start of a row's block, then its place among the rows of its task.
+
+    Splits are planned by size and not by place, so an id of task and row alone does not follow the file.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.lit(1 << 33).cast("decimal(10,0)") + place.cast("decimal(10,0)")
+
+
 def name_lookup(spark: SparkSession, path: str) -> DataFrame:
     """(species_id, name, rank): vernacular names; the first of an id in file order has the least rank."""
-    df = _csv(spark, path, ";")
-    return with_nulls(df.select(strip(F.col("taxonID")).alias("species_id"), strip(F.col("vernacular")).alias("name"))).withColumn("rank", F.monotonically_increasing_id())
+    df = _csv(spark, path, ";").withColumn("__row", file_order())
+    return with_nulls(df.select(strip(F.col("taxonID")).alias("species_id"), strip(F.col("vernacular")).alias("name"), F.col("__row").alias("rank")), ["species_id", "name"])
 
 
 def focal_list(spark: SparkSession, path: str, ids: list[str] = (), names: list[str] = ()) -> DataFrame:
@@ -102,7 +111,7 @@ def focal_list(spark: SparkSession, path: str, ids: list[str] = (), names: list[
 
 def locality_lists(spark: SparkSession, pattern: str) -> DataFrame:
     """(file, row, locality_id, latband, n, e, species_ids) of tab-separated site lists; the band is optional."""
-    df = spark.read.csv(pattern, sep="\t", header=True).withColumns({"file": F.col("_metadata.file_path"), "row": F.monotonically_increasing_id()})
+    df = spark.read.csv(pattern, sep="\t", header=True).withColumns({"file": F.col("_metadata.file_path"), "row": file_order()})
     band = F.col("latband") if "latband" in df.columns else F.lit(None).cast("string")
     out = df.select("file", "row", F.col("LocalityID").alias("locality_id"), band.alias("latband"), F.col("SWEREF_N").alias("n"), F.col("SWEREF_E").alias("e"), F.col("Species_IDs").alias("species_ids"))
     return with_nulls(out, ["locality_id", "latband", "n", "e", "species_ids"]).withColumns({c: F.col(c).try_cast("double") for c in ("n", "e")})

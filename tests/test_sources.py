@@ -98,3 +98,27 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     q.stop()
     got = {tuple(r) for r in spark.table("found").collect()}
     assert got == {tuple(r) for r in associate_stream(sites, points).collect()} == {("A", "t1", 1), ("B", "t1", 1), ("B", "t2", 1)}
+
+
+@pytest.mark.parametrize("size", [300, 1000, 100_000])
+def test_order_of_rows_holds_for_any_split(spark, tmp_path, size):
+    """Splits are planned by size: the last, smaller one of a file may come first."""
+    names = "taxonID;vernacular\n" + "".join(f"{i % 50};name {i:04d} {'x' * (i % 37)}\n" for i in range(400))
+    (tmp_path / "names.csv").write_text(names)
+    (tmp_path / "sites").mkdir()
+    for f in "ab":
+        (tmp_path / "sites" / f"{f}.tsv").write_text("LocalityID\tlatband\tSWEREF_N\tSWEREF_E\tSpecies_IDs\n" + "".join(f"loc {i % 40}\t{f.upper()}{i}\t{i}\t{i}\t{i % 7} {i}\n" for i in range(300)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        rows = readers.name_lookup(spark, str(tmp_path / "names.csv"))
+        assert [r["name"] for r in rows.orderBy("rank").collect()] == [line.split(";")[1].strip() for line in names.splitlines()[1:]]
+        first = community.named_species(spark.createDataFrame([(i, str(i)) for i in range(50)], "col_index int, species_id string"), rows)
+        assert all(r["species"].startswith(f"name {r['col_index']:04d}") for r in first.collect())
+        lists = readers.locality_lists(spark, str(tmp_path / "sites" / "*.tsv"))
+        bands = community.locality_summary(community.explode_lists(lists, "locality_id", "species_ids"))
+        assert {r["locality_id"]: r["latband"] for r in bands.collect()} == {f"loc {i}": f"A{i}" for i in range(40)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
