@@ -61,7 +61,7 @@ tested AS (SELECT s.*, coalesce({_tail('u.z')} / 2, 1) AS p, n_species FROM s JO
 raw AS (SELECT *, p * n_species / count(*) OVER (PARTITION BY cluster ORDER BY p RANGE UNBOUNDED PRECEDING) AS q0 FROM tested),
 bh AS (SELECT *, greatest(0, least(1, min(q0) OVER (PARTITION BY cluster ORDER BY p DESC RANGE UNBOUNDED PRECEDING))) AS q FROM raw),
 ranked AS (SELECT *, (row_number() OVER (PARTITION BY cluster ORDER BY round(q, 12), round(delta, 9) DESC, species_id))::INT AS rank FROM bh WHERE q <= 0.05 AND delta > 0.00001)
-SELECT cluster, species_id, rank, round(mean_in, 6) AS mean_in, round(mean_out, 6) AS mean_out, round(delta, 6) AS delta, round(CASE WHEN n_in > 1 AND n_out > 1 AND pooled > 1e-15 THEN delta / sqrt(pooled) END, 6) AS cohen_d,
+SELECT cluster, species_id, rank, round(mean_in, 6) AS mean_in, CASE WHEN round(mean_out, 6) = 0 THEN 0 ELSE round(mean_out, 6) END AS mean_out, round(delta, 6) AS delta, round(CASE WHEN n_in > 1 AND n_out > 1 AND pooled > 1e-15 THEN delta / sqrt(pooled) END, 6) AS cohen_d,
   round(p, 6) AS p, round(q, 6) AS q, round(prevalence_in, 6) AS prevalence_in, round(prevalence_out, 6) AS prevalence_out, n_in, n_out FROM ranked WHERE rank <= 40"""
 VEC = "vec AS (SELECT vec_id AS id, label::BIGINT AS cluster, embedding::DOUBLE[] AS v FROM embeddings)"
 PAIRS = f"{VEC}, pairs AS (SELECT a.id AS i, b.id AS j, a.cluster AS ci, b.cluster AS cj, list_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.id <> b.id)"

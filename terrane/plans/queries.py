@@ -335,7 +335,9 @@ def marker_scan(spark: SparkSession, sf: str) -> DataFrame:
     counts = materialise(bridge.words(spark, sf), "word-cells")
     f = community.hellinger(counts)
     found = stats.scan_markers(f, counts.select("cell_id", "cluster").distinct())
-    return _rounded(found, "mean_in", "mean_out", "delta", "cohen_d", "p", "q", "prevalence_in", "prevalence_out")
+    out = _rounded(found, "mean_in", "mean_out", "delta", "cohen_d", "p", "q", "prevalence_in", "prevalence_out")
+    # what is left of a difference of sums may round to a negative zero
+    return out.withColumn("mean_out", F.when(F.col("mean_out") == 0, 0.0).otherwise(F.col("mean_out")))
 
 
 def volcano(spark: SparkSession, sf: str) -> DataFrame:
