@@ -30,9 +30,11 @@ BLOCKS = frozenset("address article aside blockquote body center caption dd deta
 OUTSIDE = frozenset("aside button canvas dialog embed fieldset footer form head iframe input label math menu nav noembed noframes noscript object search select style script svg template textarea title xmp".split())
 #: Roles, and words of classes and ids, of what is not an article.
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-WORDS = frozenset("ad ads adsense advert advertisement advertising advertisements adverts aside banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion promotions recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription teaser toolbar trending widget widgets".split())
+WORDS = frozenset("ad ads adsense advert advertisement advertising advertisements adverts aside banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion promotions recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription teaser toolbar trending widget widgets".split())
 #: Words of classes and ids of an article's own parts.
 ARTICLE = frozenset("article body content entry main page post story text".split())
+#: With these a "header" is the article's own, as in "entry-header".
+TITLED = frozenset("article content entry post story".split())
 #: What an open element is ended by, where its end tag may be left out, and how far up is looked.
 ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "thead", "tbody")}
 BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
@@ -73,8 +75,7 @@ class Page:
             out = out or bool(words & {"comment", "reply", "teaser"})
         elif tag not in ("html", "body") and not re.fullmatch("h[1-6]", tag):
             bad = words & WORDS
-            # a heading of the article itself, as in "entry-header"
-            out = out or bool(bad and not (bad <= {"header"} and words & ARTICLE))
+            out = out or bool(bad and not (bad <= {"header"} and words & TITLED))
         self.parent.append(top)
         self.tag.append(tag)
         self.out.append(out)

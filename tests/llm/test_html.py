@@ -27,6 +27,7 @@ LAYOUTS = {
     "table": f"<table><tr><td class=menu><ul>{MENU}</ul></td><td>{ARTICLE}</td></tr><tr><td colspan=2 class='copyright'>Copyright, 1999.</td></tr></table>",
     "notice": f"<body><div class='cookie-notice' role=alert><p>{LONG[5]} We use cookies, as all do.</p></div><div class='post'><div class='entry-header'><h1>{TITLE}</h1></div>{ARTICLE.split('</h1>', 1)[1]}<div class='share-buttons'>Share, tweet, like.</div></div></body>",
     "hidden": f"<body><div style='display: none'><p>{LONG[5]}</p></div><main>{ARTICLE}<script>var a = '<p>no, never.</p>';</script><style>p > a {{}}</style><noscript>Turn it on, please.</noscript></main></body>",
+    "headers": f"<body><div class='page-header'><h1>The Paper</h1><p>Founded, as all know, in 1900.</p></div><div id='main-menu'>{MENU}</div><div class=post><header class='post-header'><h1>{TITLE}</h1></header>{ARTICLE.split('</h1>', 1)[1]}</div></body>".replace("<header class='post-header'>", "<div class='post-header'>").replace("</header>", "</div>"),
     "unclosed": f"<body><nav><ul>{MENU}</ul></nav><article>{ARTICLE.replace('</p>', '').replace('</li>', '')}",
 }
 
