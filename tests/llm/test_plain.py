@@ -160,4 +160,4 @@ def test_pipeline_on_awkward_rows(spark, tmp_path, empty):
 
 def test_every_operator_is_registered_once():
     names = sorted(registry.queries())
-    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n).group(1)) for n in names) == list(range(1, 13))
