@@ -35,8 +35,8 @@ REPORT = "report string, sci string, tid string, n_pairs long, n_sites long, n_r
 @dataclass(frozen=True)
 class Config:
     """``sites`` and ``points``: tables of focal sites and of occurrences. ``since`` and ``until``: months (yyyy-MM), both included;
-    None has no bound. ``least``: pairs that an associate needs in a month. ``red``: ids of a red list. ``broadcast_rows``: most sites
-    that are sent to all tasks."""
+    None has no bound. ``least``: pairs that an associate needs in a month. ``red``: ids of a red list. ``broadcast_rows``: most places
+    of sites that are sent to all tasks."""
 
     sites: str
     points: str
@@ -72,20 +72,27 @@ def run(spark: SparkSession, config: Config) -> DataFrame:
     sites = bridge.sites_of(spark.read.parquet(config.sites))
     points = dated(spark, config)
     red = spark.createDataFrame([(i,) for i in config.red], "tid string").distinct().withColumn("red", F.lit(1))
-    # what is kept of all pairs is their number for each site, which the two kinds of rows are made of
-    hits = spatial.distance_join(n_sites.on(sites), n_points.on(points.select("tid", "month", "e", "n")), config.radius, broadcast_rows=config.broadcast_rows)
-    met = materialise(n_pairs.on(hits).groupBy("month", "sci", "fid", "tid").agg(F.count("*").alias("pairs")), "associates")
-    log.info("read %d sites of %s and %d occurrences of %s; %d pairs within %s", n_sites.get(), config.sites, n_points.get(), config.points, n_pairs.get(), config.radius)
+    # a place's sites all meet the same occurrences: what is kept of all pairs is their number for each place and focal taxon,
+    # which the two kinds of rows are made of. A site's key gives its place, so no site is in two of them
+    own = n_sites.on(sites).groupBy("sci", F.col("e").alias("site_e"), F.col("n").alias("site_n")).agg(F.count("*").alias("rows"), F.count_distinct("fid").alias("sites"))
+    own = materialise(own, "places")
+    near = spatial.place_counts(own.select(F.col("site_e").alias("e"), F.col("site_n").alias("n")), n_points.on(points.select("tid", "month", "e", "n")), config.radius, ["month", "tid"], broadcast_rows=config.broadcast_rows)
+    hits = near.join(own, ["site_e", "site_n"]).select("month", "sci", "tid", "site_e", "site_n", "sites", (F.col("pairs") * F.col("rows")).alias("pairs"))
+    met = materialise(n_pairs.on(hits, pairs=F.sum("pairs")), "associates")
+    log.info("read %d sites of %s and %d occurrences of %s; %d pairs within %s", n_sites.get(), config.sites, n_points.get(), config.points, n_pairs.get("pairs"), config.radius)
     none = lambda name, kind="long": F.lit(None).cast(kind).alias(name)
-    kept = writers.associate_counts(met, config.least, by=("month", "sci", "tid"), pairs=F.sum("pairs"), n_sites=F.count_distinct("fid"))
+    kept = writers.associate_counts(met, config.least, by=("month", "sci", "tid"), pairs=F.sum("pairs"), n_sites=F.sum("sites"))
     kept = kept.join(red, "tid", "left").select(F.lit("associates").alias("report"), "sci", "tid", F.col("n").alias("n_pairs"), "n_sites", F.coalesce("red", F.lit(0)).cast("long").alias("n_red"), none("n_points"), "month")
     found = kept.groupBy(F.col("month").alias("m"), F.col("sci").alias("s")).agg(F.sum("n_red").alias("n_red"))
-    pairs = met.groupBy("month", "sci").agg(F.sum("pairs").alias("n_pairs"), F.count_distinct("fid").alias("n_sites"))
+    places = met.groupBy("month", "sci", "site_e", "site_n").agg(F.sum("pairs").alias("pairs"), F.first("sites").alias("sites"))
+    pairs = places.groupBy("month", "sci").agg(F.sum("pairs").alias("n_pairs"), F.sum("sites").alias("n_sites"))
     totals = pairs.join(found, F.col("month").eqNullSafe(F.col("m")) & F.col("sci").eqNullSafe(F.col("s")), "left").select(F.lit("totals").alias("report"), "sci", none("tid", "string"), "n_pairs", "n_sites", F.coalesce("n_red", F.lit(0).cast("long")).alias("n_red"), none("n_points"), "month")
     months = points.groupBy("month").agg(F.count("*").alias("n_points")).select(F.lit("month").alias("report"), none("sci", "string"), none("tid", "string"), none("n_pairs"), none("n_sites"), none("n_red"), "n_points", "month")
-    out = written.on(kept.union(totals).union(months))
+    # a month's rows are one file
+    out = written.on(kept.union(totals).union(months).repartition("month"))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(config.output)
     discard(met)
+    discard(own)
     log.info("wrote %d rows to %s", written.get(), config.output)
     return table(spark, config.output, REPORT)
 
