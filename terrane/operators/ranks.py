@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialise
@@ -25,9 +25,11 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.withColumn(name, start + rank).drop("__part")
 
 
-def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, value): the median of each group. Equal values are counted first, so a group's state grows with its different values alone."""
-    counted = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
+def medians(df: DataFrame, by: list[str], value: str, times: Column | None = None) -> DataFrame:
+    """(by, value): the median of each group. Equal values are counted first, so a group's state grows with its different values alone.
+
+    A row stands for ``times`` rows, or for one."""
+    counted = df.groupBy(*by, value).agg((F.count("*") if times is None else F.sum(times)).alias("__n"))
     return counted.groupBy(*by).agg(F.percentile(value, F.lit(0.5), F.col("__n")).alias(value))
 
 

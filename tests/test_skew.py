@@ -71,3 +71,31 @@ def test_counts_ride_on_the_pass(spark):
     assert out.count() == 10 and (seen.get(), seen.get("even"), kept.get()) == (100, 50, 10)
     none = Tally()
     assert none.on(spark.createDataFrame([], "id long").filter("id > 3")).count() == 0 and none.get() == 0
+
+
+def test_pairs_of_equal_places_are_counted_and_not_listed(spark, tmp_path):
+    """200,000 sites and as many points of one place: 40 thousand million pairs, which no run could list."""
+    from jobs import associates
+    from terrane.plans import queries
+
+    n = 200_000
+    c = spark.range(n).select((F.col("id") * 400).alias("c_custkey"), F.lit("S").alias("c_mktsegment"))
+    o = spark.range(n).select((F.col("id") * 158_800).alias("o_orderkey"), F.lit("1-URGENT").alias("o_orderpriority"), F.lit("O").alias("o_orderstatus"), F.lit("2020-05-06").cast("timestamp").alias("o_orderdate"))
+    c.write.parquet(f"{tmp_path}/customer.parquet")
+    o.write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("radius_counts", "all_observations"):
+        assert [tuple(r) for r in queries.__dict__[name](spark, str(tmp_path)).collect()] == [("S", "1-O", n * n)]
+    assert [r["Species_IDs"] for r in queries.site_species_sets(spark, str(tmp_path)).select("Species_IDs").distinct().collect()] == ["1-O"]
+    assert {(r["LocalityID"], r["SWEREF_N"], r["Species_IDs"]) for r in queries.red_lists(spark, str(tmp_path)).collect()} == {(f"loc_{100 * i}", 6500000, "1-O") for i in range(5)}
+    assert [r["red_finds"] for r in queries.assoc_threshold(spark, str(tmp_path)).collect()] == ["1-O"]
+    out = associates.run(spark, associates.Config(f"{tmp_path}/customer.parquet", f"{tmp_path}/orders.parquet", f"{tmp_path}/out"))
+    assert {(r["report"], r["n_pairs"], r["n_sites"], r["n_points"]) for r in out.collect()} == {("associates", n * n, n, None), ("totals", n * n, n, None), ("month", None, None, n)}
+
+
+def test_places_that_are_not_broadcast_give_the_same_counts(spark):
+    rng = np.random.default_rng(5)
+    sites = spark.createDataFrame([(f"s{i % 3}", *map(float, rng.integers(0, 30, 2) * 10)) for i in range(200)] + [("s0", None, 1.0)], "sci string, e double, n double")
+    points = spark.createDataFrame([(f"t{i % 4}", *map(float, rng.integers(0, 30, 2) * 10)) for i in range(300)] + [("t0", 1.0, None)], "tid string, e double, n double")
+    want = sorted(tuple(r) for r in spatial.distance_join(sites, points, 50.0).groupBy("sci", "tid").agg(F.count("*")).collect())
+    for rows in (20_000, 3):
+        assert sorted(tuple(r) for r in spatial.pair_counts(sites, points, 50.0, ["sci"], ["tid"], broadcast_rows=rows).collect()) == want
