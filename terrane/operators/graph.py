@@ -44,7 +44,7 @@ def similarity(edges: DataFrame, mode: str = "adaptive", beta: float = 1.0, alph
     read more than once are written first, so a neighbour search behind ``edges`` runs one time.
     """
     if mode == "adaptive":
-        edges = materialise(edges, "neighbours")
+        edges = edges if hasattr(edges, "_scratch_path") else materialise(edges, "neighbours")
         whole = quantiles(edges, [], "d", [0.5]).select(F.col("q")[0].alias("whole"))
         scale = edges.groupBy("src").agg(F.percentile("d", F.lit(0.5)).alias("s")).crossJoin(F.broadcast(whole)).select("src", F.when(F.col("s") > 0, F.col("s")).otherwise(F.col("whole")).alias("s"), "whole")
         named = edges.join(scale.toDF("src", "si", "whole"), "src").join(scale.select(F.col("src").alias("dst"), F.col("s").alias("sj")), "dst", "left")

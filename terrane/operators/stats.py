@@ -202,6 +202,8 @@ def separation(sums: DataFrame) -> DataFrame:
 
 def separation_matrix(separated: DataFrame) -> DataFrame:
     """(cluster, C0, C1, ...): mean distances of all pairs of clusters both ways; a cluster to itself is NULL."""
+    # the names are read first: what stands behind the few rows runs one time
+    separated = materialise(separated, "separation")
     both = separated.select("ci", "cj", "mean").union(separated.select("cj", "ci", "mean"))
     names = sorted(r["ci"] for r in both.select("ci").distinct().collect())
     return both.groupBy(F.col("ci").alias("cluster")).pivot("cj", names).agg(F.first("mean")).toDF("cluster", *[f"C{n}" for n in names])

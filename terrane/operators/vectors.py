@@ -1,11 +1,14 @@
 """Exact work on all pairs of vectors: rows packed into blocks, blocks that cannot matter left out, matrix products.
 
 A block is one row of a table: the ids and the matrix of some hundreds of vectors, so a shuffle moves blocks and not vectors
-one by one. A task holds one block and a few of its partners.
+one by one. Pairs of blocks are dealt to a square of tiles, whose side does not grow with the vectors: a block is sent once for
+each row and column of tiles, so what is shuffled grows as the vectors do. A task holds the blocks of one tile.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,8 +17,8 @@ from pyspark.sql import functions as F
 from ..scratch import discard, materialise
 from ..shipping import map_arrow, ship
 
-#: Most pivots, most numbers of a block's matrix, and partners that a task compares a block with.
-PIVOTS, NUMBERS, PARTNERS = 64, 1 << 17, 64
+#: Most pivots, most numbers of a block's matrix, and of the vectors in a row of tiles.
+PIVOTS, NUMBERS, STRIPE = 64, 1 << 17, 1 << 25
 
 PACKED = "b int, pivot int, n int, ids binary, groups binary, x binary, bound double, low array<double>, high array<double>"
 
@@ -23,8 +26,13 @@ PACKED = "b int, pivot int, n int, ids binary, groups binary, x binary, bound do
 def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of ``x`` and ``y`` by their norms and one matrix product; near 0 they are computed anew."""
     a, b = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
-    d = a[:, None] + b[None, :] - 2 * (x @ y.T)
-    i, j = np.nonzero(d <= 1e-6 * (a[:, None] + b[None, :]))
+    d = x @ y.T
+    d *= -2
+    d += a[:, None]
+    d += b
+    i, j = np.nonzero(d <= 1e-6 * (a.max(initial=0) + b.max(initial=0)))
+    small = d[i, j] <= 1e-6 * (a[i] + b[j])
+    i, j = i[small], j[small]
     for at in range(0, len(i), 4096):
         p, q = i[at : at + 4096], j[at : at + 4096]
         d[p, q] = ((x[p] - y[q]) ** 2).sum(1)
@@ -121,14 +129,44 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
     return of.join(pairs, "pivot").join(them, "other").filter(least <= F.col("bound") + 1e-9).select("b", "c")
 
 
-def _meetings(blocks: DataFrame, pairs: DataFrame):
-    """Groups of rows (b, part, c, ids, groups, x): a block, with a null c, and at most about ``PARTNERS`` of its partners."""
-    sized = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("c"), F.col("parts").cast("long")).cast("int").alias("part")
+def _meetings(blocks: DataFrame, pairs: DataFrame, width: int):
+    """Tiles as groups of rows (p, q, b, partners, ids, groups, x): the blocks ``b`` of a tile with the blocks that each is compared
+    with, which are the tile's rows without ``partners``.
+
+    A square of tiles has enough of them for all cores, and more only if a row of tiles would hold too many numbers.
+    """
+    size = blocks.agg(F.count("*").alias("blocks"), F.sum("n").alias("n")).first()
+    side = max(1, min(size["blocks"], max(math.ceil(math.sqrt(4 * blocks.sparkSession.sparkContext.defaultParallelism)), -(-(size["n"] or 0) * width // STRIPE))))
     columns = ["ids", "groups", "x"]
-    theirs = pairs.join(sized, "b").select("b", part, "c").join(blocks.select(F.col("b").alias("c"), *columns), "c").select("b", "part", "c", *columns)
-    mine = theirs.select("b", "part").distinct().join(blocks.select("b", *columns), "b").select("b", "part", F.lit(None).cast("int").alias("c"), *columns)
-    return mine.union(theirs).groupBy("b", "part")
+    dealt = pairs.select(F.pmod("b", F.lit(side)).alias("p"), F.pmod("c", F.lit(side)).alias("q"), "b", "c")
+    mine = dealt.groupBy("p", "q", "b").agg(F.collect_list("c").alias("partners")).join(blocks.select("b", *columns), "b")
+    theirs = dealt.select("p", "q", F.col("c").alias("b")).distinct().join(blocks.select("b", *columns), "b").withColumn("partners", F.lit(None).cast("array<int>"))
+    return mine.select("p", "q", "b", "partners", *columns).union(theirs.select("p", "q", "b", "partners", *columns)).groupBy("p", "q")
+
+
+def _tile(table: pa.Table, width: int):
+    """(b, ids, groups, x, partners) of a tile's blocks, with (ids, groups, x) of each partner."""
+    read = lambda row: (_numbers(row["ids"]), _numbers(row["groups"]), _matrix(row["x"], width))
+    other = table.filter(table["partners"].is_null())
+    at = {b: i for i, b in enumerate(other["b"].to_pylist())}
+    own = table.filter(table["partners"].is_valid())
+    for i in range(len(own)):
+        row = own.slice(i, 1)
+        yield *read(row), (read(other.slice(at[c], 1)) for c in sorted(row["partners"][0].as_py()))
+
+
+def _reach(far: np.ndarray, digits: int) -> np.ndarray:
+    """Squares up to which a distance may round to ``far``."""
+    return (far + 10.0**-digits + 1e-7) ** 2
+
+
+def _best(found: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best (row, dst, far) of each row, by distance, then dst."""
+    row, dst, far = (np.concatenate([f[c] for f in found]) for c in range(3))
+    order = np.lexsort((dst, far, row))
+    row, dst, far = row[order], dst[order], far[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], dst[kept], far[kept]
 
 
 def neighbours(vectors: DataFrame, k: int = 15, include_self: bool = True, block: int | None = None, digits: int = 9) -> DataFrame:
@@ -141,42 +179,41 @@ def neighbours(vectors: DataFrame, k: int = 15, include_self: bool = True, block
     blocks, width = pack(vectors, k, block)
 
     def best(key, table):
-        own = table.filter(table["c"].is_null())
-        x, i = _matrix(own["x"], width), _numbers(own["ids"])
-        rest = table.filter(table["c"].is_valid()).select(["ids", "x"]).combine_chunks().to_batches(max_chunksize=1)
-        # first how far the k-th is, block by block, then all that may round to that
-        near = np.full((len(i), k), np.inf)
-        for one in rest:
-            y, j = _matrix(one["x"], width), _numbers(one["ids"])
-            d = squares(x, y)
-            at, itself = _places(i, j)
-            d[itself, at] = 0.0 if include_self else np.inf
-            near = np.partition(np.concatenate((near, d), axis=1), k - 1, axis=1)[:, :k]
-        limit = (np.sqrt(np.maximum(near.max(1), 0)) + 10.0**-digits + 1e-7) ** 2
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for one in rest:
-            y, j = _matrix(one["x"], width), _numbers(one["ids"])
-            d = squares(x, y)
-            at, itself = _places(i, j)
-            d[itself, at] = 0.0
-            r, c = np.nonzero(d <= limit[:, None])
-            exact = np.empty(len(r))
-            for a in range(0, len(r), 8192):
-                exact[a : a + 8192] = np.round(np.sqrt(((x[r[a : a + 8192]] - y[c[a : a + 8192]]) ** 2).sum(1)), digits)
-            same = i[r] == j[c]
-            exact[same] = 0.0
-            some = slice(None) if include_self else ~same
-            found.append((r[some], j[c][some], exact[some]))
-        row, dst, far = (np.concatenate([f[c] for f in found]) for c in range(3))
-        order = np.lexsort((dst, far, row))
-        row, dst, far = row[order], dst[order], far[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = rank < k
-        return pa.table({"src": i[row[kept]], "dst": dst[kept], "d": far[kept]})
-
-    found = _meetings(blocks, block_pairs(blocks)).applyInArrow(best, "src long, dst long, d double")
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i, _, x, partners in _tile(table, width):
+            # how far a row's partners may be, in squares, to round to one of its k best so far
+            limit, kept, waiting = np.full(len(i), np.inf), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+            for j, _, y in partners:
+                d = squares(x, y)
+                at, itself = _places(i, j)
+                d[itself, at] = 0.0 if include_self else np.inf
+                if k <= len(j) and np.isinf(limit).any():
+                    limit = np.minimum(limit, _reach(np.sqrt(np.maximum(np.partition(d, k - 1, axis=1)[:, k - 1], 0)), digits))
+                r, c = np.nonzero(d <= limit[:, None])
+                exact = np.empty(len(r))
+                for a in range(0, len(r), 8192):
+                    exact[a : a + 8192] = np.round(np.sqrt(((x[r[a : a + 8192]] - y[c[a : a + 8192]]) ** 2).sum(1)), digits)
+                same = i[r] == j[c]
+                exact[same] = 0.0
+                some = slice(None) if include_self else ~same
+                kept.append((r[some], j[c][some], exact[some]))
+                waiting += len(kept[-1][0])
+                if waiting > 2 * k * len(i):
+                    kept, waiting = [_best(kept, k)], 0
+                    row, _, far = kept[0]
+                    last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+                    limit[row[last]] = np.minimum(limit[row[last]], _reach(far[last], digits))
+            row, dst, far = _best(kept, k)
+            out.append((i[row], dst, far))
+        src, dst, far = (np.concatenate([o[c] for o in out]) for c in range(3))
+        return pa.table({"src": src, "dst": dst, "d": far})
+
+    found = _meetings(blocks, block_pairs(blocks), width).applyInArrow(best, "src long, dst long, d double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+    # the table is read more than once by most callers, and the search is what costs
+    out = materialise(found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank"), "neighbours")
+    discard(blocks)
+    return out
 
 
 def label_sums(vectors: DataFrame, block: int | None = None) -> DataFrame:
@@ -190,24 +227,23 @@ def label_sums(vectors: DataFrame, block: int | None = None) -> DataFrame:
     pairs = blocks.select("b", F.explode(F.sequence(F.lit(0), F.lit(max(0, count - 1)))).alias("c")) if count else blocks.select("b", F.col("b").alias("c"))
 
     def sums(key, table):
-        own, rest = table.filter(table["c"].is_null()), table.filter(table["c"].is_valid())
-        x, i, g = _matrix(own["x"], width), _numbers(own["ids"]), _numbers(own["groups"])
-        others = np.unique(_numbers(rest["groups"]))
-        size = len(others)
-        n, s, q = np.zeros((len(i), size), np.int64), np.zeros((len(i), size)), np.zeros((len(i), size))
-        for one in rest.select(["ids", "groups", "x"]).combine_chunks().to_batches(max_chunksize=1):
-            y, j, h = _matrix(one["x"], width), _numbers(one["ids"]), _numbers(one["groups"])
-            square = np.maximum(squares(x, y), 0)
-            at, itself = _places(i, j)
-            square[itself, at] = 0.0
-            column = np.searchsorted(others, h)
-            member = np.zeros((len(h), size))
-            member[np.arange(len(h)), column] = 1
-            n += member.sum(0).astype(np.int64)
-            n[itself, column[at]] -= 1
-            q += square @ member
-            s += np.sqrt(square, out=square) @ member
-        return pa.table({"id": np.repeat(i, size), "cluster": np.repeat(g, size), "other": np.tile(others, len(i)), "n": n.ravel(), "s": s.ravel(), "q": q.ravel()})
-
-    parts = _meetings(blocks, pairs).applyInArrow(sums, "id long, cluster long, other long, n long, s double, q double")
+        others = np.unique(_numbers(table.filter(table["partners"].is_null())["groups"]))
+        size, out = len(others), []
+        for i, g, x, partners in _tile(table, width):
+            n, s, q = np.zeros((len(i), size), np.int64), np.zeros((len(i), size)), np.zeros((len(i), size))
+            for j, h, y in partners:
+                square = np.maximum(squares(x, y), 0)
+                at, itself = _places(i, j)
+                square[itself, at] = 0.0
+                column = np.searchsorted(others, h)
+                member = np.zeros((len(h), size))
+                member[np.arange(len(h)), column] = 1
+                n += member.sum(0).astype(np.int64)
+                n[itself, column[at]] -= 1
+                q += square @ member
+                s += np.sqrt(square, out=square) @ member
+            out.append(pa.table({"id": np.repeat(i, size), "cluster": np.repeat(g, size), "other": np.tile(others, len(i)), "n": n.ravel(), "s": s.ravel(), "q": q.ravel()}))
+        return pa.concat_tables(out)
+
+    parts = _meetings(blocks, pairs, width).applyInArrow(sums, "id long, cluster long, other long, n long, s double, q double")
     return parts.groupBy("id", "cluster", "other").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))

@@ -76,3 +76,17 @@ def test_products_near_zero_are_exact():
     x = np.random.default_rng(5).normal(size=(50, 20)) * 1000
     y = x + 1e-7
     assert np.allclose(vectors.squares(x, y).diagonal(), ((x - y) ** 2).sum(1), rtol=1e-12, atol=0)
+
+
+def test_blocks_are_sent_a_fixed_number_of_times(spark):
+    """All pairs of blocks are compared, but a block is sent once for each row and column of tiles, however many blocks there are."""
+    sent = {}
+    for n in (500, 2000):
+        blocks, width = vectors.pack(frame(spark, np.random.default_rng(6).normal(size=(n, 4))), 0, 20)
+        count = blocks.count()
+        pairs = blocks.select("b", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("c"))
+        side = int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism)))
+        tiles = [r["count"] for r in vectors._meetings(blocks, pairs, width).count().collect()]
+        assert len(tiles) == side**2 and max(tiles) <= 2 * -(-count // side)
+        sent[n] = sum(tiles) / count
+    assert sent[500] == sent[2000] == 2 * side
