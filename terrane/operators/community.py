@@ -39,7 +39,7 @@ def within(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join(ids, F.col(column) == F.col("__id"), "left_semi")
 
 
-def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def first_rows(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__k = 1").drop("__k")
 
