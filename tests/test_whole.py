@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from terrane.operators import graph, stats
-from terrane.plans import bridge, registry
+from terrane.plans import bridge, queries, registry
 
 from .test_oracle import SF, _rows, duck  # noqa: F401
 
@@ -112,3 +112,15 @@ def test_exact_mann_whitney_of_few_cells_without_ties(spark):
     scanned = stats.scan_markers(f, labels, q_most=1.0).collect()
     assert len(scanned) == 1 and abs(scanned[0]["p"] - want / 2) < 1e-12
     assert "p" not in stats.mann_whitney(f, labels).columns
+
+
+def test_first_row_of_ties_is_the_same_in_any_order(spark, tmp_path):
+    rows = [(1, s, 5, 2, f) for s in (9, 3, 7) for f in "RA"] + [(1, 1, None, 1, "A"), (1, 2, 5, None, "A")]
+    for name, some in (("a", rows), ("b", rows[::-1])):
+        spark.createDataFrame(some, "l_partkey long, l_suppkey long, l_orderkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        assert [tuple(r) for r in queries.dedup_first(spark, f"{tmp_path}/{name}").collect()] == [(1, 3, 5, 2, "A")]
+
+
+def test_presence_is_made_distinct_on_numbers(spark):
+    plan = bridge.presence(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[o_custkey" in plan and "keys=[locality_id" not in plan
