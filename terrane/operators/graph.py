@@ -159,6 +159,27 @@ def strongest_edges(edges: DataFrame, most: int, least: float = 0.0) -> DataFram
     return symmetric(entries.orderBy(F.desc("w"), "src", "dst").limit(most), "max").filter("src < dst")
 
 
+def _pushes(pos: np.ndarray, k: float, tile: int = 256) -> np.ndarray:
+    """How all nodes push each other away. Pairs are gone through once, in tiles that stay in a core's cache; what pushes one
+    end pushes the other the opposite way."""
+    n, move = len(pos), np.zeros((2, len(pos)))
+    p, room = np.ascontiguousarray(pos.T), np.empty((4, tile, tile))
+    for a in range(0, n, tile):
+        for b in range(a, n, tile):
+            dx, dy, push, square = room[:, : min(tile, n - a), : min(tile, n - b)]
+            for c, d in enumerate((dx, dy)):
+                np.subtract(p[c, a : a + tile, None], p[c, None, b : b + tile], out=d)
+            np.multiply(dx, dx, out=push)
+            push += np.multiply(dy, dy, out=square)
+            np.divide(k * k, np.maximum(push, 1e-9, out=push), out=push)
+            for c, d in enumerate((dx, dy)):
+                d *= push
+                move[c, a : a + tile] += d.sum(1)
+                if b > a:
+                    move[c, b : b + tile] -= d.sum(0)
+    return move.T
+
+
 def layout(edges: DataFrame, rounds: int = 500, seed: int = 123, nodes: DataFrame | None = None) -> DataFrame:
     """(node, x, y) of a weighted force layout, scaled to the unit square. For graphs that are drawn, so one task holds them.
 
@@ -174,12 +195,7 @@ def layout(edges: DataFrame, rounds: int = 500, seed: int = 123, nodes: DataFram
         pos = np.random.default_rng(seed).random((n, 2))
         k, heat = np.sqrt(1 / max(n, 1)), 0.1
         for step in range(rounds):
-            move = np.zeros((n, 2))
-            for a in range(0, n, 512):
-                dx, dy = (pos[a : a + 512, c, None] - pos[None, :, c] for c in (0, 1))
-                push = k * k / np.maximum(dx * dx + dy * dy, 1e-9)
-                move[a : a + 512, 0] += np.einsum("ij,ij->i", dx, push)
-                move[a : a + 512, 1] += np.einsum("ij,ij->i", dy, push)
+            move = _pushes(pos, k)
             gap = pos[i] - pos[j]
             pull = gap * (np.sqrt((gap**2).sum(1)) / k * w)[:, None]
             np.add.at(move, i, -pull)

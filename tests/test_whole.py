@@ -124,3 +124,12 @@ def test_first_row_of_ties_is_the_same_in_any_order(spark, tmp_path):
 def test_presence_is_made_distinct_on_numbers(spark):
     plan = bridge.presence(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "keys=[o_custkey" in plan and "keys=[locality_id" not in plan
+
+
+def test_pushes_of_tiles_are_those_of_all_pairs():
+    pos = np.random.default_rng(8).random((150, 2))
+    pos[7] = pos[90]
+    gap = pos[:, None] - pos[None]
+    want = (gap * (0.04 / np.maximum((gap**2).sum(2), 1e-9))[..., None]).sum(1)
+    for tile in (16, 50, 64, 256):
+        assert np.allclose(graph._pushes(pos, 0.2, tile), want, rtol=1e-9, atol=1e-9)
