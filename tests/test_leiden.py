@@ -106,3 +106,28 @@ def test_awkward_graphs(spark):
     names = [("b", "a", 1.0), ("a", "b", 1.0), ("c", "d", 1.0), ("d", "c", 1.0), ("a", "a", 0.5)]
     for refine in (True, False):
         assert run(names, "src string, dst string, w double", refine=refine) == [("a", 0), ("b", 0), ("c", 1), ("d", 1)]
+
+
+def test_links_stay_where_they_are_in_a_round(spark, embedded, monkeypatch):
+    # what is shuffled in a round of moves is keyed by labels, so only sizes of communities are; the links are dealt once a level
+    plans, write = [], leiden.materialise
+
+    def noted(df, label, **more):
+        if label == "communities-turn":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label, **more)
+
+    monkeypatch.setattr(leiden, "materialise", noted)
+    few = embedded.filter("src % 8 = 0 AND dst % 8 = 0")
+    sent = sorted(map(tuple, graph.communities(few, [1.0]).collect()))
+    shuffles = [line for plan in plans for line in plan.splitlines() if "Exchange hashpartitioning" in line and "REPARTITION" not in line]
+    assert plans and shuffles and all("label" in line.split("hashpartitioning(")[1].split(")")[0] for line in shuffles)
+    # with more nodes than are sent the labels are shuffled to the links, and nothing changes
+    plans.clear()
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, graph.communities(few, [1.0], sent=0).collect())) == sent
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert plans and not any("BroadcastHashJoin" in plan for plan in plans)
