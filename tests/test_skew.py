@@ -64,6 +64,30 @@ def test_pairs_of_a_dense_square_are_spread(spark):
             spark.conf.set(k, v)
 
 
+def test_pairs_take_tasks_by_their_number(spark):
+    """8,000 and 32,000 rows of one split each, in 8 squares: 32 million pairs, which one task made as its input is small."""
+    e, n = (F.col("id") % 8 * 1000).cast("double").alias("e"), (F.col("id") % 8 * 700 + 2).cast("double").alias("n")
+    sites = spark.range(0, 8000, 1, 1).select(F.lit("s").alias("sci"), F.col("id").alias("fid"), e, n)
+    points = spark.range(0, 32_000, 1, 1).select(F.col("id").alias("pid"), e, n)
+    largest, every = widest(spatial.distance_join(sites, points, 50.0))
+    assert every == 32_000_000 and largest < 0.7 * every
+
+
+@pytest.mark.parametrize("size,share,hot", [(1000, 20_000_000, 100_000), (3, 40, 100_000), (2, 40, 7)])
+def test_lists_and_cuts_give_each_pair_once(spark, size, share, hot):
+    rng = np.random.default_rng(7)
+    s = [(f"s{i % 3}", *map(float, rng.integers(-9, 9, 2) * 10), i, [i]) for i in range(120)] + [("s0", None, 1.0, 900, None), (None, 0.0, 0.0, 901, None), (None, 0.0, 0.0, 901, None)]
+    p = [(i, *map(float, rng.integers(-9, 9, 2) * 10)) for i in range(150)] + [(900, 1.0, None), (None, -30.0, -40.0), (None, -30.0, -40.0)]
+    sites = materialise(spark.createDataFrame(s, "sci string, e double, n double, fid long, more array<long>").repartition(3), "test-sites")
+    points = materialise(spark.createDataFrame(p, "pid long, e double, n double").repartition(3), "test-points")
+    got = spatial.distance_join(sites, points, 50.0, size=size, share=share, hot=hot)
+    assert got.columns == ["sci", "site_e", "site_n", "fid", "more", "pid", "e", "n", "d2"]
+    want = [(*a, *b, d) for a in s for b in p if None not in (a[1], a[2], b[1], b[2]) and (d := (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) <= 2500]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+    want = sorted(repr((*a[1:3], *b, d)) for a in s for b in p if None not in (a[1], a[2], b[1], b[2]) and (d := (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) <= 2500)
+    assert want == sorted(repr(tuple(r)) for r in spatial.distance_join(sites.select("e", "n"), points, 50.0, share=share, hot=hot).collect())
+
+
 def test_counts_ride_on_the_pass(spark):
     seen, kept = Tally(), Tally()
     df = spark.range(100)
