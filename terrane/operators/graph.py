@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import kernel
 from ..scratch import materialise
 from ..shipping import ship
+from .forces import pushes as _pushes
 from .leiden import communities
 from .ranks import numbered, quantiles
 from .vectors import neighbours
@@ -159,31 +160,11 @@ def strongest_edges(edges: DataFrame, most: int, least: float = 0.0) -> DataFram
     return symmetric(entries.orderBy(F.desc("w"), "src", "dst").limit(most), "max").filter("src < dst")
 
 
-def _pushes(pos: np.ndarray, k: float, tile: int = 256) -> np.ndarray:
-    """How all nodes push each other away. Pairs are gone through once, in tiles that stay in a core's cache; what pushes one
-    end pushes the other the opposite way."""
-    n, move = len(pos), np.zeros((2, len(pos)))
-    p, room = np.ascontiguousarray(pos.T), np.empty((4, tile, tile))
-    for a in range(0, n, tile):
-        for b in range(a, n, tile):
-            dx, dy, push, square = room[:, : min(tile, n - a), : min(tile, n - b)]
-            for c, d in enumerate((dx, dy)):
-                np.subtract(p[c, a : a + tile, None], p[c, None, b : b + tile], out=d)
-            np.multiply(dx, dx, out=push)
-            push += np.multiply(dy, dy, out=square)
-            np.divide(k * k, np.maximum(push, 1e-9, out=push), out=push)
-            for c, d in enumerate((dx, dy)):
-                d *= push
-                move[c, a : a + tile] += d.sum(1)
-                if b > a:
-                    move[c, b : b + tile] -= d.sum(0)
-    return move.T
-
-
 def layout(edges: DataFrame, rounds: int = 500, seed: int = 123, nodes: DataFrame | None = None) -> DataFrame:
     """(node, x, y) of a weighted force layout, scaled to the unit square. For graphs that are drawn, so one task holds them.
 
-    ``nodes`` (column node) adds those without an edge: nothing pulls them, but all others push them. A round compares all nodes.
+    ``nodes`` (column node) adds those without an edge: nothing pulls them, but all others push them. All nodes push each other in
+    a round, far ones by the series of ``forces``, so a round's time and memory grow nearly as nodes and edges.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,14 +179,15 @@ def layout(edges: DataFrame, rounds: int = 500, seed: int = 123, nodes: DataFram
             move = _pushes(pos, k)
             gap = pos[i] - pos[j]
             pull = gap * (np.sqrt((gap**2).sum(1)) / k * w)[:, None]
-            np.add.at(move, i, -pull)
-            np.add.at(move, j, pull)
+            for c in (0, 1):
+                move[:, c] += np.bincount(j, pull[:, c], n) - np.bincount(i, pull[:, c], n)
             length = np.maximum(np.sqrt((move**2).sum(1)), 1e-12)
             pos += move / length[:, None] * np.minimum(length, heat * (1 - step / rounds))[:, None]
         span = np.maximum(np.ptp(pos, axis=0), 1e-12)
         pos = (pos - pos.min(0)) / span
         return pd.DataFrame({"node": nodes, "x": pos[:, 0], "y": pos[:, 1]})
 
+    ship(edges.sparkSession)
     edges = edges.select("src", "dst", F.col("w").cast("double").alias("w"))
     if nodes is not None:
         edges = edges.unionByName(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(None).cast("double").alias("w")))
