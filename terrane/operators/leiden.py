@@ -1,8 +1,8 @@
 """Communities of weighted graphs by rounds over tables.
 
 Levels of local moves, refinement and aggregation, for all resolutions at once. The links of a level stay where they are, dealt
-by node and held by the executors. A round looks up the labels at their ends, adds up within a node's links and writes one
-table of nodes, so only tables of nodes travel; no task holds a graph, and only numbers for each resolution come to the driver.
+by node and held by the executors, also as lists of some 100,000 links. A round sends the labels to the lists, adds up within a node's links in
+arrays and writes one table of nodes, so only tables of nodes travel; no task holds a graph, and only numbers for each resolution come to the driver.
 Weights are whole numbers, so sums are exact and labels are the same for any partitioning.
 """
 
@@ -10,18 +10,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..observed import Tally
 from ..scratch import discard, materialise
+from ..shipping import map_arrow
+from .ranks import numbered
 
 #: Bits of the sum of all weights: sums are exact as integers and as doubles.
 BITS = 52
 #: Gains of quality: of a pair of rounds, for a level to go on; of a level, for another one; of a pair of last moves.
 GAIN, LEVEL_GAIN, LAST_GAIN = 4e-2, 1e-3, 1e-4
-#: Most nodes of all runs whose labels are sent to all tasks, with more both sides are shuffled; and links of a task.
-SENT, TASK_LINKS = 1_000_000, 100_000
+#: Most nodes of all runs whose labels are sent to all tasks, with more both sides are shuffled; and links of a task and of a list.
+SENT, TASK_LINKS, LIST_LINKS = 1_000_000, 100_000, 300_000
 
 
 class _Graph:
@@ -35,7 +39,8 @@ class _Graph:
         self.run = ["run"] if "run" in links.columns else []
         tasks, cores = max(1, -(-links.count() // TASK_LINKS)), links.sparkSession.sparkContext.defaultParallelism
         # full waves of tasks where there is more than one
-        self.links = self.hold(links.repartition(tasks if tasks < cores else -(-tasks // cores) * cores, "i"))
+        waves = lambda n: n if n < cores else -(-n // cores) * cores
+        self.links, self.lists, self.packs = self.hold(links.repartition(waves(tasks), "i")), None, waves(max(min(tasks, cores), -(-tasks * TASK_LINKS // LIST_LINKS)))
         # a loop counts for both of its ends
         loop = F.when(F.col("i") == F.col("j"), F.col("x")).otherwise(0)
         nodes = self.links.groupBy(*self.run, F.col("i").alias("node")).agg(F.sum(F.col("x") + loop).alias("k"), F.sum(2 * loop).alias("loop"))
@@ -54,6 +59,14 @@ class _Graph:
         self.held.append(df.persist())
         return self.held[-1]
 
+    def listed(self) -> DataFrame:
+        """(at, links): the links in as many lists as there are tasks of a round, all links of a node in one list; held too."""
+        if self.lists is None:
+            row = F.struct(*[F.col(c) for c in self.links.columns])
+            lists = self.links.groupBy(F.pmod(F.xxhash64("i"), F.lit(self.packs)).alias("at")).agg(F.collect_list(row).alias("links"))
+            self.lists = self.hold(lists.select("at", *[F.col(f"links.{c}").alias(c) for c in self.links.columns]).repartition(self.packs))
+        return self.lists
+
     def release(self) -> None:
         while self.held:
             self.held.pop().unpersist()
@@ -88,6 +101,13 @@ def communities(edges: DataFrame, resolutions: list[float], seed: int = 123, ref
     """
     spark, tables = edges.sparkSession, []
     kind = dict(edges.dtypes)["src"]
+    if kind != "bigint":
+        # rounds work on whole numbers, in the order of the names
+        names = materialise(numbered(edges.select(F.explode(F.array("src", "dst")).alias("name")).filter("name IS NOT NULL"), ["name"], "__id"), "communities-names")
+        src, dst = names.select(F.col("name").alias("src"), F.col("__id").alias("__src")), names.select(F.col("name").alias("dst"), F.col("__id").alias("__dst"))
+        ends = edges.join(src, "src").join(dst, "dst").select(F.col("__src").alias("src"), F.col("__dst").alias("dst"), "w")
+        out = communities(ends, resolutions, seed, refine, sent)
+        return out.withColumnRenamed("node", "__id").join(names, "__id").select("run", "resolution", F.col("name").alias("node"), "label")
     gammas = [float(r) for r in resolutions]
     half = edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), (F.when(F.col("src") == F.col("dst"), 1.0).otherwise(2.0) * F.col("w")).alias("w")).filter("i IS NOT NULL AND j IS NOT NULL AND w >= 0 AND i <= j")
     whole = half.agg(F.sum("w")).first()[0]
@@ -173,20 +193,9 @@ def _turn(graph: _Graph, labels: DataFrame, number: int) -> tuple[DataFrame, dic
     """
     judged = number % 2 == 0
     sizes = labels.groupBy("run", "label").agg(F.sum("k").alias("total"), F.count("*").alias("n"))
-    sized = graph.small(labels.join(graph.small(sizes), ["run", "label"]))
-    theirs = sized.select("run", F.col("node").alias("j"), F.col("label").alias("to"), "total", "n")
-    mine = sized.select("run", F.col("node").alias("i"), "k", F.col("label").alias("own"), F.col("n").alias("own_n"))
-    x = F.when(F.col("i") == F.col("j"), 0).otherwise(F.col("x"))
-    near = (graph.links if judged else graph.links.filter(graph.turn(number, "i"))).join(graph.small(theirs), [*graph.run, "j"]).groupBy("run", "i", "to").agg(F.sum(x).alias("x"), F.max("total").alias("total"), F.max("n").alias("n"))
-    here, chooses = F.col("to") == F.col("own"), graph.turn(number, "i")
-    gain = F.col("x") - graph.expected(F.col("k").cast("double"), F.col("total") - F.when(here, F.col("k")).otherwise(0))
-    # two single nodes would only change places: the one with the larger label goes to the other
-    swap = (F.col("own_n") == 1) & (F.col("n") == 1) & (F.col("to") > F.col("own"))
-    options = near.join(graph.small(mine), ["run", "i"]).filter(here | (chooses & ~swap)).withColumn("gain", gain)
-    stay = lambda c: F.max(F.when(here, F.col(c)))
-    best = options.groupBy("run", "i").agg(F.min_by("to", F.struct(-F.col("gain"), "to")).alias("to"), F.max("gain").alias("gain"), stay("gain").alias("stay"), F.max("own").alias("label"), F.max("k").alias("k"), stay("x").alias("inside"), stay("total").alias("total"))
-    to = F.when(F.col("gain") > F.col("stay") + graph.whole * 1e-12, F.col("to")).otherwise(F.col("label")).alias("to")
-    columns = ["run", F.col("i").alias("node"), "k", "label", to]
+    sized = labels.join(graph.small(sizes), ["run", "label"])
+    best = _chosen_in_lists(graph, sized, number) if graph.n <= graph.sent else _chosen(graph, sized, number)
+    columns = ["run", "node", "k", "label", "to"]
     if not judged:
         rest = labels.filter(~graph.turn(number)).select("run", "node", "k", "label", F.col("label").alias("to"))
         return graph.keep(best.select(*columns).union(rest), "turn"), {}
@@ -199,6 +208,85 @@ def _turn(graph: _Graph, labels: DataFrame, number: int) -> tuple[DataFrame, dic
     return step, {r: ((seen.get(f"inside{r}") + graph.loops[r]) / 2 - seen.get(f"chance{r}") / 2) / graph.whole for r in runs if seen.get(f"nodes{r}")}
 
 
+def _chosen(graph: _Graph, sized: DataFrame, number: int) -> DataFrame:
+    """(run, node, k, label, to, inside, total): what nodes would rather have, ``inside`` and ``total`` of their own label; labels are shuffled to the links."""
+    theirs = sized.select("run", F.col("node").alias("j"), F.col("label").alias("to"), "total", "n")
+    mine = sized.select("run", F.col("node").alias("i"), "k", F.col("label").alias("own"), F.col("n").alias("own_n"))
+    x = F.when(F.col("i") == F.col("j"), 0).otherwise(F.col("x"))
+    near = (graph.links if number % 2 == 0 else graph.links.filter(graph.turn(number, "i"))).join(theirs, [*graph.run, "j"]).groupBy("run", "i", "to").agg(F.sum(x).alias("x"), F.max("total").alias("total"), F.max("n").alias("n"))
+    here, chooses = F.col("to") == F.col("own"), graph.turn(number, "i")
+    gain = F.col("x") - graph.expected(F.col("k").cast("double"), F.col("total") - F.when(here, F.col("k")).otherwise(0))
+    # two single nodes would only change places: the one with the larger label goes to the other
+    swap = (F.col("own_n") == 1) & (F.col("n") == 1) & (F.col("to") > F.col("own"))
+    options = near.join(mine, ["run", "i"]).filter(here | (chooses & ~swap)).withColumn("gain", gain)
+    stay = lambda c: F.max(F.when(here, F.col(c)))
+    best = options.groupBy("run", F.col("i").alias("node")).agg(F.min_by("to", F.struct(-F.col("gain"), "to")).alias("to"), F.max("gain").alias("gain"), stay("gain").alias("stay"), F.max("own").alias("label"), F.max("k").alias("k"), stay("x").alias("inside"), stay("total").alias("total"))
+    to = F.when(F.col("gain") > F.col("stay") + graph.whole * 1e-12, F.col("to")).otherwise(F.col("label")).alias("to")
+    return best.select("run", "node", "k", "label", to, "inside", "total")
+
+
+def _chosen_in_lists(graph: _Graph, sized: DataFrame, number: int) -> DataFrame:
+    """As ``_chosen``: labels are one row of arrays, in the order of runs and nodes, that is sent to all lists of links."""
+    row = F.struct("run", "node", "k", "label", "total", (F.col("n") == 1).alias("single"), graph.turn(number).alias("chooses"))
+    names = ["run", "node", "k", "label", "total", "single", "chooses"]
+    state = sized.agg(F.sort_array(F.collect_list(row)).alias("state")).select(*[F.col(f"state.{c}").alias(f"of_{c}") for c in names])
+    gammas, whole, every = graph.gammas, graph.whole, number % 2 == 0
+
+    def choose(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                own = {c: batch.column(c)[at].values.to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "at"}
+                for r in np.unique(own["of_run"]):
+                    there = slice(*np.searchsorted(own["of_run"], [r, r + 1]))
+                    links = [own[c] if "run" not in own else own[c][own["run"] == r] for c in ("i", "j", "x")]
+                    found = _choices(*links, *(own[f"of_{c}"][there] for c in names[1:]), gammas[r], whole, every)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[0]), r, np.int32)), *map(pa.array, found)], ["run", "node", "k", "label", "to", "inside", "total"])
+
+    return map_arrow(graph.listed().crossJoin(F.broadcast(state)), choose, "run int, node long, k long, label long, to long, inside long, total long")
+
+
+def _places(node: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Where the numbers ``of`` are in the sorted ``node``, looked up in a table if that is not much larger."""
+    low, high = int(node[0]), int(node[-1])
+    if high - low > 16 * len(node):
+        return np.searchsorted(node, of)
+    table = np.zeros(high - low + 1, np.int64)
+    table[node - low] = np.arange(len(node))
+    return table[of - low]
+
+
+def _choices(i, j, x, node, k, label, total, single, chooses, gamma: float, whole: float, every: bool) -> list[np.ndarray]:
+    """Node, k, label, to, inside and total of the nodes whose links (i, j, x) these are, or of those among them that choose."""
+    mine = _places(node, i)
+    if not every:
+        i, j, x, mine = (c[chooses[mine]] for c in (i, j, x, mine))
+    if not len(i):
+        return [np.zeros(0, np.int64)] * 6
+    names, label_at = np.unique(label, return_inverse=True)
+    key = mine * len(names) + label_at[_places(node, j)]
+    order = np.argsort(key)
+    key = key[order]
+    # a row for each node and label that it has links to, labels in their order; its loop gives each node its own label
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    inside, key = np.add.reduceat(np.where(i == j, 0, x)[order], first), key[first]
+    mine, to = key // len(names), key % len(names)
+    begin = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+    of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(mine))))
+    sums, alone = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+    sums[label_at], alone[label_at] = total, single
+    here = to == label_at[mine]
+    gain = inside - gamma * k[mine].astype(float) * (sums[to] - np.where(here, k[mine], 0)) / (2 * whole)
+    stay = gain[here]
+    # two single nodes would only change places: the one with the larger label goes to the other
+    gain[~here & ~(chooses[mine] & ~(single[mine] & alone[to] & (to > label_at[mine])))] = -np.inf
+    most = np.maximum.reduceat(gain, begin)
+    found = np.flatnonzero(gain == most[of])[::-1]
+    best = np.empty(len(begin), int)
+    best[of[found]] = found
+    mine = mine[begin]
+    return [node[mine], k[mine], label[mine], np.where(most > stay + whole * 1e-12, names[to[best]], label[mine]), inside[here], sums[to[here]]]
+
+
 def _refined(graph: _Graph, labels: DataFrame) -> DataFrame:
     """(run, node, label, part): parts of each community, grown from single nodes.
 
@@ -228,8 +316,8 @@ def _joined_parts(graph: _Graph, inner: DataFrame, state: DataFrame, number: int
     alone = F.col("n") == 1
     movers = state.join(graph.small(sizes.filter(alone).select("run", "part")), ["run", "part"]).filter(F.col("well") & graph.turn(number)).select("run", F.col("node").alias("i"), "k")
     targets = sizes.join(graph.small(cut), ["run", "part"]).filter((~alone | ~graph.turn(number)) & (F.col("cut") >= graph.expected(total, F.col("community") - F.col("total")))).select("run", F.col("part").alias("to"), "total")
-    # only the links of those that may move count here
-    options = ends.join(graph.small(movers), ["run", "i"]).groupBy("run", "i", "to").agg(F.sum("x").alias("x"), F.max("k").alias("k")).join(graph.small(targets), ["run", "to"])
+    # only the links of those that may move are looked up; a mover is a part of its own, so all of its links lead to others
+    options = inner.join(graph.small(movers), ["run", "i"]).join(graph.small(state.select("run", F.col("node").alias("j"), F.col("part").alias("to"))), ["run", "j"]).groupBy("run", "i", "to").agg(F.sum("x").alias("x"), F.max("k").alias("k")).join(graph.small(targets), ["run", "to"])
     options = options.withColumn("gain", F.col("x") - graph.expected(F.col("k").cast("double"), F.col("total"))).filter(F.col("gain") > graph.whole * 1e-12)
     best = options.groupBy("run", F.col("i").alias("node")).agg(F.min_by("to", F.struct(-F.col("gain"), "to")).alias("to"))
     return state.join(graph.small(best), ["run", "node"], "left").select("run", "node", "label", "k", "community", "well", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved"))

@@ -131,3 +131,32 @@ def test_links_stay_where_they_are_in_a_round(spark, embedded, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
     assert plans and not any("BroadcastHashJoin" in plan for plan in plans)
+
+
+def test_lists_of_links_choose_as_joined_links_do(spark, embedded, monkeypatch):
+    # whole weights, so that many gains are equal; far apart numbers of nodes, which are not looked up in a table
+    monkeypatch.setattr(leiden, "LIST_LINKS", 500)
+    node = lambda c: F.col(c) * 10**9 - 7
+    pairs = embedded.filter("src <> dst").select(node("src").alias("i"), node("dst").alias("j"), F.lit(1).cast("long").alias("x"))
+    loops = pairs.select("i", F.col("i").alias("j"), F.lit(0).cast("long").alias("x")).distinct()
+    shared = materialise(pairs.union(loops), "test-links")
+    for links in (shared, shared.withColumn("run", F.explode(F.array(F.lit(0), F.lit(1)))).filter("run = 0 OR i % 3 + j % 3 <> 1 OR i = j")):
+        whole = leiden._Graph(links, 1.0, [0.5, 1.0], 3, [])
+        whole.whole = whole.strength / 2
+        for labels in (whole.nodes.withColumn("label", F.col("node")), whole.nodes.withColumn("label", (F.col("node") + 7) / 10**9 % 3).withColumn("label", F.col("label").cast("long")), whole.nodes.filter("run = 1").withColumn("label", F.lit(5).cast("long"))):
+            sizes = labels.groupBy("run", "label").agg(F.sum("k").alias("total"), F.count("*").alias("n"))
+            sized = labels.join(sizes, ["run", "label"])
+            for number in (0, 1):
+                columns = ["run", "node", "k", "label", "to", "inside", "total"]
+                joined, listed = (sorted(map(tuple, f(whole, sized, number).select(*columns).collect())) for f in (leiden._chosen, leiden._chosen_in_lists))
+                assert joined and joined == listed
+        whole.release()
+
+
+def test_a_round_sends_labels_and_leaves_links_in_their_lists(spark, embedded):
+    links = materialise(embedded.selectExpr("src AS i", "dst AS j", "1L AS x").union(embedded.selectExpr("src AS i", "src AS j", "0L AS x").distinct()), "test-links")
+    graph = leiden._Graph(links, 1.0, [1.0], 3, [])
+    graph.whole = graph.strength / 2
+    step, quality = leiden._turn(graph, graph.nodes.withColumn("label", F.col("node")), 0)
+    assert quality and step.count() == graph.n and graph.lists is not None and sum(len(r["i"]) for r in graph.lists.collect()) == links.count()
+    graph.release()
